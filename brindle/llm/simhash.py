@@ -176,10 +176,11 @@ def links(points: DataFrame, distance: int = 4) -> DataFrame:
         raise ValueError("the grid of two halves with balls of radius 1 is exact up to distance 4")
     spark = points.sparkSession
     cells = _cells(points).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1")
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # block b meets every block: it is written once for each partner, as the lower or the higher of the pair
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cell", "fp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    one = cells.filter(F.col("n") <= BLOCK).select("cell", "fp", *(F.lit(0).alias(c) for c in ("blk", "i", "j")))
+    # a block of a larger cell meets each of its blocks: it is written once for each partner, as the lower or the higher of the pair
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    many = cells.filter(F.col("n") > BLOCK).select("cell", "fp", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = one.unionByName(many.select("cell", "fp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")))
     dealt = cells.repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return dealt.mapInArrow(_forest(distance), "a long, b long")
 
