@@ -41,8 +41,8 @@ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 spread AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13 + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g FROM spread),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
-hits AS (SELECT DISTINCT doc_id, at.n, i, item_id FROM at JOIN win ON win.n = at.n AND win.g = array_to_string(at.w[at.i:at.i + at.n - 1], ' ')),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT DISTINCT doc_id, p.n, i, item_id FROM places p JOIN win ON win.n = p.n AND win.g = array_to_string(p.w[i:i + p.n - 1], ' ')),
 words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
