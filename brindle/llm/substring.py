@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ ROWS = 2
 BLOCK_LOG2 = 20
 #: Windows a task holds before it sends them on.
 HELD = 4 << 20
-_M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,7 +39,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _rolling(hashes: np.ndarray, size: int, multiplier: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, size: int, multiplier: int) -> np.ndarray:
     """The polynomial hash of every `size` consecutive values, from prefix sums modulo 2**64."""
     n = len(hashes)
     powers = np.full(n, multiplier, np.uint64)
@@ -50,29 +51,46 @@ def _rolling(hashes: np.ndarray, size: int, multiplier: int) -> np.ndarray:
     return _mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
 
 
-def windows(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window inside a text: two hashes, the text's place in the list, its first word; and each text's words."""
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words in a row, and each text's number of words."""
     words: list[bytes] = []
     counts = np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = (text or b"").split()
         counts[i] = len(own)
         words += own
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), counts
+
+
+def windows(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window inside a text: two hashes, the text's place in the list, its first word."""
+    hashes, counts = word_hashes(texts)
     fit = np.maximum(counts - size + 1, 0)
     owner = np.repeat(np.arange(len(texts)), fit)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(fit) - fit, fit)
     if not len(owner):
-        none = np.empty(0, np.uint64)
-        return none, none, owner, start, counts
-    hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), owner, start
     at = start + np.repeat(np.cumsum(counts) - counts, fit)
-    return _rolling(hashes, size, _M1)[at], _rolling(hashes, size, _M2)[at], owner, start, counts
+    return rolling(hashes, size, M1)[at], rolling(hashes, size, M2)[at], owner, start
+
+
+def window_keys(texts: list[bytes | None], size: int) -> np.ndarray:
+    return windows(texts, size)[0]
 
 
 def _cells(h1: np.ndarray, row: int, log2_cells: int) -> np.ndarray:
     return _mix(h1 + np.uint64(row * 0x632BE59BD9B4E019 & (1 << 64) - 1)) >> np.uint64(64 - log2_cells)
 
 
+def flagged_cells(keys: np.ndarray, bits: np.ndarray, log2_cells: int) -> np.ndarray:
+    """Which keys the sketch has counted more than once in every row."""
+    flagged = np.ones(len(keys), bool)
+    for row in range(ROWS):
+        cell = _cells(keys, row, log2_cells).astype(np.int64) + (row << log2_cells)
+        flagged &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+    return flagged
+
+
 def gaps_encoded(cells: np.ndarray) -> bytes:
     """Ascending cells as bytes: the gap to the one before, 255 for each 255 in it and then the rest."""
     gaps = np.diff(cells, prepend=0)
@@ -88,7 +106,7 @@ def gaps_decoded(data: bytes) -> np.ndarray:
     return np.cumsum(raw, dtype=np.int64)[raw != 255]
 
 
-def _sketch_parts(size: int, log2_cells: int):
+def _sketch_parts(keys: Callable[[list], np.ndarray], log2_cells: int):
     """A task's sketch: for each row and block the cells touched, a cell touched more than once twice."""
     block_log2 = min(BLOCK_LOG2, log2_cells)
 
@@ -114,7 +132,7 @@ def _sketch_parts(size: int, log2_cells: int):
 
         for batch in batches:
             for a, b in by_bytes(batch.column(0)):
-                h1 = windows(batch.column(0).slice(a, b - a).to_pylist(), size)[0]
+                h1 = keys(batch.column(0).slice(a, b - a).to_pylist())
                 if len(h1):
                     held.append(h1)
                 if sum(map(len, held)) >= HELD:
@@ -153,10 +171,10 @@ def _merge(log2_block: int):
     return work
 
 
-def repeated_cells(docs: DataFrame, size: int, log2_cells: int) -> np.ndarray:
-    """The merged sketch of all windows of docs(text binary): a row of bits for each hash, ROWS * 2**log2_cells / 8 bytes."""
+def repeated_cells(docs: DataFrame, keys: Callable[[list], np.ndarray], log2_cells: int) -> np.ndarray:
+    """The merged sketch of the keys of all texts of docs(text binary): a row of bits for each hash, ROWS * 2**log2_cells / 8 bytes."""
     block_log2 = min(BLOCK_LOG2, log2_cells)
-    parts = docs.select("text").mapInArrow(_sketch_parts(size, log2_cells), "block int, cells binary")
+    parts = docs.select("text").mapInArrow(_sketch_parts(keys, log2_cells), "block int, cells binary")
     dealt = parts.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
     bits = np.zeros((ROWS << log2_cells) // 8 if log2_cells >= 3 else ROWS, np.uint8)
     step = (1 << block_log2) // 8
@@ -170,6 +188,14 @@ class Places:
 
     kind = np.dtype([("null", "u1"), ("id", "<i8"), ("text", "<i8")])
 
+    @classmethod
+    def of(cls, ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        out = np.zeros(len(ids), cls.kind)
+        out["null"] = ids.is_null().to_numpy(zero_copy_only=False)
+        out["id"] = ids.fill_null(0).to_numpy()
+        out["text"] = hashes.to_numpy()
+        return out
+
     @staticmethod
     def pack(docs: np.ndarray, index: np.ndarray, start: np.ndarray, *more: np.ndarray) -> bytes:
         """index ascends: rows of one document are consecutive."""
@@ -190,7 +216,7 @@ class Places:
         return out[0], out[1].astype(np.int64), out[2], out[3:]
 
 
-def _order(docs: np.ndarray) -> np.ndarray:
+def order_of(docs: np.ndarray) -> np.ndarray:
     """Rank of each document by id, those without one last; equal ids have equal ranks."""
     key = docs[["null", "id"]]
     return np.unique(key, return_inverse=True)[1].reshape(-1) if len(docs) else np.empty(0, np.int64)
@@ -206,6 +232,15 @@ def _later(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray)
     return order, p != first
 
 
+def gathered(packed: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Documents of all packs, and each window's document, first word and hashes."""
+    parts = [Places.unpack(d, "<u8", "<u4") for d in packed]
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    index = np.concatenate([np.repeat(np.arange(len(p[0])), p[1]) + b for p, b in zip(parts, base)])
+    hashes = (np.concatenate([p[3][i] for p in parts]) for i in (0, 1))
+    return np.concatenate([p[0] for p in parts]), index, np.concatenate([p[2] for p in parts]), *hashes
+
+
 def _by_block(docs: np.ndarray, index: np.ndarray, start: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
     """Removals, packed for each block of documents."""
     if not len(index):
@@ -232,7 +267,6 @@ def _candidates(size: int, log2_cells: int, bits, shards: int, blocks: int):
         known: list[np.ndarray] = []
         held: list[tuple[np.ndarray, ...]] = []
         docs_held = 0
-        flags = bits.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal docs_held
@@ -244,7 +278,7 @@ def _candidates(size: int, log2_cells: int, bits, shards: int, blocks: int):
             # rows that repeat an id and text are one document
             docs, inverse = np.unique(docs, return_inverse=True)
             index = inverse.reshape(-1)[index]
-            order, later = _later(h1, h2, _order(docs)[index], start)
+            order, later = _later(h1, h2, order_of(docs)[index], start)
             gone, kept = order[later], order[~later]
             yield _batch([(1, k, d) for k, d in _by_block(docs, index[gone], start[gone], blocks)])
             h1, h2, index, start = h1[kept], h2[kept], index[kept], start[kept]
@@ -260,16 +294,10 @@ def _candidates(size: int, log2_cells: int, bits, shards: int, blocks: int):
                     yield _batch([(0, int(shard[a]), Places.pack(docs, index[a:b], start[a:b], h1[a:b], h2[a:b]))])
 
         for batch in batches:
-            own = np.zeros(batch.num_rows, Places.kind)
-            own["null"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            own["id"] = batch.column("doc_id").fill_null(0).to_numpy()
-            own["text"] = batch.column("hash").to_numpy()
+            own = Places.of(batch.column("doc_id"), batch.column("hash"))
             for a, b in by_bytes(batch.column("text")):
-                h1, h2, index, start, _ = windows(batch.column("text").slice(a, b - a).to_pylist(), size)
-                flagged = np.ones(len(h1), bool)
-                for row in range(ROWS):
-                    cell = _cells(h1, row, log2_cells).astype(np.int64) + (row << log2_cells)
-                    flagged &= (flags[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                h1, h2, index, start = windows(batch.column("text").slice(a, b - a).to_pylist(), size)
+                flagged = flagged_cells(h1, bits.value, log2_cells)
                 if not flagged.any():
                     continue
                 used, inverse = np.unique(index[flagged], return_inverse=True)
@@ -291,15 +319,9 @@ def _settle(blocks: int):
         shard, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            parts = [Places.unpack(d, "<u8", "<u4") for d in held]
+            docs, index, start, h1, h2 = gathered(held)
             held.clear()
-            docs = np.concatenate([p[0] for p in parts])
-            base = np.cumsum([0, *(len(p[0]) for p in parts)])
-            index = np.concatenate([np.repeat(np.arange(len(p[0])), p[1]) + b for p, b in zip(parts, base)])
-            start = np.concatenate([p[2] for p in parts])
-            h1, h2 = (np.concatenate([p[3][i] for p in parts]) for i in (0, 1))
-            parts.clear()
-            order, later = _later(h1, h2, _order(docs)[index], start)
+            order, later = _later(h1, h2, order_of(docs)[index], start)
             gone = order[later]
             rows = [(1, k, d) for k, d in _by_block(docs, index[gone], start[gone], blocks)]
             if rows:
@@ -381,7 +403,7 @@ def without_repeats(docs: DataFrame, size: int = 20, log2_cells: int = 28, text:
     docs = docs.withColumn("hash", F.xxhash64("text"))
     n = partitions(spark)
     blocks, shards = 8 * n, 2 * n
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, size, log2_cells))
+    bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(window_keys, size=size), log2_cells))
     sent = docs.mapInArrow(_candidates(size, log2_cells, bits, shards, blocks), _SENT)
     settled = sent.repartition(n, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(blocks), _SENT)
     gone = settled.select(F.col("key").alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("binary").alias("text"), "data")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -59,14 +60,11 @@ def test_against_brute_force(spark, monkeypatch, cells, held):
 def test_sketch_flags_every_repeat_and_few_others(spark):
     rows = corpus()
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("cast(text as binary) as text").repartition(3)
-    h1, _, _, _, _ = windows([t and t.encode() for _, t in rows], 5)
+    h1, _, _, _ = windows([t and t.encode() for _, t in rows], 5)
     hashes, counts = np.unique(h1, return_counts=True)
     for bits_log2, most in ((22, 0.01), (12, 1.0)):
-        bits = substring.repeated_cells(frame, 5, bits_log2)
-        flagged = np.ones(len(hashes), bool)
-        for row in range(substring.ROWS):
-            cell = substring._cells(hashes, row, bits_log2).astype(np.int64) + (row << bits_log2)
-            flagged &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+        bits = substring.repeated_cells(frame, partial(substring.window_keys, size=5), bits_log2)
+        flagged = substring.flagged_cells(hashes, bits, bits_log2)
         assert flagged[counts > 1].all()
         assert flagged[counts == 1].mean() <= most
 
