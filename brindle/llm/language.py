@@ -33,8 +33,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all trigrams of the texts, spaces around each; and how many each text has."""
-    spaced = [b" " + t.translate(_LETTERS) + b" " for t in texts]
+    """Buckets of all trigrams of the texts, two spaces around each so that none reaches into the next; how many each text has."""
+    spaced = [b"  " + t.translate(_LETTERS) + b"  " for t in texts]
     sizes = np.array([len(s) for s in spaced], np.int64)
     x = np.frombuffer(b"".join(spaced) + b"  ", np.uint8).astype(np.uint32)
     x = x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)

@@ -198,8 +198,8 @@ def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, tex
     docs = docs.withColumn("hash", F.xxhash64("text"))
     n = partitions(spark)
     bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(minimisers, size=size), log2_cells))
-    sent = docs.mapInArrow(_candidates(size, log2_cells, bits, 2 * n), _SENT)
-    settled = sent.repartition(n, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(size), _SENT)
+    sent = docs.mapInArrow(_candidates(size, log2_cells, bits, n), _SENT)
+    settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(size), _SENT)
     runs = settled.mapInArrow(_unpacked, "doc_id long, hash long, start long, stop long, source_doc_id long, source_start long")
     within = Window.partitionBy("doc_id", "hash").orderBy("start", "stop")
     reach = F.max("stop").over(within.rowsBetween(Window.unboundedPreceding, -1))

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 64
+#: Hash functions evaluated in one row.
+GROUP = 16
 #: Rows in a block of ids, about.
 BLOCK_ROWS = 2000
 _TABLE = 1024
-_NONE = "f" * 4 * SAMPLES
 _LEAST = -(1 << 63)
 
 
@@ -37,45 +38,65 @@ def gamma_quantiles(n: int) -> list[float]:
     return out
 
 
-def _words(text: Column) -> Column:
-    """Hashes of the words between ASCII white space, sorted."""
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.sort_array(F.transform(F.split(trimmed, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))))
-
-
 def _weighted(rows: DataFrame, text: str) -> DataFrame:
     """A row for each distinct word of each row: word (its hash) and weight; one of nulls for a text without words."""
     keep = [c for c in rows.columns if c != text]
-    rows = rows.select(*keep, _words(F.col(text)).alias("_w"))
+    # white space at the ends leaves empty words, whose hash is left out
+    hashes = F.sort_array(F.transform(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
+    rows = rows.select(*keep, hashes.alias("_w"))
     first = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.when(i == 0, True).otherwise(F.get("_w", i) != F.get("_w", i - 1)))
-    rows = rows.select(*keep, "_w", F.when(F.size("_w") > 0, first).otherwise(F.array().cast("array<int>")).alias("_f"))
+    rows = rows.select(*keep, "_w", first.alias("_f"))
     ends = F.transform("_f", lambda p, i: F.struct(F.get("_w", p).alias("word"), (F.coalesce(F.get("_f", i + 1), F.size("_w")) - p).alias("weight")))
-    return rows.select(*keep, F.inline_outer(ends))
+    return rows.select(*keep, F.inline_outer(F.filter(ends, lambda x: x["word"] != F.xxhash64(F.lit("")))))
+
+
+def _constants(n: int, seed: int) -> list[int]:
+    """n fixed longs: the finalised multiples of an odd number."""
+    out = []
+    for i in range(1, n + 1):
+        x = (i + (seed << 20)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        out.append((x ^ x >> 31) >> 1)
+    return out
 
 
 def _codes() -> list[Column]:
-    """For each hash function the least of value << 16 | sample over the rows (word, weight)."""
+    """For each hash function of a group the least of value << 16 | sample over the rows (salted, ln_weight)."""
     quantiles = gamma_quantiles(_TABLE)
-    r_of, lnc_of = F.lit(quantiles), F.lit([math.log(x) for x in quantiles])
+    r_of, lnc_of = F.lit(quantiles), F.lit([math.log(x) + 64 for x in quantiles])
     out = []
-    for k in range(SAMPLES):
-        u = F.xxhash64("word", F.lit(k))
+    for k, constant in enumerate(_constants(GROUP, 1)):
+        u = F.xxhash64(F.col("salted").bitwiseXOR(F.lit(constant)))
         r = F.get(r_of, u.bitwiseAND(F.lit(_TABLE - 1)).cast("int"))
         lnc = F.get(lnc_of, F.shiftrightunsigned(u, 10).bitwiseAND(F.lit(_TABLE - 1)).cast("int"))
-        b = F.shiftrightunsigned(u, 20).bitwiseAND(F.lit((1 << 24) - 1)) / F.lit(float(1 << 24))
+        b = F.shiftrightunsigned(u, 20).bitwiseAND(F.lit((1 << 24) - 1)) * F.lit(2.0**-24)
         t = F.floor(F.col("ln_weight") / r + b)
-        value = ((lnc - r * (t - b + 1) + 64) * F.lit(float(1 << 32))).cast("bigint")
-        name = (F.shiftrightunsigned(u, 44) + t * 40503).bitwiseAND(F.lit(0xFFFF))
-        out.append(F.min(F.when(F.col("word").isNotNull(), F.shiftleft(value, 16).bitwiseOR(name))).alias(f"s{k}"))
+        name = F.shiftrightunsigned(u, 48)
+
+        def code(value: Column, sample: Column) -> Column:
+            return F.shiftleft((value * F.lit(2.0**32)).cast("bigint"), 16).bitwiseOR(sample)
+
+        # a word that occurs once has t = 0
+        one = code(lnc + r * (b - 1), name)
+        more = code(lnc + r * (b - 1 - t), name.bitwiseXOR(t.bitwiseAND(F.lit(0xFFFF))))
+        out.append(F.min(F.when(F.col("ln_weight") == 0, one).when(F.col("ln_weight") > 0, more)).alias(f"s{k}"))
     return out
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and sig, 4 hex digits for each sample, of each group of keys; a group is one text."""
-    words = _weighted(rows.select(*keys, text), text).withColumn("ln_weight", F.ln("weight"))
-    mins = words.groupBy(*keys).agg(*_codes())
-    parts = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)))), 4, "0") for k in range(SAMPLES)]
-    return mins.select(*keys, F.coalesce(F.concat(*parts), F.lit(_NONE)).alias("sig"))
+    """keys and sig, 4 hex digits for each sample, of each group of keys; a group is one text.
+
+    The hash functions are taken GROUP at a time, each group over rows of its own: beyond that many in one
+    aggregation the generated code is too long for the compiler.
+    """
+    words = _weighted(rows.select(*keys, text), text)
+    salts = _constants(SAMPLES // GROUP, 2)
+    words = words.select(*keys, "word", F.ln("weight").alias("ln_weight"), F.explode(F.array(*(F.lit(x) for x in salts))).alias("salt"))
+    salted = words.select(*keys, "salt", F.col("word").bitwiseXOR(F.col("salt")).alias("salted"), "ln_weight")
+    mins = salted.groupBy(*keys, "salt").agg(*_codes())
+    parts = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)))), 4, "0") for k in range(GROUP)]
+    found = mins.select(*keys, "salt", F.coalesce(F.concat(*parts), F.lit("f" * 4 * GROUP)).alias("part"))
+    return found.groupBy(*keys).agg(F.concat(*(F.max(F.when(F.col("salt") == x, F.col("part"))) for x in salts)).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -1,0 +1,71 @@
+import hashlib
+import math
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from brindle.llm import weighted_sampling
+from brindle.llm.weighted_sampling import SAMPLES, edited_fingerprints, gamma_quantiles, likeness, signatures
+
+SCHEMA = "doc_id long, text string, block string, s0 int"
+
+
+def jaccard(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def corpus():
+    rng = random.Random(12)
+    v = [f"w{i}é" for i in range(80)]
+    rows = [(3 * d, rng.choice([" ", "\n", "  "]).join(rng.choices(v, k=rng.randint(0, 90)))) for d in range(150)]
+    return rows + [(1000, rows[4][1]), (1001, rows[4][1]), (1002, None), (1003, ""), (1003, "b b"), (1003, "a"), (1003, "a"), (None, "no id"), (1004, " \n"), (1005, "one")]
+
+
+def edits(rows):
+    """(row, next row) in the order of the definition."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    for i, (d, t) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        k = len(t) // 3
+        yield d, t, t[: len(t) - k] + after[:k], after
+
+
+def test_against_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(weighted_sampling, "BLOCK_ROWS", 20)
+    rows = corpus()
+    got = edited_fingerprints(spark.createDataFrame([(d, t, "x", 0) for d, t in rows], SCHEMA)).collect()
+    want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest()) for d, t, e, _ in edits(rows))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
+    prints = {}
+    for r in got:
+        prints.setdefault(r.edited_sha256, r.edited_fingerprint)
+        assert prints[r.edited_sha256] == r.edited_fingerprint
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    by = {r.doc_id: r for r in got}
+    assert by[1000].fingerprint == by[1001].fingerprint == by[12].fingerprint
+    assert by[1002].fingerprint == by[1004].fingerprint == "f" * 4 * SAMPLES
+    assert by[1001].near_next == 1.0
+    pairs = {(d, t): (e, a) for d, t, e, a in edits(rows) if d is not None and d < 1000}
+    error = [(by[d].near_edited - jaccard(t, e), by[d].near_next - jaccard(t, a)) for (d, t), (e, a) in pairs.items() if t.split() and a.split()]
+    for k in (0, 1):
+        assert abs(sum(x[k] for x in error) / len(error)) < 0.02
+        assert math.sqrt(sum(x[k] ** 2 for x in error) / len(error)) < 0.09
+
+
+def test_collision_rate_is_generalised_jaccard(spark):
+    a, b = "x " * 30 + "y " * 3 + "z", "x " * 20 + "y " * 9 + "u v w"
+    rows = [(k, " ".join(w + str(k) for w in t.split())) for k in range(60) for t in (a, b)]
+    prints = signatures(spark.createDataFrame([(k, n % 2, t) for n, (k, t) in enumerate(rows)], "k int, side int, text string"), ["k", "side"], "text")
+    pair = prints.groupBy("k").agg(F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("b"))
+    share = pair.agg(F.avg(likeness(F.col("a"), F.col("b")))).first()[0]
+    assert abs(share - jaccard(a, b)) < 0.035, (share, jaccard(a, b))
+
+
+def test_quantiles_and_small_tables(spark):
+    q = gamma_quantiles(1024)
+    assert abs(sum(q) / len(q) - 2) < 0.01 and q == sorted(q)
+    assert edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+    alone = edited_fingerprints(spark.createDataFrame([(1, "abc def gh", "", 0)], SCHEMA)).first()
+    assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abc defabc").hexdigest()
