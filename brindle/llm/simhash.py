@@ -44,16 +44,17 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row, fp the fingerprint as a signed long. Null and wordless texts have 0."""
+    """(doc_id, text_hash, fp) of every row, fp the fingerprint as a signed long. Null and wordless texts have 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column("text")
             for a, b in by_bytes(texts):
                 fps = np.array([fingerprint(t, shingle) for t in texts.slice(a, b - a).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(work, "doc_id long, text_hash long, fp long")
 
 
 def _cells(points: DataFrame) -> DataFrame:
@@ -208,6 +209,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _roots(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, least, root): every fingerprint with its least doc_id and the least fingerprint of its component."""
+    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(points.select("fp"), distance))
+    return points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -217,9 +225,24 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, text:
     unless all of its documents have none. Empty input gives no rows; other columns are ignored.
     """
     prints = spool(fingerprints(docs, text, doc_id, shingle), "prints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(points.select("fp"), distance))
-    rooted = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(prints, distance)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select(F.col("fp").alias("fp_"), "component_id")
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, distance: int = 4, shingle: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of docs, with all its columns, for each component: of its least doc_id, then of its least text hash.
+
+    A null doc_id comes after all ids. Of rows that share id and text the first by their other columns stays.
+    """
+    prints = spool(fingerprints(docs, text, doc_id, shingle), "prints")
+    rooted = _roots(prints, distance).select(F.col("fp").alias("fp_"), "root")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    pre = prints.groupBy("fp").agg(F.min(place).alias("place"))
+    kept = pre.join(rooted, F.col("fp") == F.col("fp_")).groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash"))
+    names = docs.columns
+    rows = docs.select(F.col(doc_id).cast("long").alias("_k"), F.xxhash64(text).alias("_h"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    rows = rows.join(kept, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
+    order = Window.partitionBy("_k", "_h").orderBy(*(f"c{i}" for i, c in enumerate(names) if c not in (text, doc_id)) or [F.lit(0)])
+    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
