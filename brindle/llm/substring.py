@@ -1,9 +1,10 @@
 """Removal of repeated word windows, behind a count-min prefilter.
 
-Pass 1: every task counts the hashes of its windows in a count-min sketch of ROWS rows, kept as the sorted
-cells it touched (twice at most) and sent in blocks of cells; blocks are merged, and what stays of the
-sketch is one bit for each cell: touched twice or more. Its size is fixed by `log2_cells`, so that it may be
-broadcast. Cells overestimate: a window that repeats is flagged in every row.
+Pass 1: every task counts its windows in a count-min sketch of ROWS rows, kept as the sorted cells it touched
+(twice at most) and sent in blocks of cells; blocks are merged, and what stays of the sketch is one bit for each
+cell: touched twice or more. Its size is fixed by `log2_cells`, so that it may be broadcast. A window is counted
+under the least of its grams' hashes, which neighbours mostly share: a sketch then serves several times as many
+windows. Both only overestimate: a window that repeats is flagged in every row.
 Pass 2: only flagged windows go on. A task keeps the first of equal windows and removes the others itself,
 so that a passage, however common, leaves a task once. The rest meet by hash, packed in arrays, and all but
 the first in the corpus are removed. Removals go back to the texts by blocks of documents.
@@ -30,6 +31,10 @@ ROWS = 2
 BLOCK_LOG2 = 20
 #: Windows a task holds before it sends them on.
 HELD = 4 << 20
+#: Bytes of texts whose windows are hashed at once.
+SLICE = 1 << 20
+#: Words of the grams that stand for windows in the sketch.
+GRAM = 10
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -62,20 +67,41 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), counts
 
 
-def windows(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window inside a text: two hashes, the text's place in the list, its first word."""
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` consecutive values, by doubling."""
+    out, have = values, 1
+    while have * 2 <= width:
+        out = np.minimum(out[: len(out) - have], out[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def windows(texts: list[bytes | None], size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of every window inside a text: two hashes, text, first word, key, and whether it is the first to select its key.
+
+    The key is the least hash of the window's grams of `gram` words, so that equal windows have equal keys. Consecutive
+    windows that select it at one place count once; equal windows at different places select it at different places.
+    """
     hashes, counts = word_hashes(texts)
     fit = np.maximum(counts - size + 1, 0)
     owner = np.repeat(np.arange(len(texts)), fit)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(fit) - fit, fit)
     if not len(owner):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), owner, start
+        none = np.empty(0, np.uint64)
+        return none, none, owner, start, none, np.empty(0, bool)
     at = start + np.repeat(np.cumsum(counts) - counts, fit)
-    return rolling(hashes, size, M1)[at], rolling(hashes, size, M2)[at], owner, start
+    grams = rolling(hashes, gram, M1)
+    key = sliding_least(grams, size - gram + 1)[at]
+    left = grams[at] == key
+    fresh = np.r_[True, (key[1:] != key[:-1]) | left[:-1] | (owner[1:] != owner[:-1])]
+    return rolling(hashes, size, M1)[at], rolling(hashes, size, M2)[at], owner, start, key, fresh
 
 
-def window_keys(texts: list[bytes | None], size: int) -> np.ndarray:
-    return windows(texts, size)[0]
+def window_keys(texts: list[bytes | None], size: int, gram: int) -> np.ndarray:
+    """The keys of all windows, each once for every place where windows select it."""
+    *_, key, fresh = windows(texts, size, gram)
+    return key[fresh]
 
 
 def _cells(h1: np.ndarray, row: int, log2_cells: int) -> np.ndarray:
@@ -131,7 +157,7 @@ def _sketch_parts(keys: Callable[[list], np.ndarray], log2_cells: int):
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["block", "cells"])
 
         for batch in batches:
-            for a, b in by_bytes(batch.column(0)):
+            for a, b in by_bytes(batch.column(0), SLICE):
                 h1 = keys(batch.column(0).slice(a, b - a).to_pylist())
                 if len(h1):
                     held.append(h1)
@@ -198,22 +224,28 @@ class Places:
 
     @staticmethod
     def pack(docs: np.ndarray, index: np.ndarray, start: np.ndarray, *more: np.ndarray) -> bytes:
-        """index ascends: rows of one document are consecutive."""
+        """index ascends, and start in each document: starts are sent as gaps, each document's after the one before."""
         used, first = np.unique(index, return_index=True)
-        counts = np.diff(np.r_[first, len(index)]).astype("<u4")
-        head = np.array([len(used), len(index)], "<u4").tobytes()
-        return b"".join([head, docs[used].tobytes(), counts.tobytes(), start.astype("<u4").tobytes(), *(x.tobytes() for x in more)])
+        counts = np.diff(np.r_[first, len(index)])
+        base = np.cumsum(np.r_[0, start[np.r_[first[1:], len(index)] - 1][:-1] + 1]) if len(used) else first
+        gaps = gaps_encoded(start + np.repeat(base, counts))
+        head = np.array([len(used), len(index), len(gaps)], "<u4").tobytes()
+        return b"".join([head, docs[used].tobytes(), counts.astype("<u4").tobytes(), *(x.tobytes() for x in more), gaps])
 
     @classmethod
     def unpack(cls, data: bytes, *more: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Documents, rows of each, starts, and further columns of the given types."""
-        n, m = np.frombuffer(data, "<u4", 2)
-        at = 8
+        n, m, size = (int(x) for x in np.frombuffer(data, "<u4", 3))
+        at = 12
         out = []
-        for kind, k in ((cls.kind, n), ("<u4", n), ("<u4", m), *((x, m) for x in more)):
+        for kind, k in ((cls.kind, n), ("<u4", n), *((x, m) for x in more)):
             out.append(np.frombuffer(data, kind, k, at))
             at += out[-1].nbytes
-        return out[0], out[1].astype(np.int64), out[2], out[3:]
+        counts = out[1].astype(np.int64)
+        along = gaps_decoded(data[at : at + size])
+        first = np.cumsum(counts) - counts
+        base = np.r_[0, along[first[1:] - 1] + 1] if n else first
+        return out[0], counts, along - np.repeat(base, counts), out[2:]
 
 
 def order_of(docs: np.ndarray) -> np.ndarray:
@@ -260,7 +292,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "key", "data"])
 
 
-def _candidates(size: int, log2_cells: int, bits, shards: int, blocks: int):
+def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int, blocks: int):
     """Flagged windows by shard (kind 0), and removals that a task can tell by itself by block (kind 1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +327,9 @@ def _candidates(size: int, log2_cells: int, bits, shards: int, blocks: int):
 
         for batch in batches:
             own = Places.of(batch.column("doc_id"), batch.column("hash"))
-            for a, b in by_bytes(batch.column("text")):
-                h1, h2, index, start = windows(batch.column("text").slice(a, b - a).to_pylist(), size)
-                flagged = flagged_cells(h1, bits.value, log2_cells)
+            for a, b in by_bytes(batch.column("text"), SLICE):
+                h1, h2, index, start, key, _ = windows(batch.column("text").slice(a, b - a).to_pylist(), size, gram)
+                flagged = flagged_cells(key, bits.value, log2_cells)
                 if not flagged.any():
                     continue
                 used, inverse = np.unique(index[flagged], return_inverse=True)
@@ -401,14 +433,14 @@ def without_repeats(docs: DataFrame, size: int = 20, log2_cells: int = 28, text:
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     docs = docs.withColumn("hash", F.xxhash64("text"))
-    n = partitions(spark)
-    blocks, shards = 8 * n, 2 * n
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(window_keys, size=size), log2_cells))
-    sent = docs.mapInArrow(_candidates(size, log2_cells, bits, shards, blocks), _SENT)
-    settled = sent.repartition(n, "kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_settle(blocks), _SENT)
+    n, gram = partitions(spark), min(GRAM, size)
+    bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(window_keys, size=size, gram=gram), log2_cells))
+    # shards of windows and blocks of documents are partitions: a task sends one array to each
+    sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, n, n), _SENT)
+    settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(n), _SENT)
     gone = settled.select(F.col("key").alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("binary").alias("text"), "data")
     # the block of a document is its text's hash, unsigned, modulo blocks
-    unsigned = F.pmod(F.pmod(F.shiftrightunsigned("hash", 1), F.lit(blocks)) * 2 + F.col("hash").bitwiseAND(F.lit(1)), F.lit(blocks)).cast("int")
+    unsigned = F.pmod(F.pmod(F.shiftrightunsigned("hash", 1), F.lit(n)) * 2 + F.col("hash").bitwiseAND(F.lit(1)), F.lit(n)).cast("int")
     rows = docs.select(unsigned.alias("block"), F.lit(1).alias("kind"), "doc_id", "hash", "text", F.lit(None).cast("binary").alias("data"))
-    met = gone.unionByName(rows).repartition(n, "block").sortWithinPartitions("block", "kind")
+    met = gone.unionByName(rows).repartitionById(n, F.col("block")).sortWithinPartitions("block", "kind")
     return met.mapInArrow(_apply(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -20,46 +20,13 @@ from pyspark.sql import functions as F
 
 from brindle.llm import substring
 from brindle.llm.common import by_bytes, partitions
-from brindle.llm.substring import Places, flagged_cells, repeated_cells, word_hashes
+from brindle.llm.substring import Places, flagged_cells, repeated_cells, window_keys, windows
 
 GRAM = 16
 _SENT = "kind int, key int, data binary"
 _RUN = np.dtype([("null", "u1"), ("id", "<i8"), ("text", "<i8"), ("start", "<u4"), ("stop", "<u4"), ("from_null", "u1"), ("from_id", "<i8"), ("from_start", "<u4")])
 
 
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of every `width` consecutive values, by doubling."""
-    out, have = values, 1
-    while have * 2 <= width:
-        out = np.minimum(out[: len(out) - have], out[have:])
-        have *= 2
-    rest = width - have
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
-
-
-def stretches(texts: list[bytes | None], size: int) -> tuple[np.ndarray, ...]:
-    """Of every stretch of `size` words inside a text: two hashes, text, first word, hash of its minimiser."""
-    gram = min(GRAM, size)
-    hashes, counts = word_hashes(texts)
-    fit = np.maximum(counts - size + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), fit)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(fit) - fit, fit)
-    if not len(owner):
-        none = np.empty(0, np.uint64)
-        return none, none, owner, start, none
-    at = start + np.repeat(np.cumsum(counts) - counts, fit)
-    least = sliding_least(substring.rolling(hashes, gram, substring.M1), size - gram + 1)
-    return substring.rolling(hashes, size, substring.M1)[at], substring.rolling(hashes, size, substring.M2)[at], owner, start, least[at]
-
-
-def minimisers(texts: list[bytes | None], size: int) -> np.ndarray:
-    """Hashes of the grams at the retained suffixes, once for a row of stretches that select it."""
-    _, _, owner, _, least = stretches(texts, size)
-    if not len(least):
-        return least
-    return least[np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]]
-
-
 def _runs(docs: np.ndarray, index: np.ndarray, start: np.ndarray, source: np.ndarray, source_start: np.ndarray, size: int) -> np.ndarray:
     """Repeated stretches as runs: consecutive starts that are consecutive in one source are one."""
     order = np.lexsort((start, index))
@@ -90,7 +57,7 @@ def _batch(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["kind", "key", "data"])
 
 
-def _candidates(size: int, log2_cells: int, bits, shards: int):
+def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int):
     """Stretches at suffixes that may repeat, by minimiser (kind 0); runs that a task can tell by itself (kind 1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +92,8 @@ def _candidates(size: int, log2_cells: int, bits, shards: int):
 
         for batch in batches:
             own = Places.of(batch.column("doc_id"), batch.column("hash"))
-            for a, b in by_bytes(batch.column("text")):
-                h1, h2, index, start, least = stretches(batch.column("text").slice(a, b - a).to_pylist(), size)
+            for a, b in by_bytes(batch.column("text"), substring.SLICE):
+                h1, h2, index, start, least, _ = windows(batch.column("text").slice(a, b - a).to_pylist(), size, gram)
                 flagged = flagged_cells(least, bits.value, log2_cells)
                 if not flagged.any():
                     continue
@@ -196,9 +163,9 @@ def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, tex
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     docs = docs.withColumn("hash", F.xxhash64("text"))
-    n = partitions(spark)
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(minimisers, size=size), log2_cells))
-    sent = docs.mapInArrow(_candidates(size, log2_cells, bits, n), _SENT)
+    n, gram = partitions(spark), min(GRAM, size)
+    bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(window_keys, size=size, gram=gram), log2_cells))
+    sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, n), _SENT)
     settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(size), _SENT)
     runs = settled.mapInArrow(_unpacked, "doc_id long, hash long, start long, stop long, source_doc_id long, source_start long")
     within = Window.partitionBy("doc_id", "hash").orderBy("start", "stop")

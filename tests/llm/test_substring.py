@@ -50,6 +50,7 @@ def corpus():
 @pytest.mark.parametrize(("cells", "held"), [(28, 4 << 20), (9, 4 << 20), (20, 40)])
 def test_against_brute_force(spark, monkeypatch, cells, held):
     monkeypatch.setattr(substring, "HELD", held)
+    monkeypatch.setattr(substring, "GRAM", 3)
     rows = corpus()
     frame = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(5)
     got = without_repeats(frame, 5, cells).collect()
@@ -60,15 +61,36 @@ def test_against_brute_force(spark, monkeypatch, cells, held):
 def test_sketch_flags_every_repeat_and_few_others(spark):
     rows = corpus()
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("cast(text as binary) as text").repartition(3)
-    h1, _, _, _ = windows([t and t.encode() for _, t in rows], 5)
-    hashes, counts = np.unique(h1, return_counts=True)
-    for bits_log2, most in ((22, 0.01), (12, 1.0)):
-        bits = substring.repeated_cells(frame, partial(substring.window_keys, size=5), bits_log2)
-        flagged = substring.flagged_cells(hashes, bits, bits_log2)
+    h1, _, _, _, key, _ = windows([t and t.encode() for _, t in rows], 5, 3)
+    hashes, at, counts = np.unique(h1, return_index=True, return_counts=True)
+    grams = np.unique(key[at][counts == 1]).size
+    assert grams > 100
+    for bits_log2, most in ((22, 0.2), (12, 1.0)):
+        bits = substring.repeated_cells(frame, partial(substring.window_keys, size=5, gram=3), bits_log2)
+        flagged = substring.flagged_cells(key[at], bits, bits_log2)
         assert flagged[counts > 1].all()
         assert flagged[counts == 1].mean() <= most
 
 
+def test_equal_windows_at_different_places_count_twice():
+    """Also in texts that repeat themselves, where neighbours share a key."""
+    for text in (b"a " * 40, b"a b " * 30, b"x a b c " * 9, b"a b c d e f " * 2):
+        h1, _, _, _, key, _ = windows([text], 5, 3)
+        keys, counts = np.unique(substring.window_keys([text], 5, 3), return_counts=True)
+        often = dict(zip(keys.tolist(), counts.tolist()))
+        for h in np.unique(h1):
+            assert often[int(key[h1 == h][0])] >= (h1 == h).sum() > 0
+
+
+def test_packed_places():
+    docs = np.zeros(4, substring.Places.kind)
+    docs["id"] = [5, 9, -3, 7]
+    index, start = np.array([0, 0, 2, 3, 3, 3]), np.array([4, 900, 0, 0, 1, 70_000])
+    got, counts, back, (extra,) = substring.Places.unpack(substring.Places.pack(docs, index, start, start.astype("<u8")), "<u8")
+    assert got["id"].tolist() == [5, -3, 7] and counts.tolist() == [2, 1, 3] and back.tolist() == start.tolist() == extra.tolist()
+    assert len(substring.Places.unpack(substring.Places.pack(docs, index[:0], start[:0]))[2]) == 0
+
+
 def test_gap_code():
     rng = np.random.default_rng(1)
     for cells in ([], [0], [0, 0], [254], [255], [256, 510, 510, 511, 5000], np.sort(rng.integers(0, 1 << 20, 5000))):

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from brindle.llm import substring, suffix
-from brindle.llm.suffix import minimisers, repeated_passages, sliding_least, stretches
+from brindle.llm.substring import sliding_least, window_keys, windows
+from brindle.llm.suffix import repeated_passages
 
 SCHEMA = "doc_id long, text string, hash string, start int"
 
@@ -67,11 +68,11 @@ def test_equal_stretches_select_equal_minimisers():
     assert all(np.array_equal(sliding_least(x, w), [x[i : i + w].min() for i in range(len(x) - w + 1)]) for w in (1, 2, 3, 7, 8, 35) for x in [rng.integers(0, 1 << 60, 80).astype(np.uint64)])
     shared = " ".join(f"s{i}" for i in range(60))
     texts = [f"{' '.join(f'{c}{i}' for i in range(n))} {shared} end {c}".encode() for c, n in (("a", 40), ("b", 77))]
-    h1, _, owner, start, least = stretches(texts, 50)
+    h1, _, owner, start, least, _ = windows(texts, 50, 16)
     one, two = ({int(h): int(m) for h, m, o in zip(h1, least, owner) if o == k} for k in (0, 1))
     both = set(one) & set(two)
     assert len(both) == 12 and all(one[h] == two[h] for h in both)
-    assert len(minimisers(texts, 50)) < len(h1) / 6
+    assert len(window_keys(texts, 50, 16)) < len(h1) / 6
 
 
 def test_long_passages_across_documents(spark):
