@@ -1,17 +1,19 @@
-"""The registry of the relational plans."""
+"""The registry of plans, filled by the modules beside this one."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from brindle.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
 
 def plan(sql: str | None = None):
     """Registers a plan under its function's name, with its SQL if there is any."""
@@ -25,17 +27,16 @@ def plan(sql: str | None = None):
     return register
 
 
-@plan("""
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-       round(avg(l_discount), 6) AS avg_disc, count(*) AS n_lines
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
-""")
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_shipdate <= timestamp_ntz'1998-09-02'")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"),
-        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-        F.count(F.lit(1)).alias("n_lines"),
-    )
+def statement(name: str, sql: str, oracle: str | None = None) -> None:
+    """Registers a statement over the tables; oracle where another engine spells it differently."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    text = sql
+    for t in used:
+        text = re.sub(rf"\b(from|join|,)(\s+){t}\b", rf"\1\2{{{t}}} as {t}", text, flags=re.I)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used if f"{{{t}}}" in text})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE_SQL[name] = oracle or sql

@@ -1,0 +1,58 @@
+"""A source of one's own through the Python data source API: numbers in parallel partitions, in batch and as a stream."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.types import StructType
+
+
+class _Span(InputPartition):
+    def __init__(self, start: int, stop: int):
+        self.start, self.stop = start, stop
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, rows: int, parts: int):
+        self.rows, self.parts = rows, max(1, parts)
+
+    def partitions(self) -> list[_Span]:
+        cuts = [self.rows * i // self.parts for i in range(self.parts + 1)]
+        return [_Span(a, b) for a, b in zip(cuts, cuts[1:])]
+
+    def read(self, partition: _Span) -> Iterator[tuple[int, int]]:
+        for n in range(partition.start, partition.stop):
+            yield n, n * n
+
+
+class _Stream(SimpleDataSourceStreamReader):
+    def __init__(self, rows: int, step: int):
+        self.rows, self.step = rows, step
+
+    def initialOffset(self) -> dict:
+        return {"at": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[int, int]], dict]:
+        stop = min(self.rows, start["at"] + self.step)
+        return iter([(n, n * n) for n in range(start["at"], stop)]), {"at": stop}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[int, int]]:
+        return iter([(n, n * n) for n in range(start["at"], end["at"])])
+
+
+class CounterSource(DataSource):
+    """Options: rows, parts (batch), step (rows in a micro-batch)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "brindle_counter"
+
+    def schema(self) -> str:
+        return "n bigint, square bigint"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(int(self.options.get("rows", 10)), int(self.options.get("parts", 2)))
+
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+        return _Stream(int(self.options.get("rows", 10)), int(self.options.get("step", 4)))
