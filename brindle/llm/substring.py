@@ -30,7 +30,7 @@ from brindle.llm.common import by_bytes, partitions
 ROWS = 2
 BLOCK_LOG2 = 20
 #: Windows a task holds before it sends them on.
-HELD = 4 << 20
+HELD = 1 << 20
 #: Bytes of texts whose windows are hashed at once.
 SLICE = 1 << 20
 #: Words of the grams that stand for windows in the sketch.
