@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
+
+    The application's folder goes when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/brindle/{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _hadoop(spark, top)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spooled = path
+    return out
+
+
+def unspool(df: DataFrame) -> None:
+    """Deletes what spool() wrote: for tables that nothing reads any more, nor would after a failure."""
+    fs, at = _hadoop(df.sparkSession, df._spooled)
+    fs.delete(at, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def partitions(spark: SparkSession) -> int:
@@ -51,30 +70,6 @@ def by_bytes(values: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]
         start = stop
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows of equal keys, over batch borders, from an input sorted by keys."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(n, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), n]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the graph of edges a-b, with the least node of each one's component."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from brindle.llm.common import by_bytes, least_labels, partitions, spool
+from brindle.llm.common import by_bytes, least_labels, partitions, spool, unspool
 
 SEGMENT_MASK = 0x5555555555555555
 #: Points of a cell that one task compares with each other; larger cells are cut into pairs of blocks.
@@ -202,7 +202,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = spool(small.distinct(), "edges")
+        last, edges = edges, spool(small.distinct(), "edges")
+        unspool(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
