@@ -38,7 +38,9 @@ SELECT o_orderkey, l_orderkey, l_linenumber FROM orders FULL JOIN (SELECT l_orde
 """)
 statement("join_semi", "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 statement("join_anti", "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-statement("join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation AS a JOIN nation AS b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey".replace("FROM nation AS a JOIN nation AS b", "FROM (SELECT * FROM nation) AS a JOIN (SELECT * FROM nation) AS b"))
+statement("join_theta", """
+SELECT a.n_name AS a, b.n_name AS b FROM (SELECT * FROM nation) AS a JOIN (SELECT * FROM nation) AS b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey
+""")
 statement("not_in_with_null", "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT nullif(r_regionkey, 2) FROM region)")
 statement("scalar_subquery", """
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(x.o_totalprice) * 1.5 FROM (SELECT * FROM orders) AS x WHERE x.o_custkey = orders.o_custkey)
@@ -180,3 +182,9 @@ statement("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nat
 statement("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier")
 statement("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
 statement("recursive_series", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+statement("group_by_all_alias", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL")
+statement("lateral_alias", "SELECT o_orderkey, o_totalprice * 2 AS twice, twice + 1 AS more FROM orders")
+statement("star_except", "SELECT * EXCEPT (s_name) FROM supplier", "SELECT * EXCLUDE (s_name) FROM supplier")
+statement("pipe_syntax", "FROM orders |> WHERE o_totalprice > 100000 |> AGGREGATE count(*) AS n GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus")
+statement("join_hinted", "SELECT /*+ SHUFFLE_HASH(c) */ o_orderkey, c_mktsegment FROM orders JOIN (SELECT * FROM customer) AS c ON o_custkey = c_custkey", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+statement("agg_mode_first", "SELECT o_orderstatus, mode(o_orderpriority) AS usual FROM (SELECT o_orderstatus, o_orderpriority FROM orders UNION ALL SELECT o_orderstatus, '1-URGENT' AS o_orderpriority FROM orders) AS x GROUP BY o_orderstatus")

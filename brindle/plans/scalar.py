@@ -103,3 +103,22 @@ def sketch_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan()
 def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.percentile_approx("o_totalprice", [0.1, 0.5, 0.9], 10_000).alias("q"))
+
+
+@plan()
+def sketch_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theta and KLL sketches, frequent items and histograms, in one pass; bounded in memory, near the exact answers."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.theta_sketch_estimate(F.theta_sketch_agg("user_id")).alias("users"),
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value"), F.lit(0.5)).alias("median"),
+        F.expr("approx_top_k(user_id, 3)").alias("frequent"),
+        F.histogram_numeric("value", F.lit(5)).alias("histogram"),
+    )
+
+
+@plan("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {'type': event_type}['type'] AS kind, length(event_type) + 1 AS n FROM events")
+def scalar_variant_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semi-structured values and maps."""
+    events = table(spark, sf_dir, "events")
+    kinds = F.create_map(F.lit("type"), F.col("event_type"))
+    return events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"), kinds["type"].alias("kind"), (F.length("event_type") + F.size(kinds)).cast("bigint").alias("n"))
