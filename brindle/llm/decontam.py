@@ -142,7 +142,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, share: int, item
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe, held = last.value
         for batch in batches:
-            for x, y in by_bytes(batch.column("text")):
+            for x, y in by_bytes(batch.column("text"), 1 << 20):
                 part = batch.slice(x, y - x)
                 rows = []
                 for text, spans, items in zip(part.column("text"), part.column("_spans").to_pylist(), part.column("_items").to_pylist()):
