@@ -41,20 +41,26 @@ def test_quality_stage_drops_what_the_model_rejects(spark, sf, stages):
     assert {r["doc_id"] for r in rows(out)} == want and 0 < len(want) < docs.count()
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
+
+
 def test_dedup_stage_keeps_one_of_each_group(stages):
     docs, out = stages["simhash_near_dedup"]
     own = sorted(rows(docs), key=lambda r: r["doc_id"])
-    prints = [simhash.fingerprint(r["text"].encode()) for r in own]
-    label = list(range(len(own)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(own)):
-            for j in range(i):
-                if (prints[i] ^ prints[j]).bit_count() <= 4 and label[i] != label[j]:
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
-    assert {r["doc_id"] for r in rows(out)} == {own[k]["doc_id"] for k in set(label)} and len(set(label)) < len(own)
+    prints = np.stack([simhash.wide_fingerprint(r["text"].encode()) for r in own])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    label = np.arange(len(own))
+    while True:
+        new = np.where(apart <= simhash.bits_apart(0.8, 512), label[None], len(own)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    kept = {r["doc_id"] for r in rows(out)}
+    assert kept == {own[k]["doc_id"] for k in set(label.tolist())} and len(kept) < len(own)
+    sets = [shingles(r["text"]) for r in own if r["doc_id"] in kept]
+    assert all(len(x & y) < 0.85 * len(x | y) for i, x in enumerate(sets) for y in sets[:i] if x | y)
 
 
 def test_decontamination_stage(spark, sf, stages):

@@ -1,9 +1,11 @@
 import random
 import string
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from brindle.llm import simhash
 from brindle.llm.simhash import components, near_duplicates
 
 SCHEMA = "doc_id long, text string, fingerprint int, cell string"
@@ -87,8 +89,6 @@ def test_bit_flips_chain(spark):
 
 
 def test_cells_of_several_blocks(spark, monkeypatch):
-    from brindle.llm import simhash
-
     monkeypatch.setattr(simhash, "BLOCK", 8)
     base = 0x0123456789ABCDEF
     points = [base ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]
@@ -101,3 +101,84 @@ def test_empty_and_one_group(spark):
     assert made(spark, []).count() == 0
     rows = [(i, "the same words in each of them") for i in range(300)]
     assert made(spark, rows).select(F.min("component_id"), F.max("component_id"), F.count_distinct("fingerprint")).first() == (0, 0, 1)
+
+
+def wide_frame(spark, rng, families):
+    """Random fingerprints, each with copies that differ in a number of bits; and the fingerprints by node."""
+    prints = {}
+    for flips in families:
+        base = rng.integers(0, 2**63, simhash.LANES, np.uint64)
+        prints[len(prints)] = base
+        for n in flips:
+            x = base.copy()
+            for b in rng.permutation(64 * simhash.LANES)[:n]:
+                x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+            prints[len(prints)] = x
+    return spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in prints.items()], "node long, fp binary"), prints
+
+
+def roots_of(edges, nodes):
+    found = {r.node: r.root for r in components(edges).collect()}
+    return {k: found.get(k, k) for k in nodes}
+
+
+def closed(prints, distance):
+    m = np.stack(list(prints.values()))
+    label = np.arange(len(m))
+    near = np.bitwise_count(m[:, None] ^ m[None]).sum(2) <= distance
+    while True:
+        new = np.where(near, label[None], len(m)).min(1)
+        if (new == label).all():
+            return dict(enumerate(label.tolist()))
+        label = new
+
+
+def test_wide_cells_of_one_and_of_several_blocks(spark):
+    """In one cell, whole or in blocks, links have the components of all pairs within the distance."""
+    rng = np.random.default_rng(3)
+    frame, prints = wide_frame(spark, rng, [rng.integers(20, 130, 12) for _ in range(20)] + [rng.integers(60, 90, 60)])
+    want = closed(prints, simhash.bits_apart(0.8, 512))
+    assert 20 < len(set(want.values())) < len(prints)
+    for block in (4096, 16):
+        assert roots_of(simhash.similar(frame, 0.8, tables=1, segments=0, block=block), prints) == want
+    assert roots_of(simhash.similar(frame, 0.8, tables=1, segments=0, block=16, broadcastable=0), prints) == want
+
+
+def test_wide_grid_recall(spark):
+    """Of pairs as far apart as texts of similarity 0.85 and 0.8 are, the grid loses few."""
+    rng = np.random.default_rng(4)
+    for flips, least in ((66, 0.97), (78, 0.9)):
+        frame, prints = wide_frame(spark, rng, [[flips]] * 300)
+        roots = roots_of(simhash.similar(frame, 0.8, tables=48, segments=16), prints)
+        assert sum(roots[2 * k] == roots[2 * k + 1] for k in range(300)) >= least * 300
+        assert len(set(roots.values())) >= 300
+
+
+def test_wide_fingerprint_of_words(spark):
+    """Each bit is the majority of the shingles' bits, whatever the number of shingles; words are told apart as in the contract."""
+    words = [f"w{k}" for k in range(9000)]
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)], np.uint64)
+    ones = np.unpackbits(simhash._lanes(hashes, simhash.LANES).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    got = simhash.wide_fingerprint(" ".join(words).upper().encode())
+    assert (np.unpackbits(got.view(np.uint8), bitorder="little") == (2 * ones > len(hashes))).all()
+    assert (simhash.wide_fingerprint(b"A\x0bb\tc") == simhash.wide_fingerprint(b" a B c ")).all()
+    assert not simhash.wide_fingerprint(None).any() and not simhash.wide_fingerprint(b" \n").any()
+
+
+def test_representatives_of_edited_texts(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for d in range(60):
+        text = rng.choices(words, k=300)
+        rows.append((d, " ".join(text), "x"))
+        for e in range(3):
+            near = list(text)
+            for at in rng.sample(range(300), 4):
+                near[at] = rng.choice(words)
+            rows.append((1000 + 3 * d + e, " ".join(near), "x"))
+    rows += [(5000, " ".join(rng.choices(words, k=300)), "x")] + [(6000 + k, rows[0][1], "x") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert {*range(60), 5000} <= kept and len(kept) <= 62 and max(kept) < 6000  # of 180 copies of similarity 0.87 the grid loses one at most
+    assert simhash.representatives(docs.limit(0)).collect() == []
