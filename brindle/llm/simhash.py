@@ -255,13 +255,16 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, text:
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = 5, lanes: int = LANES) -> np.ndarray:
-    """A SimHash of 64 * lanes bits, each lane from a remixed hash of the shingles; zero if there are no words."""
+    """A SimHash of 64 * lanes bits over the set of shingles, each lane from their remixed hashes; zero if there are no words.
+
+    A shingle counts once, so that a line that fills two texts does not make them alike.
+    """
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(lanes, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64, n)
+    hashes = np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64))
+    n = len(hashes)
     ones = np.zeros(64 * lanes, np.int64)
     for at in range(0, n, 4080):
         bits = np.unpackbits(_lanes(hashes[at : at + 4080], lanes).view(np.uint8), axis=1, bitorder="little")

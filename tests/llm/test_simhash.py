@@ -162,6 +162,9 @@ def test_wide_fingerprint_of_words(spark):
     got = simhash.wide_fingerprint(" ".join(words).upper().encode())
     assert (np.unpackbits(got.view(np.uint8), bitorder="little") == (2 * ones > len(hashes))).all()
     assert (simhash.wide_fingerprint(b"A\x0bb\tc") == simhash.wide_fingerprint(b" a B c ")).all()
+    line = b" the same line again and again"
+    one, other = (simhash.wide_fingerprint(" ".join(words[k : k + 200]).encode() + 500 * line) for k in (0, 300))
+    assert np.bitwise_count(one ^ other).sum() > 150
     assert not simhash.wide_fingerprint(None).any() and not simhash.wide_fingerprint(b" \n").any()
 
 
