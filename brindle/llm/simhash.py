@@ -7,14 +7,21 @@ is within 2, so that the unit grid balls of radius 1 around both points meet in
 that half. Points are written to the cells of their balls, cells that hold one point go, and the
 points of a cell are compared: first by the Manhattan bound over all segments, then exactly.
 
-Texts of a shingle similarity of 0.8 are 3 to 13 of 64 bits apart, where counts of segments tell nothing. For these,
-representatives() has fingerprints of 512 bits and grids over one-bit segments, whose counts are the bits themselves.
+Texts of a shingle similarity of 0.8 are 3 to 13 of 64 bits apart, where counts of segments tell nothing. similar() has
+fingerprints of 512 bits and grids over one-bit segments for these, whose counts are the bits themselves: an estimate.
+
+representatives() is exact. In any one order of all shingles, two sets of a similarity share one of the first shingles of
+both (the prefix filter). The order has those first that a sketch of fixed size counted once, which no other set has, and
+common ones last. Sets that share a shingle there, and what such shares reach, are a group, and the sets of a group are
+compared whole.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -23,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from brindle.llm import substring
 from brindle.llm.common import by_bytes, least_labels, partitions, spool, unspool
 
 SEGMENT_MASK = 0x5555555555555555
@@ -32,6 +40,8 @@ BLOCK = 16384
 LANES = 8
 #: Verified links held before they are folded into a forest.
 FOLD = 1 << 20
+#: Samples of the sets, one of so many, in which the sketch counts shingles again: those met twice there are common.
+SAMPLES = (16, 256)
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -254,17 +264,24 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, text:
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of a text's set of word shingles, ascending; a text of fewer words is one shingle, one of none has none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64))
+
+
 def wide_fingerprint(text: bytes | None, shingle: int = 5, lanes: int = LANES) -> np.ndarray:
     """A SimHash of 64 * lanes bits over the set of shingles, each lane from their remixed hashes; zero if there are no words.
 
     A shingle counts once, so that a line that fills two texts does not make them alike.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(lanes, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64))
+    hashes = shingles(text, shingle)
     n = len(hashes)
+    if not n:
+        return np.zeros(lanes, np.uint64)
     ones = np.zeros(64 * lanes, np.int64)
     for at in range(0, n, 4080):
         bits = np.unpackbits(_lanes(hashes[at : at + 4080], lanes).view(np.uint8), axis=1, bitorder="little")
@@ -290,16 +307,115 @@ def bits_apart(similarity: float, bits: int, margin: float = 1.3) -> int:
     return int(bits * p + margin * math.sqrt(bits * p * (1 - p)))
 
 
-def _wide_prints(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
+def _salted(hashes: np.ndarray, sample: int) -> np.ndarray:
+    return substring._mix(hashes ^ np.uint64(sample * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def _sketch_keys(texts: list[bytes | None], shingle: int) -> np.ndarray:
+    """The shingles of each text once, and once more, salted, for every sample that the set is in."""
+    out = [np.empty(0, np.uint64)]
+    for own in (shingles(t, shingle) for t in texts):
+        name = xxh64_intdigest(own.tobytes())
+        out += [own, *(_salted(own, k) for k in SAMPLES if name % k == 0)]
+    return np.concatenate(out)
+
+
+def _prefix(own: np.ndarray, similarity: Fraction, bits: np.ndarray, log2_cells: int) -> np.ndarray:
+    """Of the first shingles of a set in the common order, those that other sets may have."""
+    flagged = substring.flagged_cells(own, bits, log2_cells)
+    few = len(own) - math.ceil(similarity * len(own)) + 1
+    alone = len(own) - int(flagged.sum())
+    if alone >= few:
+        return own[:0]
+    own = own[flagged]
+    common = sum(substring.flagged_cells(_salted(own, k), bits, log2_cells).astype(int) for k in SAMPLES)
+    return own[np.lexsort((own, common))][: few - alone]
+
+
+def _sets(docs: DataFrame, similarity: Fraction, shingle: int, bits, log2_cells: int) -> DataFrame:
+    """(doc_id, text_hash, node, prefix, shingles) of docs(doc_id, text_hash, text): node is the set's hash, the last two are null where no other set can be similar."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for a, b in by_bytes(texts):
-                fps = pa.array([wide_fingerprint(t, shingle).tobytes() for t in texts.slice(a, b - a).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), fps], ["doc_id", "text_hash", "fp"])
+                nodes, prefixes, sets = [], [], []
+                for own in (shingles(t, shingle) for t in texts.slice(a, b - a).to_pylist()):
+                    first = _prefix(own, similarity, bits.value, log2_cells)
+                    nodes.append(xxh64_intdigest(own.tobytes()))
+                    prefixes.append(first.view(np.int64) if len(first) else None)
+                    sets.append(own.tobytes() if len(first) else None)
+                made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *made], ["doc_id", "text_hash", "node", "prefix", "shingles"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, text_hash long, fp binary").withColumn("node", F.xxhash64("fp"))
+    return docs.mapInArrow(work, "doc_id long, text_hash long, node long, prefix array<long>, shingles binary")
+
+
+def _exact_forest(similarity: Fraction):
+    """Links of the sets of each run that have the similarity, folded. One less the similarity is a metric: once a set's
+    neighbours hang on it, they are compared with those sets alone that are within twice the distance of it."""
+    far = 2 * similarity - 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+
+        def peel(node: np.ndarray, sets: list[np.ndarray]) -> None:
+            names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            size = np.array([len(x) for x in sets])
+            stop = np.cumsum(size)
+            own = [flat.reshape(-1)[b - n : b] for b, n in zip(stop, size)]
+            mark = np.zeros(len(names), bool)
+
+            def alike(k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Which of the others have the similarity to set k, and which may be near one that has."""
+                if not len(others):
+                    return np.empty(0, bool), np.empty(0, bool)
+                mark[own[k]] = True
+                begin = np.r_[0, np.cumsum(size[others])[:-1]]
+                both = np.add.reduceat(mark[np.concatenate([own[x] for x in others])], begin, dtype=np.int64)
+                mark[own[k]] = False
+                either = size[k] + size[others] - both
+                return tuple(both * x.denominator >= either * x.numerator for x in (similarity, far))
+
+            left = np.arange(len(sets))
+            while len(left) > 1:
+                k, left = left[0], left[1:]
+                hit, about = alike(k, left)
+                near, border = left[hit], left[about & ~hit]
+                forest.add(np.full(len(near), node[k]), node[near])
+                few, more = (near, border) if len(near) < len(border) else (border, near)
+                for x in few:
+                    linked = more[alike(x, more)[0]]
+                    forest.add(np.full(len(linked), node[x]), node[linked])
+                left = left[~hit]
+
+        for part in _runs(batches):
+            node, sets = part.column("node").to_numpy(), part.column("shingles")
+            for start, n in zip(*_groups(part)):
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(start, n)]
+                peel(node[start : start + n], own)
+        yield forest.batch()
+
+    return work
+
+
+def exact_links(sets: DataFrame, similarity: Fraction, block: int = 1024) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of sets (node, prefix, shingles) of the similarity.
+
+    Groups of more than `block` sets are cut into pairs of blocks.
+    """
+    sets = sets.filter("prefix is not null")
+    shared = sets.select("node", F.explode("prefix").alias("key")).distinct()
+    least = shared.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    groups = components(shared.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    members = members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumnRenamed("root", "cell")
+    # sets of equal nodes are equal
+    own = sets.join(members, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "n", "shingles")))
+    one = own.filter(F.col("n") <= block).drop("n").select("*", *(F.lit(0).alias(c) for c in ("blk", "i", "j")))
+    met = one.unionByName(_paired(own.filter(F.col("n") > block), "node", block)).drop("blk")
+    dealt = met.repartition(partitions(sets.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return dealt.mapInArrow(_exact_forest(similarity), "a long, b long")
 
 
 def _grid(points: DataFrame, tables: int, segments: int) -> DataFrame:
@@ -397,19 +513,21 @@ def similar(points: DataFrame, similarity: float, tables: int, segments: int, bl
     return dealt.mapInArrow(_wide_forest(bits_apart(similarity, 64 * LANES)), "a long, b long")
 
 
-def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 48, segments: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, log2_cells: int = 27, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of docs, with all its columns, for each group of near copies: of its least doc_id, then of its least text hash.
 
-    Near copies are texts whose word shingles have `similarity`, as SimHashes of 512 bits tell it, and what such links
-    reach. Two texts of exactly 0.8 share a cell of some grid in 97 cases of 100 and pass the distance in 90, those of 0.85 in
-    over 99; texts of 0.7 to 0.8 pass in part. Pairs met by chance grow with the square of the rows over 2 ** segments: raise
-    segments for larger tables, and tables to ln 0.03 / ln(1 - 0.848 ** segments), which keeps the share found. Null, empty and wordless texts are one group. A null doc_id comes after all ids. Of rows
-    that share id and text the first by their other columns stays. Empty input gives no rows.
+    Near copies are texts whose sets of word shingles have a Jaccard similarity of `similarity` or more, and what such links
+    reach; pairs are compared whole, and none is missed. Null, empty and wordless texts are one group. A null doc_id comes
+    after all ids. Of rows that share id and text the first by their other columns stays. Empty input gives no rows.
     """
-    prints = spool(_wide_prints(docs, text, doc_id, shingle), "prints")
+    least = Fraction(similarity).limit_denominator(1000)
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
+    bits = docs.sparkSession.sparkContext.broadcast(substring.repeated_cells(keyed, partial(_sketch_keys, shingle=shingle), log2_cells))
+    prints = spool(_sets(keyed, least, shingle, bits, log2_cells), "prints")
+    bits.unpersist()
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    points = spool(prints.groupBy("node", "fp").agg(F.min(place).alias("place")), "points")
-    roots = components(similar(points, similarity, tables, segments)).withColumnRenamed("node", "node_")
+    points = spool(prints.groupBy("node").agg(F.min(place).alias("place")), "points")
+    roots = components(exact_links(prints.select("node", "prefix", "shingles"), least)).withColumnRenamed("node", "node_")
     rooted = points.join(roots, F.col("node") == F.col("node_"), "left").select("place", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash"))
     names = docs.columns

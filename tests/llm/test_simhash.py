@@ -185,3 +185,42 @@ def test_representatives_of_edited_texts(spark):
     kept = {r.doc_id for r in simhash.representatives(docs).collect()}
     assert {*range(60), 5000} <= kept and len(kept) <= 62 and max(kept) < 6000  # of 180 copies of similarity 0.87 the grid loses one at most
     assert simhash.representatives(docs.limit(0)).collect() == []
+
+
+def jaccard_groups(texts, least=0.8):
+    """The least place of each text's group, by all pairs."""
+    sets = [set(simhash.shingles(t.encode()).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= round(10 * least) * len(sets[i] | sets[j])]
+    while True:
+        new = list(label)
+        for i, j in near:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == label:
+            return label
+        label = new
+
+
+def test_representatives_are_exact(spark, monkeypatch):
+    """Pairs at, just above and just below 0.8, lines and passages that many texts share, and groups of several blocks."""
+    rng = random.Random(6)
+    word = iter(f"w{k}" for k in range(10**6))
+    fresh = lambda n: [next(word) for _ in range(n)]
+    line, texts = fresh(30), []
+    for n in range(60):
+        # sets of m shingles and of the same with k more: m / (m + k)
+        m = 4 * rng.randint(10, 60)
+        text = fresh(m + 4)
+        texts += [" ".join(text), " ".join(text + fresh(m // 4 + n % 3 - 1))]
+    base = fresh(204)
+    for _ in range(60):
+        near = list(base)
+        near[rng.randrange(204)] = next(word)
+        texts.append(" ".join(near))
+    texts += [" ".join(fresh(rng.randint(1, 8)) + line) for _ in range(60)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, node string")
+    want = set(jaccard_groups(texts))
+    assert {r.doc_id for r in simhash.representatives(docs, log2_cells=20).collect()} == want
+    monkeypatch.setattr(simhash.exact_links, "__defaults__", (16,))
+    assert {r.doc_id for r in simhash.representatives(docs, log2_cells=8).collect()} == want
