@@ -3,7 +3,8 @@
 A page becomes a tree. Each paragraph gives points for its length and its commas to its ancestors, less the
 further up they are; a container's points are discounted by its share of linked text. The best container is
 kept, with those siblings that score well against it or are plain text of their own. Inside, boilerplate goes
-by tag, role and the words of class and id, unless it holds most of the text.
+by tag, role and the words of class and id. What goes by such words, or as a form, stays if it holds most of the
+page's unlinked text.
 """
 
 from __future__ import annotations
@@ -30,27 +31,42 @@ DROPPED = frozenset("script style noscript template iframe object embed svg math
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl body html article section div main td th blockquote".split())
 _WORDS = "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus foot footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
-_BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])" % "|".join(_WORDS))
+#: A class or id is boilerplate if it is one of the words, or words alone with parts that tell place or shape.
+_SHAPES = "left right top bottom site global box wrap wrapper container list area block bar links [0-9]+".split()
+_BOILERPLATE = re.compile(r"(?:^|\s)(?:(?:{s})[_-]+)*(?:{w})(?:[_-]+(?:{w}|{s}))*(?=$|\s)".format(w="|".join(_WORDS), s="|".join(_SHAPES)))
+#: Readers' replies and consent texts are often longer than the article: they stay only where there is no other text.
+_APART = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|consent|cookies?|gdpr)(?:$|[\s_-])")
+#: Their ids are slugs of their text.
+_SLUGS = frozenset("h1 h2 h3 h4 h5 h6 p pre dt dd".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form toolbar".split())
 _PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 _CONTAINER = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "body": -5.0, "html": -10.0}
 
 
 class Node:
-    __slots__ = ("tag", "hint", "role", "hidden", "parent", "parts", "size", "linked", "points")
+    __slots__ = ("tag", "hint", "role", "hidden", "parent", "parts", "size", "linked", "points", "prose")
 
     def __init__(self, tag: str, parent: Node | None, hint: str = "", role: str = "", hidden: bool = False):
         self.tag, self.parent, self.hint, self.role, self.hidden = tag, parent, hint, role, hidden
         self.parts: list[Node | str] = []
-        self.size = self.linked = 0
+        self.size = self.linked = self.prose = 0
         self.points = 0.0
 
-    def boilerplate(self) -> bool:
-        if self.tag in DROPPED or self.hidden or self.role in _ROLES:
+    def never(self) -> bool:
+        """Boilerplate however much it holds."""
+        if self.tag in DROPPED and self.tag not in ("form", "fieldset") or self.hidden or self.role in _ROLES and self.role != "form":
             return True
-        if self.tag == "header":
-            return not any(p.tag in ("article", "main") for p in self.above())
-        return bool(self.hint) and self.tag not in ("html", "body", "article", "main") and bool(_BOILERPLATE.search(self.hint))
+        return self.tag == "header" and not any(p.tag in ("article", "main") for p in self.above())
+
+    def boilerplate(self, whole: int) -> bool:
+        """Whether it goes from a page of so much unlinked text."""
+        if self.never():
+            return True
+        if self.tag in ("form", "fieldset") or self.role == "form":
+            return 2 * self.prose <= whole
+        if self.hint and self.tag not in ("html", "body", "article", "main") and _BOILERPLATE.search(self.hint):
+            return 2 * self.prose <= whole or bool(_APART.search(self.hint)) and self.prose < whole
+        return False
 
     def above(self) -> Iterator[Node]:
         node = self.parent
@@ -59,11 +75,11 @@ class Node:
             node = node.parent
 
 
-def _attributes(source: str) -> tuple[str, str, bool]:
+def _attributes(source: str, tag: str) -> tuple[str, str, bool]:
     hint, role, hidden = [], "", False
     for m in _ATTRIBUTE.finditer(source):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
+        if name == "class" or name == "id" and tag not in _SLUGS:
             hint.append(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
         elif name == "role":
             role = value.strip().lower()
@@ -115,7 +131,7 @@ def parse(source: str) -> Node:
                         break
                 elif x.tag in _SCOPE and x.tag not in ENDS[tag]:
                     break
-        own = Node(tag, node, *(_attributes(m[3]) if m[3].strip() else ("", "", False)))
+        own = Node(tag, node, *(_attributes(m[3], tag) if m[3].strip() else ("", "", False)))
         node.parts.append(own)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
@@ -134,13 +150,28 @@ def _between(node: Node, stop: Node) -> Iterator[Node]:
         node = node.parent
 
 
+def _weigh(root: Node) -> None:
+    """Sets every node's unlinked text size, without what never stays."""
+    order: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "a" or node.parent is not None and node.never():
+            continue
+        order.append(node)
+        stack += [x for x in node.parts if isinstance(x, Node)]
+    for node in reversed(order):
+        node.prose = sum(len(x.strip()) if isinstance(x, str) else x.prose for x in node.parts)
+
+
 def _measure(root: Node) -> list[Node]:
     """Sets every node's text size and linked size, boilerplate left out; returns nodes in page order."""
+    _weigh(root)
     order: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.boilerplate() and node.parent is not None:
+        if node.boilerplate(root.prose) and node.parent is not None:
             node.size = -1
             continue
         order.append(node)

@@ -63,3 +63,20 @@ def test_odd_rows(spark):
     rows = [(1, "u", None, 0), (1, "u", None, 0), (None, None, f"<p>{P1}</p>", 1), (3, "v", "".join(rng.choices("<>p/ab ", k=5000)), 2)]
     assert extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).count() == 4
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ["<div class='content with-sidebar'>", "<div class='has-header'>", "<div class='widget-area'>", "<div id=sidebar>", "<form action='/'>", "<form><div role=form class='widget'>"],
+)
+def test_what_holds_most_of_the_text_stays(opening):
+    assert main_text(f"<nav><a href='/'>Home</a></nav>{opening}<p>{P1}</p><p>{P2}</p></div></form><div class=sidebar-left><p>Other things, to see.</p></div>") == f"{P1}\n{T2}"
+
+
+def test_words_inside_an_article():
+    page = f"<article><div class='article-header'><h1>Title</h1></div><h2 id='social-effects'>Effects</h2><p id=notice>{P1}</p><div class='site-header'>Site</div><p class=ad>Buy.</p><p>{P2}</p></article>"
+    assert main_text(page) == f"Title\nEffects\n{P1}\n{T2}"
+
+
+def test_replies_longer_than_the_article_go():
+    assert main_text(f"<article><p>{P1}</p></article><section id=comments><p>{P2} {P2}</p><p>{P1} {P2}</p></section>") == P1
