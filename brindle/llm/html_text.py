@@ -2,8 +2,8 @@
 
 A page becomes a tree. Each paragraph gives points for its length and its commas to its ancestors, less the
 further up they are; a container's points are discounted by its share of linked text. The best container is
-kept, with those siblings that score well against it or are plain text of their own. Inside, boilerplate goes
-by tag, role and the words of class and id. What goes by such words, or as a form, stays if it holds most of the
+kept, with its siblings: beside an article or main those that score well against it or are plain text of their own,
+else all but what is mostly linked, headings, lists and short sections included. Inside, boilerplate goes by tag, role and the words of class and id. What goes by such words, or as a form, stays if it holds most of the
 page's unlinked text.
 """
 
@@ -195,8 +195,29 @@ def _own_text(node: Node) -> str:
     return "".join(out)
 
 
+def _with_siblings(top: Node) -> Node:
+    """A container of top and what is beside it, without blocks and runs of inline text that are mostly linked."""
+    while top.parent is not None and top.parent.size == top.size:
+        top = top.parent
+    if top.parent is None:
+        return top
+    shell = Node("div", None)
+    run: list[Node | str] = []
+    for x in (*top.parent.parts, None):
+        if isinstance(x, str) or x is not None and x.tag not in BLOCKS:
+            run.append(x)
+            continue
+        for group in (run, [x] if x is not None else []):
+            size = sum(len(y.strip()) if isinstance(y, str) else max(0, y.size) for y in group)
+            linked = sum(y.linked for y in group if isinstance(y, Node) and y.size > 0)
+            if top in group or 2 * linked < size:
+                shell.parts += group
+        run = []
+    return shell
+
+
 def best(root: Node) -> list[Node]:
-    """The container of most points and the siblings that go with it, in page order."""
+    """The container of most points and the siblings that go with it, in page order or in a container of their own."""
     order = _measure(root)
     held: list[Node] = []
     for node in order:
@@ -221,6 +242,8 @@ def best(root: Node) -> list[Node]:
     for up in (top, *top.above()):
         if up.tag in ("article", "main") and up.size >= top.size:
             top = up
+    if top.tag not in ("article", "main"):
+        return [_with_siblings(top)]
     if top.parent is None:
         return [top]
     floor = max(10.0, 0.2 * value.get(id(top), 0.0))

@@ -80,3 +80,12 @@ def test_words_inside_an_article():
 
 def test_replies_longer_than_the_article_go():
     assert main_text(f"<article><p>{P1}</p></article><section id=comments><p>{P2} {P2}</p><p>{P1} {P2}</p></section>") == P1
+
+
+def test_short_siblings_of_the_best_container_stay():
+    """Title, headings, lists, tables and short sections beside the winner, and text outside of any; links and boilerplate go."""
+    long = "".join(f"<p>{P1} {i}</p>" for i in range(10))
+    page = f"<div><h1>Title</h1>Loose, <a href='/x'>linked</a> text.<div>{long}</div><h2>Head</h2><ul><li>one<li>two</ul><div class=share><p>Share this.</p></div><table><tr><td>x<td>y</table><blockquote>Said.</blockquote><pre>a b</pre><div><p>Short end.</p></div><ul><li><a href='/a'>Link</a></ul></div>"
+    lines = ["Title", "Loose, linked text.", *(f"{P1} {i}" for i in range(10)), "Head", "one", "two", "x", "y", "Said.", "a b", "Short end."]
+    assert main_text(f"<body><nav><a href='/'>Home</a></nav>{page}<footer>end</footer></body>") == "\n".join(lines)
+    assert main_text(f"<div><h1>Title</h1><div><div>{long}</div></div><p>End.</p></div>").split("\n")[0::11] == ["Title", "End."]
