@@ -28,7 +28,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"), within=True)
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

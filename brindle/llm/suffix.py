@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, or within one too, by sparse suffix arrays.
 
 Only suffixes at minimisers are retained: among the k-word grams of every stretch of `size` words, the one of the
 least hash. A stretch that repeats selects the same minimiser wherever it is, so that its copies retain suffixes
@@ -44,20 +44,29 @@ def _runs(docs: np.ndarray, index: np.ndarray, start: np.ndarray, source: np.nda
     return out
 
 
-def _compare(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted order; in it, whether an equal stretch is in an earlier document, and where the first one is."""
+def _order_of(docs: np.ndarray, within: bool) -> np.ndarray:
+    """Rank of each document by id, and with within by text hash too, so that rows that share an id only have an order."""
+    return np.unique(docs, return_inverse=True)[1].reshape(-1) if within and len(docs) else substring.order_of(docs)
+
+
+def _compare(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted order; in it, whether an equal stretch is earlier (in an earlier document, or within one too), and where the first one is."""
     order = np.lexsort((start, rank, h2, h1))
     a, b, r = h1[order], h2[order], rank[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, r != r[first], order[first]
+    later = r != r[first]
+    if within:
+        p = start[order]
+        later |= p != p[first]
+    return order, later, order[first]
 
 
 def _batch(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["kind", "key", "data"])
 
 
-def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int):
+def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int, within: bool):
     """Stretches at suffixes that may repeat, by minimiser (kind 0); runs that a task can tell by itself (kind 1)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +83,7 @@ def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int):
             held.clear()
             docs_held = 0
             index = inverse.reshape(-1)[index]
-            order, later, first = _compare(h1, h2, substring.order_of(docs)[index], start)
+            order, later, first = _compare(h1, h2, _order_of(docs, within)[index], start, within)
             gone, source = order[later], first[later]
             runs = _runs(docs, index[gone], start[gone], index[source], start[source], size)
             turn += 1
@@ -109,7 +118,7 @@ def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int):
     return work
 
 
-def _settle(size: int):
+def _settle(size: int, within: bool):
     """Sorts each shard's suffixes and compares neighbours; passes on the runs that are settled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +127,7 @@ def _settle(size: int):
         def done() -> Iterator[pa.RecordBatch]:
             docs, index, start, h1, h2 = substring.gathered(held)
             held.clear()
-            order, later, first = _compare(h1, h2, substring.order_of(docs)[index], start)
+            order, later, first = _compare(h1, h2, _order_of(docs, within)[index], start, within)
             gone, source = order[later], first[later]
             runs = _runs(docs, index[gone], start[gone], index[source], start[source], size)
             if len(runs):
@@ -151,13 +160,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(runs["text"]), starts[0], starts[1], sources, starts[2]], names)
 
 
-def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, text: str = "text", doc_id: str = "doc_id", within: bool = False) -> DataFrame:
     """A row for each passage of `size` words or more that an earlier document has too: doc_id, start, n_words, source_doc_id, source_start.
 
     Words are what ASCII white space parts, unchanged, and counted from 0. A passage is the longest stretch of words
     covered by stretches of `size` words each of which is also in a document of smaller id; its source is a document
     that holds the first of them, the earliest that the sort met. A null doc_id comes after all ids. Rows that share
     an id are at one place: they are not each other's source, and rows that share the text too are reported once.
+    With `within`, a stretch that starts earlier in the same document counts too, and the document is its own source; rows
+    that share an id only are then ordered by their texts' hashes and may be each other's source.
     Null texts have no words. Empty input gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -165,8 +176,8 @@ def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, tex
     docs = docs.withColumn("hash", F.xxhash64("text"))
     n, gram = partitions(spark), min(GRAM, size)
     bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(window_keys, size=size, gram=gram), log2_cells))
-    sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, n), _SENT)
-    settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(size), _SENT)
+    sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, n, within), _SENT)
+    settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(size, within), _SENT)
     runs = settled.mapInArrow(_unpacked, "doc_id long, hash long, start long, stop long, source_doc_id long, source_start long")
     within = Window.partitionBy("doc_id", "hash").orderBy("start", "stop")
     reach = F.max("stop").over(within.rowsBetween(Window.unboundedPreceding, -1))

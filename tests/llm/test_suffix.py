@@ -83,3 +83,46 @@ def test_long_passages_across_documents(spark):
     got = repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.doc_id, r.start, r.n_words, r.source_doc_id, r.source_start) for r in got} == {(d, 300, 51, 3, 300) for d in (40, 77)}
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(("cells", "held"), [(24, 4 << 20), (8, 4 << 20), (20, 60)])
+def test_repeats_within_a_document(spark, monkeypatch, cells, held):
+    """All stretches that start earlier, in an earlier document or the same one, against brute force."""
+    monkeypatch.setattr(substring, "HELD", held)
+    monkeypatch.setattr(suffix, "GRAM", 4)
+    rows = [r for r in corpus() if r[0] != 700]
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(25)]
+    for d in range(800, 820):
+        rows.append((d, " ".join(x for k in range(5) for x in [*passage[rng.randint(0, 9) :], *(f"{d}-{k}-{i}" for i in range(5))])))
+    words = {d: (t or "").encode().split() for d, t in rows}
+    place = lambda d: (d is None, d or 0)
+    first = {}
+    for d in sorted(words, key=place):
+        for i in range(len(words[d]) - 9):
+            first.setdefault(tuple(words[d][i : i + 10]), []).append((place(d), i, d))
+    want = {}
+    for d, w in words.items():
+        found = []
+        for i in range(len(w) - 9):
+            earlier = {(x, k) for p, k, x in first[tuple(w[i : i + 10])] if (p, k) < (place(d), i)}
+            if earlier and found and i <= found[-1][0] + found[-1][1]:
+                found[-1][1] = i + 10 - found[-1][0]
+            elif earlier:
+                found.append([i, 10, earlier])
+        want |= {(d, i, n): s for i, n, s in found}
+    frame = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(5)
+    got = repeated_passages(frame, 10, cells, within=True).collect()
+    assert {(r.doc_id, r.start, r.n_words) for r in got} == set(want) and len(got) == len(want)
+    assert all((r.source_doc_id, r.source_start) in want[r.doc_id, r.start, r.n_words] for r in got)
+    assert any(r.source_doc_id == r.doc_id for r in got)
+
+
+def test_query_reports_repeats_within_a_document(spark, tmp_path):
+    from brindle.llm.queries import op5_suffix_dedup
+
+    unique = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, f"{unique('p', 60)} {unique('x', 40)} {unique('p', 60)}"), (2, f"{unique('q', 55)} one"), (2, f"{unique('q', 55)} other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in op5_suffix_dedup(spark, str(tmp_path)).collect())
+    assert got == [(1, 100, 60, 1, 0), (2, 0, 55, 2, 0)]
