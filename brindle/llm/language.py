@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from brindle.llm.common import by_bytes, partitions
 
 UNIT, BUCKETS, CHUNKS, ROUNDS = 64, 1 << 16, 16, 12
-#: Languages in a mixture at most.
-MOST = 4
 #: ASCII letters in lower case, bytes of other code points as they are, all else a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -107,7 +105,7 @@ class Model:
         shares, _ = self._fit(odds, owner, first, units, start)
         rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1)
         best, most = np.zeros_like(shares), np.full(len(texts), -np.inf)
-        for k in range(1, min(MOST, len(self.langs)) + 1):
+        for k in range(1, len(self.langs) + 1):
             start = np.where(rank < k, np.maximum(shares, 1e-6), 0)
             fitted, fit = self._fit(odds, owner, first, units, start / start.sum(1, keepdims=True))
             fit = fit - (k - 1) * (0.5 * np.log(units) + 1)

@@ -1,7 +1,9 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from brindle.llm import language
 from brindle.llm.language import Model, fit, has_letter, identify, trigrams
 
 
@@ -59,3 +61,14 @@ def test_odd_rows(spark):
     none = fit(spark.createDataFrame([(1, "a", None), (None, "b", "x"), (5, None, "x")], "doc_id long, text string, lang string"))
     assert none.langs == [] and {r.lang_pred for r in identify(spark.createDataFrame(rows, "doc_id long, text string"), none).collect()} == {"und"}
     assert identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_documents_of_more_than_four_languages():
+    """The set of languages grows as far as the likelihood tells: the shares of six are found."""
+    rng = np.random.default_rng(5)
+    names = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    write = lambda k, n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwx"[4 * k : 4 * k + 4] + " "), n)).encode()
+    counts = {name: np.bincount(language.trigrams([write(k, 20_000)])[0], minlength=language.BUCKETS) for k, name in enumerate(names)}
+    lengths = [3000, 1000, 1000, 1000, 1000, 1000]
+    shares = language.Model(counts).mixtures([b" ".join(write(k, n) for k, n in enumerate(lengths))])[0]
+    assert np.allclose(shares, np.array(lengths) / sum(lengths), atol=0.03)
