@@ -1,10 +1,11 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree. Each paragraph gives points for its length and its commas to its ancestors, less the
-further up they are; a container's points are discounted by its share of linked text. The best container is
-kept, with its siblings: beside an article or main those that score well against it or are plain text of their own,
-else all but what is mostly linked, headings, lists and short sections included. Inside, boilerplate goes by tag, role and the words of class and id. What goes by such words, or as a form, stays if it holds most of the
-page's unlinked text.
+A page becomes a tree. Each block's own text, inline elements included, gives points for its length and its commas to its
+ancestors, less the further up they are; a container's points are discounted by its share of linked text. The best container
+is kept, with its siblings: beside an article or main those that score well against it or are plain text of their own, and a
+main heading before one that has none; else all but what is mostly linked, headings, lists and short sections included.
+Inside, boilerplate goes by tag, role and the words of class and id. What goes by such words, or as a form, stays if it
+holds most of the page's unlinked text. Parsing and scoring take time in proportion to the page's length.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import by_bytes
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.S)
+#: A tag behind its "<": quotes hold a ">" only where they are an attribute's value. Possessive, so that one look is one pass.
+_TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_PLAIN_TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +33,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 DROPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title nav aside footer form fieldset button select option input textarea label dialog menu".split())
 #: A start tag that ends an open one.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("table ul ol dl body html article section div main td th blockquote".split())
 _WORDS = "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus foot footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
 #: A class or id is boilerplate if it is one of the words, or words alone with parts that tell place or shape.
@@ -44,10 +49,11 @@ _CONTAINER = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockq
 
 
 class Node:
-    __slots__ = ("tag", "hint", "role", "hidden", "parent", "parts", "size", "linked", "points", "prose")
+    __slots__ = ("tag", "hint", "role", "hidden", "parent", "parts", "size", "linked", "points", "prose", "inside")
 
     def __init__(self, tag: str, parent: Node | None, hint: str = "", role: str = "", hidden: bool = False):
         self.tag, self.parent, self.hint, self.role, self.hidden = tag, parent, hint, role, hidden
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.parts: list[Node | str] = []
         self.size = self.linked = self.prose = 0
         self.points = 0.0
@@ -56,7 +62,7 @@ class Node:
         """Boilerplate however much it holds."""
         if self.tag in DROPPED and self.tag not in ("form", "fieldset") or self.hidden or self.role in _ROLES and self.role != "form":
             return True
-        return self.tag == "header" and not any(p.tag in ("article", "main") for p in self.above())
+        return self.tag == "header" and not self.inside
 
     def boilerplate(self, whole: int) -> bool:
         """Whether it goes from a page of so much unlinked text."""
@@ -88,68 +94,122 @@ def _attributes(source: str, tag: str) -> tuple[str, str, bool]:
     return " ".join(hint), role, hidden
 
 
+class _Open:
+    """The open elements. What a tag may close is found by counts, so that a step up is paid for by the element it closes."""
+
+    def __init__(self, root: Node):
+        self.stack, self.blocks, self.scopes = [root], [root], [root]
+        self.tags: dict[str, int] = {}
+        self.in_block: list[dict[str, int]] = [{}]  # inline elements above each open block
+        self.in_scope: list[dict[str, int]] = [{}]  # elements above each of _SCOPE
+
+    def push(self, node: Node) -> None:
+        self._count(node.tag, 1)
+        self.stack.append(node)
+        if node.tag in BLOCKS:
+            self.blocks.append(node)
+            self.in_block.append({})
+        if node.tag in _SCOPE:
+            self.scopes.append(node)
+            self.in_scope.append({})
+
+    def _count(self, tag: str, by: int) -> None:
+        for counts in (self.tags, self.in_scope[-1], *([] if tag in BLOCKS else [self.in_block[-1]])):
+            counts[tag] = counts.get(tag, 0) + by
+
+    def pop(self) -> Node:
+        node = self.stack.pop()
+        if node.tag in BLOCKS:
+            self.blocks.pop()
+            self.in_block.pop()
+        if node.tag in _SCOPE:
+            self.scopes.pop()
+            self.in_scope.pop()
+        self._count(node.tag, -1)
+        return node
+
+    def close(self, tags: set[str]) -> None:
+        while self.pop().tag not in tags:
+            pass
+
+    def end(self, tag: str) -> None:
+        """An end tag; an inline one doesn't reach over an open block, and one that nothing open answers to is nothing."""
+        if (self.tags if tag in BLOCKS else self.in_block[-1]).get(tag):
+            self.close({tag})
+
+    def make_room(self, tag: str) -> None:
+        """Closes what a start tag ends."""
+        if tag in BLOCKS:
+            block = self.blocks[-1].tag
+            if block == "p" or block in _HEADINGS and tag in _HEADINGS:
+                self.close({block})
+        ends = ENDS.get(tag, ())
+        while ends and (any(self.in_scope[-1].get(x) for x in ends) or self.scopes[-1].tag in ends):
+            self.close(ends)
+            if tag not in ("tr", "thead", "tbody", "tfoot"):
+                break
+
+
 def parse(source: str) -> Node:
-    """The page's tree. Unclosed and misnested tags are closed as far as the open ones tell; nothing is refused."""
-    root = node = Node("html", None)
-    at = 0
-    raw = re.compile("")
-    while at < len(source):
-        m = _TOKEN.search(source, at)
-        text = source[at : m.start() if m else len(source)]
-        if text:
-            node.parts.append(html.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                node.parts.append(m[0][9:].removesuffix("]]>"))
+    """The page's tree. Unclosed and misnested tags are closed as far as the open ones tell; nothing is refused. A tag that
+    the page's end cuts off goes, with what is in it. Time grows with the page's length."""
+    root = Node("html", None)
+    opened = _Open(root)
+    begin = at = 0  # of the text not yet kept, and of the search
+    last = source.rfind(">")
+    quotes = True
+
+    def keep(stop: int) -> None:
+        if stop > begin:
+            text = source[begin:stop]
+            opened.stack[-1].parts.append(html.unescape(text) if "&" in text else text)
+
+    while (at := source.find("<", at)) >= 0:
+        mark = source[at + 1 : at + 2]
+        if mark == "!" or mark == "?":
+            keep(at)
+            for head, tail in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if source.startswith(head, at):
+                    stop = source.find(tail, at + len(head))
+                    if head == "<![CDATA[":
+                        opened.stack[-1].parts.append(source[at + 9 : stop if stop >= 0 else len(source)])
+                    begin = at = stop + len(tail) if stop >= 0 else len(source)
+                    break
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" or tag == "br":
-                stop = next((x for x in (node, *node.above()) if x.tag == tag), None)
-                if stop is None:
-                    continue
-            else:
-                stop = next((x for x in (node, *node.above()) if x.tag == tag), None)
-            # an inline end tag doesn't reach over an open block
-            if stop is not None and stop.parent is not None and (tag in BLOCKS or not any(x.tag in BLOCKS for x in _between(node, stop))):
-                node = stop.parent
+        name = source[at + 2 : at + 3] if mark == "/" else mark
+        if not (name.isascii() and name.isalpha()):
+            at += 1
             continue
+        keep(at)
+        if at > last:
+            begin = len(source)
+            break
+        m = _TAG.match(source, at + 1) if quotes else None
+        if m is None:
+            # a quoted value has no end: from here on tags end at the next ">"
+            quotes = False
+            m = _PLAIN_TAG.match(source, at + 1)
+        begin = at = m.end()
+        tag = m[2].lower()
         if tag == "html":
             continue
-        if tag in BLOCKS:
-            stop = next((x for x in (node, *node.above()) if x.tag in BLOCKS), None)
-            if stop is not None and stop.tag == "p" or stop is not None and re.fullmatch("h[1-6]", stop.tag) and re.fullmatch("h[1-6]", tag):
-                node = stop.parent or root
-        if tag in ENDS:
-            for x in (node, *node.above()):
-                if x.tag in ENDS[tag]:
-                    node = x.parent or root
-                    if tag not in ("tr", "thead", "tbody", "tfoot"):
-                        break
-                elif x.tag in _SCOPE and x.tag not in ENDS[tag]:
-                    break
-        own = Node(tag, node, *(_attributes(m[3], tag) if m[3].strip() else ("", "", False)))
-        node.parts.append(own)
+        if m[1]:
+            opened.end(tag)
+            continue
+        opened.make_room(tag)
+        own = Node(tag, opened.stack[-1], *(_attributes(m[3], tag) if m[3].strip() else ("", "", False)))
+        opened.stack[-1].parts.append(own)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            raw = re.compile(rf"</{re.escape(tag)}\s*>?", re.I)
-            end = raw.search(source, at)
-            at = end.end() if end else len(source)
+            end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
+            begin = at = end.end() if end else len(source)
             continue
-        node = own
+        opened.push(own)
+    keep(len(source))
     return root
 
 
-def _between(node: Node, stop: Node) -> Iterator[Node]:
-    while node is not stop:
-        yield node
-        node = node.parent
-
-
 def _weigh(root: Node) -> None:
     """Sets every node's unlinked text size, without what never stays."""
     order: list[Node] = []
@@ -216,20 +276,26 @@ def _with_siblings(top: Node) -> Node:
     return shell
 
 
+def _titled(top: Node) -> bool:
+    """Whether a main heading stays inside."""
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node.tag == "h1" and node.size > 0:
+            return True
+        stack += [x for x in node.parts if isinstance(x, Node) and x.size > 0]
+    return False
+
+
 def best(root: Node) -> list[Node]:
     """The container of most points and the siblings that go with it, in page order or in a container of their own."""
     order = _measure(root)
     held: list[Node] = []
     for node in order:
-        if node.tag in _PARAGRAPHS or node.tag in BLOCKS and any(isinstance(x, str) and x.strip() for x in node.parts):
-            text = _own_text(node).strip()
-            if not text:
-                continue
+        if node.tag in BLOCKS and (text := _own_text(node).strip()):
             points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 30)
             start = node if node.tag not in _PARAGRAPHS else node.parent
-            for k, up in enumerate((start, *start.above()) if start else ()):
-                if k > 5:
-                    break
+            for k, up in enumerate((start, *islice(start.above(), 5)) if start else ()):
                 if up.points == 0:
                     held.append(up)
                     up.points = _CONTAINER.get(up.tag, 0.0) or 1e-6
@@ -247,10 +313,14 @@ def best(root: Node) -> list[Node]:
     if top.parent is None:
         return [top]
     floor = max(10.0, 0.2 * value.get(id(top), 0.0))
+    titled = _titled(top)
     kept = []
     for x in top.parent.parts:
         if not isinstance(x, Node) or x.size <= 0:
             continue
+        if x.tag == "h1" and not titled and 2 * x.linked < x.size and top not in kept:
+            kept.append(x)
+            continue
         density = x.linked / x.size
         plain = x.tag == "p" and (x.size > 80 and density < 0.25 or density == 0 and re.search(r"[.!?](\s|$)", _own_text(x)))
         if x is top or value.get(id(x), 0.0) >= floor and density < 0.5 or plain:

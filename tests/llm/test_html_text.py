@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -65,6 +66,44 @@ def test_odd_rows(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+GOLD = [
+    (f"<div><span>{P1}</span></div>", P1),
+    (f"<div><b>{P1}</b></div><div><a href='/x'>More</a></div>", P1),
+    (f"<body><font size=2>{P1}<br>{P2}</font></body>", f"{P1} {T2}"),
+    (f"<form id=aspnetForm><div><p>{P1}</p><p>{P2}</p></div><input type=submit value=Go></form>", f"{P1}\n{T2}"),
+    (f"<div class='page-header social'><p>{P1}</p><p>{P2}</p></div>", f"{P1}\n{T2}"),
+    (f"<div class='post tags'><div><span>{P1}</span></div><div><span>{P2}</span></div></div>", f"{P1}\n{T2}"),
+    (f"<body><h1>Title</h1><article><p>{P1}</p><p>{P2}</p></article><h1>Other site</h1></body>", f"Title\n{P1}\n{T2}"),
+    (f"<main><h1>Title</h1><div><article><p>{P1}</p></article></div></main>", f"Title\n{P1}"),
+    (f"<div><p>{P1}</p><div><span>{P2} And longer still, in a sibling.</span></div></div>", f"{P1}\n{T2} And longer still, in a sibling."),
+    (f"<p title=it's>{P1}</p><p>It's {P2}</p>", f"{P1}\nIt's {T2}"),
+    (f"<p title='a > b' data-x=\"c > d\">{P1}</p>", P1),
+    (f"<article><p>{P1}</p></article><a href='/cut off", P1),
+    (f"<table><tr><td><font>{P1}</font><td><a href='/'>Home</a></table>", f"{P1}\nHome"),
+    (f"<article><section><h2>One</h2><span>{P1}</span></section><section><h2>Two</h2><em>{P2}</em></section></article><div role=complementary><p>{P1}</p></div>", f"One\n{P1}\nTwo\n{T2}"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), GOLD)
+def test_pages_written_by_hand(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a ", "<div>", "<b><div>", "<span><tr><td>x", "<center><tr><td>", "<a t='x>y' ", "<a =\"", "<ul><li>x", "<div><header>x</header>", "<!--", "<p>x, y</p>", "&amp", "<div><i>", "<script>", "<h1>x"],
+)
+def test_time_grows_with_the_length(unit):
+    def seconds(n):
+        page = unit * n + "'" + P1
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 12 * max(0.05, seconds(16_000))
+
+
 @pytest.mark.parametrize(
     "opening",
     ["<div class='content with-sidebar'>", "<div class='has-header'>", "<div class='widget-area'>", "<div id=sidebar>", "<form action='/'>", "<form><div role=form class='widget'>"],
