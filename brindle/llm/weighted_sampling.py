@@ -2,9 +2,13 @@
 
 A document is a bag of words, each weighted by its count. For each of `SAMPLES` hash functions and each word of
 weight w a hash gives r and c from Gamma(2, 1) and b from U(0, 1); with t = floor(ln w / r + b), the word's value
-is ln a = ln c - r (t - b + 1), and the word and t of the least value are the sample. Two documents draw the same
+is a = c exp(-r (t - b + 1)), and the word and t of the least value are the sample. Two documents draw the same
 sample with the probability of their generalised Jaccard similarity, sum of minima over sum of maxima of weights.
 
+Gamma(2, 1) is the sum of two exponentials, and b may be the share of one of them in r: with uniform u, v, p, q,
+c = -ln(u v), r = -ln(p q) and r b = -ln q. Then exp(-r (1 - b)) is p, so that a = c p exp(-r t), and a word that
+occurs once, whose t is 0, takes a single logarithm.
+
 The value and sixteen bits of (word, t) share a long, so that a sample is a plain `min`. Documents are laid out in
 blocks of consecutive ids, each with the document that follows it as a guest: the next text, the fingerprints of
 all versions and the next fingerprint need one shuffle of the texts together.
@@ -12,9 +16,8 @@ all versions and the next fingerprint need one shuffle of the texts together.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 64
@@ -22,22 +25,14 @@ SAMPLES = 64
 GROUP = 16
 #: Rows in a block of ids, about.
 BLOCK_ROWS = 2000
-_TABLE = 1024
+#: Blocks at most: what the driver holds of them is a split, a head and a place in the order of each. Beyond, blocks
+#: have more rows, which one task sorts, spilling, as with the range partitions of a sort.
+BLOCKS = 1 << 16
+#: Values are below 2 ln 2**33 and kept in steps of 2**-41.
+_SCALE = 2.0**41
 _LEAST = -(1 << 63)
 
 
-def gamma_quantiles(n: int) -> list[float]:
-    """The middles of n equally likely parts of Gamma(2, 1): 1 - (1 + x) exp(-x) = (i + 1/2) / n, by bisection."""
-    out = []
-    for i in range(n):
-        low, high = 0.0, 50.0
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - (1 + x) * math.exp(-x) < (i + 0.5) / n else (low, x)
-        out.append((low + high) / 2)
-    return out
-
-
 def _weighted(rows: DataFrame, text: str) -> DataFrame:
     """A row for each distinct word of each row: word (its hash) and weight; one of nulls for a text without words."""
     keep = [c for c in rows.columns if c != text]
@@ -60,26 +55,34 @@ def _constants(n: int, seed: int) -> list[int]:
     return out
 
 
+def _uniform(bits: Column) -> Column:
+    """32 bits as one of the middles of as many parts of 0 to 1."""
+    return (bits + F.lit(0.5)) * F.lit(2.0**-32)
+
+
+def gamma(u: Column, v: Column) -> Column:
+    """Gamma(2, 1) of two uniforms."""
+    return -F.ln(u * v)
+
+
 def _codes() -> list[Column]:
-    """For each hash function of a group the least of value << 16 | sample over the rows (salted, ln_weight)."""
-    quantiles = gamma_quantiles(_TABLE)
-    r_of, lnc_of = F.lit(quantiles), F.lit([math.log(x) + 64 for x in quantiles])
+    """For each hash function of a group the least of value << 16 | sample over the rows (salted, weight)."""
     out = []
     for k, constant in enumerate(_constants(GROUP, 1)):
-        u = F.xxhash64(F.col("salted").bitwiseXOR(F.lit(constant)))
-        r = F.get(r_of, u.bitwiseAND(F.lit(_TABLE - 1)).cast("int"))
-        lnc = F.get(lnc_of, F.shiftrightunsigned(u, 10).bitwiseAND(F.lit(_TABLE - 1)).cast("int"))
-        b = F.shiftrightunsigned(u, 20).bitwiseAND(F.lit((1 << 24) - 1)) * F.lit(2.0**-24)
-        t = F.floor(F.col("ln_weight") / r + b)
-        name = F.shiftrightunsigned(u, 48)
+        first = F.xxhash64(F.col("salted").bitwiseXOR(F.lit(constant)))
+        second = F.xxhash64(first)
+        low = F.lit((1 << 32) - 1)
+        c = gamma(_uniform(F.shiftrightunsigned(first, 32)), _uniform(first.bitwiseAND(low)))
+        p, q = _uniform(F.shiftrightunsigned(second, 32)), _uniform(second.bitwiseAND(low))
+        name = first.bitwiseAND(F.lit(0xFFFF))
 
         def code(value: Column, sample: Column) -> Column:
-            return F.shiftleft((value * F.lit(2.0**32)).cast("bigint"), 16).bitwiseOR(sample)
+            return F.shiftleft(F.floor(value * F.lit(_SCALE)), 16).bitwiseOR(sample)
 
-        # a word that occurs once has t = 0
-        one = code(lnc + r * (b - 1), name)
-        more = code(lnc + r * (b - 1 - t), name.bitwiseXOR(t.bitwiseAND(F.lit(0xFFFF))))
-        out.append(F.min(F.when(F.col("ln_weight") == 0, one).when(F.col("ln_weight") > 0, more)).alias(f"s{k}"))
+        r = gamma(p, q)
+        t = F.floor((F.ln("weight") - F.ln(q)) / r)
+        more = code(c * p * F.exp(-r * t), name.bitwiseXOR(t.bitwiseAND(F.lit(0xFFFF))))
+        out.append(F.min(F.when(F.col("weight") == 1, code(c * p, name)).when(F.col("weight") > 1, more)).alias(f"s{k}"))
     return out
 
 
@@ -91,8 +94,8 @@ def signatures(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """
     words = _weighted(rows.select(*keys, text), text)
     salts = _constants(SAMPLES // GROUP, 2)
-    words = words.select(*keys, "word", F.ln("weight").alias("ln_weight"), F.explode(F.array(*(F.lit(x) for x in salts))).alias("salt"))
-    salted = words.select(*keys, "salt", F.col("word").bitwiseXOR(F.col("salt")).alias("salted"), "ln_weight")
+    words = words.select(*keys, "word", "weight", F.explode(F.array(*(F.lit(x) for x in salts))).alias("salt"))
+    salted = words.select(*keys, "salt", F.col("word").bitwiseXOR(F.col("salt")).alias("salted"), "weight")
     mins = salted.groupBy(*keys, "salt").agg(*_codes())
     parts = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)))), 4, "0") for k in range(GROUP)]
     found = mins.select(*keys, "salt", F.coalesce(F.concat(*parts), F.lit("f" * 4 * GROUP)).alias("part"))
@@ -109,16 +112,19 @@ def _block_of(o: Column, splits: list[int]) -> Column:
     """How many of the ascending splits are at most o, by binary search."""
     if not splits:
         return F.lit(0)
-    table = F.lit(splits)
-    steps = [1 << k for k in reversed(range(len(splits).bit_length()))]
-    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= o, F.lit(False)), at + step).otherwise(at))
+    table = F.lit(np.array(splits, np.int64))
+    steps = F.lit(np.array([1 << k for k in reversed(range(len(splits).bit_length()))], np.int32))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= o, F.lit(False)), at + step).otherwise(at))
 
 
-def _next_blocks(spark: SparkSession, heads: dict[int, int]) -> DataFrame:
-    """(head, block): the first id of each block with the block it follows; the first of all follows the last."""
-    order = sorted(heads, reverse=True)
-    pairs = [(heads[order[(i + 1) % len(order)]], b) for i, b in enumerate(order)]
-    return spark.range(1).select(F.inline(F.arrays_zip(F.lit([h for h, _ in pairs] or [0]).alias("head"), F.lit([b for _, b in pairs] or [-1]).alias("block"))))
+def _guests(docs: DataFrame) -> DataFrame:
+    """(block, o, text): for each block of docs(block, o, text) the first document of the one it is followed by; the last is followed by the first."""
+    heads = docs.groupBy("block").agg(F.max("o").alias("head"))
+    order = Window.orderBy(F.desc("head"))  # BLOCKS rows at most
+    last = F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follow = heads.select("head", F.coalesce(F.lag("block").over(order), last).alias("before"))
+    firsts = docs.select("o", "text").join(F.broadcast(follow), F.col("o") == F.col("head"))
+    return firsts.groupBy("before", "o").agg(F.min("text").alias("text")).select(F.col("before").alias("block"), "o", "text")
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -128,19 +134,13 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     each other by text; a null id comes last. A single document is its own next. Null texts are empty; texts without
     words share a fingerprint of their own. Empty input gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("o", F.coalesce("doc_id", F.lit(_LEAST)))
-    n = docs.count()
-    blocks = max(1, min(1 << 16, n // BLOCK_ROWS))
-    cuts = [(i + 1) / blocks for i in range(blocks - 1)]
-    splits = docs.agg(F.percentile_approx("o", F.lit(cuts), 10 * blocks).alias("s")).first().s if cuts else None
-    splits = sorted(set(splits or []))
-    docs = docs.withColumn("block", _block_of(F.col("o"), splits).cast("int"))
-    heads = {r.block: r.head for r in docs.groupBy("block").agg(F.max("o").alias("head")).collect()}
-    follow = _next_blocks(spark, heads)
-    firsts = docs.filter(F.col("o").isin(list(heads.values()))).groupBy("o").agg(F.min("text").alias("text"))
-    guests = firsts.join(follow, firsts.o == follow["head"]).select(F.col("block").cast("int").alias("block"), F.lit(1).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "o", "text")
+    blocks = max(1, min(BLOCKS, docs.count() // BLOCK_ROWS))
+    cuts = np.arange(1, blocks) / blocks
+    splits = docs.agg(F.percentile_approx("o", F.lit(cuts), 10 * blocks).alias("s")).first().s if len(cuts) else None
+    docs = docs.withColumn("block", _block_of(F.col("o"), sorted(set(splits or []))).cast("int"))
+    guests = _guests(docs).select("block", F.lit(1).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "o", "text")
     every = docs.select("block", F.lit(0).alias("guest"), "doc_id", "o", "text").unionByName(guests)
 
     order = Window.partitionBy("block").orderBy("guest", F.desc("o"), "text")

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from brindle.llm import weighted_sampling
-from brindle.llm.weighted_sampling import SAMPLES, edited_fingerprints, gamma_quantiles, likeness, signatures
+from brindle.llm.weighted_sampling import SAMPLES, edited_fingerprints, gamma, likeness, signatures
 
 SCHEMA = "doc_id long, text string, block string, s0 int"
 
@@ -63,9 +63,39 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert abs(share - jaccard(a, b)) < 0.035, (share, jaccard(a, b))
 
 
-def test_quantiles_and_small_tables(spark):
-    q = gamma_quantiles(1024)
-    assert abs(sum(q) / len(q) - 2) < 0.01 and q == sorted(q)
+def test_long_weighted_texts_are_unbiased(spark):
+    rng, rows, truth = random.Random(5), [], []
+    for k in range(60):
+        a, b = Counter(), Counter()
+        for i in range(5000):
+            n, u = min(200, int(rng.paretovariate(1.2))), rng.random()
+            a[f"k{k}w{i}"] = n * (u < 0.9)
+            b[f"k{k}w{i}"] = 0 if u >= 0.97 else n if u < 0.75 or u >= 0.9 else max(1, n // 2)
+        truth.append(sum((a & b).values()) / sum((a | b).values()))
+        rows += [(k, side, " ".join(x.elements())) for side, x in enumerate((a, b))]
+    assert min(len(r[2].split()) for r in rows) >= 12000
+    prints = signatures(spark.createDataFrame(rows, "k int, side int, text string").repartition(8), ["k", "side"], "text")
+    pair = prints.groupBy("k").agg(F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("b"))
+    error = [r.like - truth[r.k] for r in pair.select("k", likeness(F.col("a"), F.col("b")).alias("like")).collect()]
+    mean = sum(error) / len(error)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in error) / len(error) / len(error))
+    assert abs(mean) < 2 * spread, (mean, spread)
+
+
+def test_gamma_and_plan_size(spark):
+    grid = spark.range(400).selectExpr("(id + 0.5) / 400 as u").crossJoin(spark.range(400).selectExpr("(id + 0.5) / 400 as v"))
+    row = grid.select(gamma(F.col("u"), F.col("v")).alias("g")).agg(F.avg("g").alias("mean"), F.var_pop("g").alias("var"), F.avg((F.col("g") < 1).cast("double")).alias("below")).first()
+    assert abs(row.mean - 2) < 0.02 and abs(row["var"] - 2) < 0.05 and abs(row.below - (1 - 2 / math.e)) < 0.01
+    plan = edited_fingerprints(spark.createDataFrame([(1, "abc def gh", "", 0)], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
+
+
+def test_small_and_odd_tables(spark, monkeypatch):
     assert edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = edited_fingerprints(spark.createDataFrame([(1, "abc def gh", "", 0)], SCHEMA)).first()
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abc defabc").hexdigest()
+    monkeypatch.setattr(weighted_sampling, "BLOCK_ROWS", 4)
+    rows = [(7, "same words " * 50)] * 30 + [(d, "x " * 20000 if d == 3 else None) for d in range(9)]
+    got = edited_fingerprints(spark.createDataFrame([(d, t, "x", 0) for d, t in rows], SCHEMA)).collect()
+    want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest()) for d, t, e, _ in edits(rows))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
