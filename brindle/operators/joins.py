@@ -28,15 +28,28 @@ def _struct_type(df: DataFrame, names: list[str]):
     return df.select(F.struct(*(df[n] for n in names)).alias("s")).schema["s"].dataType
 
 
+#: Buckets of one width that a range may meet; a longer one goes to buckets as many times as wide.
+_REACH = 64
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column, high: Column, width: float) -> DataFrame:
-    """Rows of points and ranges with low <= point <= high (numbers), joined by equality of buckets of `width`.
+    """Rows of points and ranges with low <= point <= high (finite numbers), joined by equality of buckets of `width`.
 
     A range is written once for each bucket it meets, a point to its own bucket: an equi-join that shuffles and
-    splits like any other, in place of a nested loop. Choose width near the ranges' usual length.
+    splits like any other, in place of a nested loop. Choose width near the ranges' usual length. Ranges over more
+    than 64 buckets go to coarser levels, 64 times as wide each, and points to a bucket of every level that some range is in,
+    so that neither a long range nor a point is written more than some 65 times a level.
     """
-    cell = lambda c: F.floor(c / F.lit(width))
-    spread = ranges.filter(low <= high).withColumn("_bucket", F.explode(F.sequence(cell(low), cell(high))))
-    return points.withColumn("_bucket", cell(point)).join(spread, "_bucket").filter((point >= low) & (point <= high)).drop("_bucket")
+    wide = lambda level: F.lit(width) * F.pow(F.lit(float(_REACH)), level)
+    cell = lambda c, level: F.floor(c / wide(level))
+    span = F.greatest((high - low) / F.lit(width), F.lit(1.0))
+    level = F.greatest(F.ceil(F.log(float(_REACH), span)) - 1, F.lit(0)).cast("int")
+    spread = ranges.filter(low <= high).withColumn("_level", level)
+    levels = [r[0] for r in spread.select("_level").distinct().collect()] or [0]
+    spread = spread.withColumn("_bucket", F.explode(F.sequence(cell(low, F.col("_level")), cell(high, F.col("_level")))))
+    dealt = points.withColumn("_level", F.explode(F.array(*(F.lit(k) for k in sorted(levels))))) if len(levels) > 1 else points.withColumn("_level", F.lit(levels[0]))
+    dealt = dealt.withColumn("_bucket", cell(point, F.col("_level")))
+    return dealt.join(spread, ["_level", "_bucket"]).filter((point >= low) & (point <= high)).drop("_level", "_bucket")
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:

@@ -1,4 +1,4 @@
-"""DISTINCT ON, QUALIFY, top-k and GROUPS frames, which Spark SQL does not parse."""
+"""DISTINCT ON, QUALIFY, top-k, GROUPS frames and EXCLUDE, which Spark SQL does not parse."""
 
 from __future__ import annotations
 
@@ -27,3 +27,26 @@ def groups_frame(df: DataFrame, by: list[str], order: str, aggregate: Column, be
     ranked = df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
     frame = Window.partitionBy(*by).orderBy("_group").rangeBetween(-before, after)
     return ranked.withColumn(name, aggregate.over(frame)).drop("_group")
+
+
+def sum_excluding(df: DataFrame, by: list[str], order: str, value: str, before: int, after: int, exclude: str, name: str) -> DataFrame:
+    """The sum of value over a ROWS frame without the row itself (`current row`), its peers (`ties`) or both (`group`).
+
+    Sums over the frame's peers are taken from the frame's sum. Null where no value is left. For integers and decimals the result is
+    exact; doubles are subtracted, so that round-off stays.
+    """
+    window = Window.partitionBy(*by).orderBy(order)
+    place = F.row_number().over(window)
+    rows = df.withColumn("_at", place).withColumn("_peer", F.rank().over(window))
+    frame = Window.partitionBy(*by).orderBy("_at").rowsBetween(-before, after)
+    # the same frame, of the row's peers only: they stand together
+    peers = Window.partitionBy(*by, "_peer").orderBy("_at").rowsBetween(-before, after)
+    number = lambda c: F.coalesce(c, F.lit(0))
+    own, counted = F.col(value), F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    total, n = F.sum(own).over(frame), F.count(own).over(frame)
+    less, fewer = {
+        "current row": (number(own), counted),
+        "group": (number(F.sum(own).over(peers)), F.count(own).over(peers)),
+        "ties": (number(F.sum(own).over(peers)) - number(own), F.count(own).over(peers) - counted),
+    }[exclude]
+    return rows.withColumn(name, F.when(n > fewer, total - less)).drop("_at", "_peer")

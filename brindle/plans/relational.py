@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.joins import asof_join, range_join
-from brindle.operators.ranking import distinct_on, groups_frame, qualify, top_k
+from brindle.operators.ranking import distinct_on, groups_frame, qualify, sum_excluding, top_k
 from brindle.plans.catalog import plan, statement
 from brindle.session import table
 
@@ -188,3 +188,26 @@ statement("star_except", "SELECT * EXCEPT (s_name) FROM supplier", "SELECT * EXC
 statement("pipe_syntax", "FROM orders |> WHERE o_totalprice > 100000 |> AGGREGATE count(*) AS n GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus")
 statement("join_hinted", "SELECT /*+ SHUFFLE_HASH(c) */ o_orderkey, c_mktsegment FROM orders JOIN (SELECT * FROM customer) AS c ON o_custkey = c_custkey", "SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 statement("agg_mode_first", "SELECT o_orderstatus, mode(o_orderpriority) AS usual FROM (SELECT o_orderstatus, o_orderpriority FROM orders UNION ALL SELECT o_orderstatus, '1-URGENT' AS o_orderpriority FROM orders) AS x GROUP BY o_orderstatus")
+statement("join_hint_broadcast", "SELECT /*+ BROADCAST(n) */ s_suppkey, n_name FROM supplier JOIN (SELECT * FROM nation) AS n ON s_nationkey = n_nationkey", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+statement("join_hint_merge", "SELECT /*+ MERGE(p) */ l_orderkey, l_linenumber, p_brand FROM lineitem JOIN (SELECT * FROM part) AS p ON l_partkey = p_partkey", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
+statement("order_by_all", "SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders ORDER BY ALL LIMIT 25")
+statement("agg_bool_or", "SELECT n_regionkey, bool_or(n_nationkey > 20) AS some, bool_and(n_nationkey < 20) AS every FROM nation GROUP BY n_regionkey")
+statement("agg_skewness", "SELECT l_returnflag, round(skewness(l_extendedprice), 6) AS s FROM lineitem GROUP BY l_returnflag", """
+SELECT l_returnflag, round(avg(pow(l_extendedprice - m, 3)) / pow(var_pop(l_extendedprice), 1.5), 6) AS s
+FROM (SELECT l_returnflag, l_extendedprice, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS m FROM lineitem) AS x GROUP BY l_returnflag
+""")
+
+
+@plan("""
+SELECT l_orderkey, l_partkey, l_linenumber,
+       CAST(sum(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS others,
+       CAST(sum(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS BIGINT) AS strangers,
+       CAST(sum(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) AS BIGINT) AS untied
+FROM (SELECT * FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_suppkey FROM lineitem) QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)
+""")
+def window_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").distinct()
+    lines = qualify(lines, F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber")) == 1)
+    for kind, name in (("current row", "others"), ("group", "strangers"), ("ties", "untied")):
+        lines = sum_excluding(lines, ["l_orderkey"], "l_linenumber", "l_suppkey", 2, 1, kind, name)
+    return lines.drop("l_suppkey")

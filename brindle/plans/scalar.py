@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars, udfs
+from brindle.operators import sketches
 from brindle.plans.catalog import plan, statement
 from brindle.session import table
 
@@ -77,10 +78,10 @@ def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(udfs.trimmed_mean("value"), 6).alias("middle"))
 
 
-@plan("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 3) AS value FROM events")
+@plan("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS value FROM events")
 def udf_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    return rows.groupBy("user_id").applyInPandas(udfs.demeaned, "event_id bigint, user_id bigint, value double").select("event_id", F.round("value", 3).alias("value"))
+    return rows.groupBy("user_id").applyInPandas(udfs.demeaned, "event_id bigint, user_id bigint, value double").select("event_id", F.round("value", 9).alias("value"))
 
 
 @plan("SELECT event_id, value FROM events WHERE value > 0")
@@ -93,9 +94,22 @@ def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return udfs.Countdown(F.lit(5))
 
 
+@plan("SELECT c_custkey, len(regexp_replace(lower(c_mktsegment), '[^aeiou]', '', 'g')) AS n, c_mktsegment[1] AS first FROM customer")
+def udf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of one row at a time, pickled and over Arrow."""
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.vowels("c_mktsegment").alias("n"), udfs.initials("c_mktsegment").alias("first"))
+
+
+@plan()
+def sketch_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user as a count-min sketch estimates them: never too few."""
+    events = table(spark, sf_dir, "events")
+    return sketches.count_min_estimates(sketches.count_min(events, "user_id"), events.select("user_id").distinct(), "user_id")
+
+
 @plan()
 def sketch_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HyperLogLog counts of users per event type, merged from hourly sketches; tested against exact counts by error."""
+    """HyperLogLog counts of users per event type, merged from hourly sketches."""
     hourly = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.hll_sketch_agg("user_id").alias("s"))
     return hourly.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("users"))
 
@@ -122,3 +136,22 @@ def scalar_variant_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     kinds = F.create_map(F.lit("type"), F.col("event_type"))
     return events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"), kinds["type"].alias("kind"), (F.length("event_type") + F.size(kinds)).cast("bigint").alias("n"))
+
+
+statement("scalar_hash", "SELECT c_custkey, md5(c_name) AS a, sha1(c_name) AS b, sha2(c_name, 256) AS c FROM customer", "SELECT c_custkey, md5(c_name) AS a, sha1(c_name) AS b, sha256(c_name) AS c FROM customer")
+statement("scalar_width_bucket", "SELECT l_orderkey, l_linenumber, width_bucket(l_quantity, 5, 45, 8) AS bucket FROM lineitem", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity >= 45 THEN 9 ELSE CAST(floor((l_quantity - 5) * 8 / 40) AS BIGINT) + 1 END AS bucket FROM lineitem
+""")
+statement("scalar_json_tuple", "SELECT event_id, CAST(t.k AS BIGINT) AS k, t.missing, from_json(props, 'k BIGINT').k AS again FROM events LATERAL VIEW json_tuple(props, 'k', 'none') t AS k, missing", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing, CAST(json_extract(props, '$.k') AS BIGINT) AS again FROM events
+""")
+statement("scalar_maps", "SELECT event_id, array_join(map_keys(m), ',') AS names, aggregate(map_values(m), 0D, (s, x) -> s + x) AS total, CAST(cardinality(m) AS BIGINT) AS n FROM (SELECT event_id, map(event_type, value, 'fixed', 1.5D) AS m FROM events) AS x", """
+SELECT event_id, array_to_string(map_keys(m), ',') AS names, list_sum(map_values(m)) AS total, CAST(cardinality(m) AS BIGINT) AS n FROM (SELECT event_id, MAP {event_type: value, 'fixed': 1.5} AS m FROM events) AS x
+""")
+
+
+@plan("SELECT event_id, upper(event_type) AS kind, value FROM events WHERE value > 50")
+def scalar_xxhash_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt by xxhash64 of a key: what custom partitioning goes by; the rows themselves don't change."""
+    events = table(spark, sf_dir, "events").filter("value > 50")
+    return events.repartition(F.pmod(F.xxhash64("user_id"), F.lit(16))).select("event_id", F.upper("event_type").alias("kind"), "value")

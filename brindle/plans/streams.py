@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.plans.catalog import plan
 from brindle.session import table
-from brindle.streaming.events import drained, event_stream, interval_join, running_totals, sessions, sliding, tumbling
+from brindle.streaming.events import deduplicated, drained, event_stream, in_memory, interval_join, longest_gaps, running_totals, sessions, sliding, tumbling
 
 
 @plan("""
@@ -48,3 +48,52 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = event_stream(spark, sf_dir).filter("event_type = 'view'")
     clicks = event_stream(spark, sf_dir).filter("event_type = 'click'")
     return drained(interval_join(views, clicks), "append")
+
+
+@plan("""
+SELECT * FROM (SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS stop, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+WHERE stop <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows are sent once the watermark has passed them; the last ones are held back."""
+    return drained(tumbling(event_stream(spark, sf_dir)), "append")
+
+
+@plan("""
+WITH m AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drained(sessions(event_stream(spark, sf_dir)), "append")
+
+
+@plan("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events come in one micro-batch, within which no watermark moves: one row of each key stays."""
+    return drained(deduplicated(event_stream(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type"), "append")
+
+
+@plan("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = event_stream(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return in_memory(totals, "complete", "brindle_stream_memory")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@plan("""
+SELECT user_id, count(*) AS n, round(coalesce(max(gap), 0.0), 6) AS gap FROM
+(SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1000000 AS gap FROM events) GROUP BY user_id
+""")
+def stream_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """transformWithState, which needs the RocksDB store; the session's own store is put back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        last = drained(longest_gaps(event_stream(spark, sf_dir)), "update", by=["user_id"])
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    return last.select("user_id", "n", F.round("gap", 6).alias("gap"))

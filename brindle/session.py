@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own on a local master alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="brindle-"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/brindle-engine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
 
 def build_session(cores: str = "*", app: str = "brindle", **conf: str) -> SparkSession:
     """A local session with the settings that the plans expect: UTC, AQE, few shuffle partitions."""

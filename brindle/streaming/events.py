@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brindle.session import scratch
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -54,6 +55,33 @@ def interval_join(left: DataFrame, right: DataFrame, minutes: int = 10) -> DataF
     return a.join(b, near).select("user_id", "first_id", "second_id")
 
 
+class LongestGap(StatefulProcessor):
+    """For transformWithState: each key's rows and longest pause so far, in a value state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n bigint, last timestamp, gap double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        n, last, gap = self.seen.get() if self.seen.exists() else (0, None, 0.0)
+        times = pd.concat([r["ts"] for r in rows]).sort_values()
+        stops = times if last is None else pd.concat([pd.Series([pd.Timestamp(last)]), times])
+        gap = max(gap, float(stops.diff().dt.total_seconds().max()) if len(stops) > 1 else 0.0)
+        n, last = n + len(times), max(stops).to_pydatetime()
+        self.seen.update((n, last, gap))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "gap": [gap]})
+
+    def close(self) -> None:
+        pass
+
+
+def longest_gaps(events: DataFrame) -> DataFrame:
+    """Each user's rows and longest pause in seconds, after every micro-batch that has rows of the user (update mode).
+
+    Needs the RocksDB state store, and the protobuf package on the workers.
+    """
+    return events.groupBy("user_id").transformWithStateInPandas(LongestGap(), "user_id bigint, n bigint, gap double", "Update", "None")
+
+
 def _add_up(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, total = state.get if state.exists else (0, 0.0)
     for rows in batches:
@@ -70,12 +98,15 @@ def running_totals(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str, by: list[str] | None = None) -> DataFrame:
     """Runs a stream over all there is and returns its rows; with `by`, only the last ones of each key.
 
-    Every micro-batch is a folder of the shared directory, so that rows never pass through the driver. complete mode
-    returns the last result, append and update all rows sent.
+    Every micro-batch is a folder of the shared directory, so that rows never pass through the driver; the folders go
+    when the driver ends. complete mode returns the last result, append and update all rows sent; a source
+    without files gives no rows.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="brindle-stream-")
-    place = f"{base}/brindle/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
+    schema = T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())] * (mode != "complete"))
+    # so that there is something to read where no batch ever runs
+    spark.createDataFrame([], stream.schema).write.parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch=-1")
 
     def keep(batch: DataFrame, number: int) -> None:
         path = f"{place}/out" if mode == "complete" else f"{place}/out/batch={number}"
@@ -83,10 +114,16 @@ def drained(stream: DataFrame, mode: str, by: list[str] | None = None) -> DataFr
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/log").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = T.StructType(stream.schema.fields + [T.StructField("batch", T.LongType())] * (mode != "complete"))
     out = spark.read.schema(schema).parquet(f"{place}/out")
     if by:
         names = [c for c in out.columns if c not in (*by, "batch")]
         last = F.max_by(F.struct(*names), "batch").alias("s")
         return out.groupBy(*by).agg(last).select(*by, *(F.col(f"s.{c}").alias(c) for c in names))
     return out.drop("batch")
+
+
+def in_memory(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Runs a stream over all there is into the memory sink: for results that the driver can hold, such as totals by kind."""
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", scratch(stream.sparkSession, "memory")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)

@@ -1,12 +1,15 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import scalars, udfs
 from brindle.operators.aggregates import two_step
 from brindle.operators.joins import asof_join, range_join, salted_join
-from brindle.operators.ranking import distinct_on, groups_frame, qualify, top_k
+from brindle import session
+from brindle.operators import sketches
+from brindle.operators.ranking import distinct_on, groups_frame, qualify, sum_excluding, top_k
 from brindle.sources import files
 from brindle.sources.counter import CounterSource
 from brindle.streaming import events as streams
@@ -121,3 +124,64 @@ def test_late_rows_and_state(spark, tmp_path):
 def test_sessions_a_gap_apart_are_one(spark):
     df = spark.createDataFrame([(i, T0 + timedelta(minutes=m), 1, 1.0) for i, m in enumerate((0, 29, 59, 90))], "event_id long, ts timestamp_ntz, user_id long, value double")
     assert rows(streams.sessions(df).select("n")) == [(1,), (3,)]
+
+
+@pytest.mark.parametrize("exclude", ["current row", "group", "ties"])
+def test_sum_excluding_is_the_definition(spark, exclude):
+    data = [("a", 1, 5), ("a", 1, 7), ("a", 1, None), ("a", 2, 1), ("a", 4, 2), ("a", 4, 9), ("b", 1, None), ("b", None, 3), (None, 1, 4)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "i int, g string, o int, v int").coalesce(1)
+    placed = df.withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("o"))).collect()
+    want = {}
+    for r in placed:
+        frame = [x for x in placed if x.g == r.g and r["at"] - 2 <= x["at"] <= r["at"] + 1]
+        kept = [x.v for x in frame if x.v is not None and not (x.i == r.i and exclude != "ties" or x.o == r.o and x.i != r.i and exclude != "current row")]
+        want[r.i] = sum(kept) if kept else None
+    got = sum_excluding(df, ["g"], "o", "v", 2, 1, exclude, "s")
+    assert got.columns == ["i", "g", "o", "v", "s"]
+    assert {r.i: r.s for r in got.collect()} == want
+
+
+def test_count_min_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,), (7,)], "k long")
+    got = sketches.count_min_estimates(sketches.count_min(df, "k"), spark.createDataFrame([(1,), (7,), (9,)], "k long"), "k")
+    assert rows(got) == [(1, 2), (7, 1), (9, 0)]
+    assert sketches.count_min(df.limit(0), "k").count() == 0
+
+
+def test_range_join_of_very_long_ranges(spark):
+    points = spark.range(200).selectExpr("id as p", "id * 5000000.0 - 1e8 as x")
+    spans = spark.createDataFrame([(0, -1e8, 9e8), (1, 0.0, 1.0), (2, 3.0, 70.0), (3, -5e6, 6e6), (4, 1e8, 1e8)], "r int, a double, b double")
+    got = range_join(points, spans, F.col("x"), F.col("a"), F.col("b"), 1.0)
+    assert rows(got.select("p", "r")) == rows(points.crossJoin(spans).filter("x >= a and x <= b").select("p", "r"))
+    assert range_join(points, spans.limit(0), F.col("x"), F.col("a"), F.col("b"), 1.0).count() == 0
+
+
+def test_a_stream_without_files_gives_no_rows(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    empty = streams.event_stream(spark, str(tmp_path / "none"))
+    for mode in ("complete", "append"):
+        assert streams.drained(streams.tumbling(empty), mode).count() == 0
+    assert streams.in_memory(empty.groupBy("event_type").count(), "complete", "no_events").count() == 0
+
+
+def test_a_cluster_names_its_shared_folder(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Session())
+    Session.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: "hdfs://shared")})()
+    assert session.shared_dir(Session()) == "hdfs://shared"
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    for name, n in (("brindle_test_a", 50), ("brindle_test_b", 80)):
+        files.write_bucketed(spark.range(n).selectExpr("id as k", f"'{name}' as v"), name, ["k"], 4)
+    joined = spark.table("brindle_test_a").hint("merge").join(spark.table("brindle_test_b"), "k")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 50
+    for name in ("brindle_test_a", "brindle_test_b"):
+        spark.sql(f"drop table {name}")

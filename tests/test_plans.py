@@ -1,4 +1,4 @@
-"""Every plan against its SQL in another engine, on the smallest tables."""
+"""Every plan against its SQL in another engine, on the two smallest sizes."""
 
 import duckdb
 import pytest
@@ -6,30 +6,68 @@ import pytest
 from brindle import plans
 from brindle.plans.catalog import TABLES
 
+SIZES = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
+
 
 @pytest.fixture(scope="module")
-def other(sf):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    return con
+def others():
+    found = {}
+    for size in SIZES:
+        found[size] = duckdb.connect()
+        for t in TABLES:
+            found[size].execute(f"CREATE VIEW {t} AS SELECT * FROM '{size}/{t}.parquet'")
+    return found
 
 
+@pytest.mark.parametrize("size", SIZES)
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
-def test_plan(spark, sf, other, name):
-    frame = plans.QUERIES[name](spark, sf)
+def test_plan(spark, others, name, size):
+    frame = plans.QUERIES[name](spark, size)
     columns = sorted(frame.columns)
     got = sorted(repr(tuple(r)) for r in frame.select(*columns).collect())
     if name not in plans.ORACLE_SQL:
         assert got
         return
-    result = other.execute(plans.ORACLE_SQL[name])
+    result = others[size].execute(plans.ORACLE_SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert got == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in result.fetchall())
 
 
-def test_sketches_are_near_exact_counts(spark, sf):
-    exact = {r.event_type: r.n for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg({"user_id": "approx_count_distinct"}).toDF("event_type", "n").collect()}
-    for r in plans.QUERIES["sketch_distinct"](spark, sf).collect():
-        assert abs(r.users - exact[r.event_type]) <= 0.05 * exact[r.event_type] + 1
+EVENTS = "/root/testdata/sf0.01/events.parquet"
+
+
+def exact(sql):
+    return duckdb.sql(sql.format(events=f"'{EVENTS}'")).fetchall()
+
+
+def test_distinct_sketches_are_near_exact_counts(spark):
+    users = dict(exact("select event_type, count(distinct user_id) from {events} group by 1"))
+    for r in plans.QUERIES["sketch_distinct"](spark, SIZES[1]).collect():
+        assert abs(r.users - users[r.event_type]) <= 0.03 * users[r.event_type] + 1
+    family = plans.QUERIES["sketch_family"](spark, SIZES[1]).collect()
+    assert {r.event_type for r in family} == set(users)
+    for r in family:
+        assert abs(r.users - users[r.event_type]) <= 0.03 * users[r.event_type] + 1
+
+
+def test_quantile_sketches_have_near_ranks(spark):
+    for r in plans.QUERIES["sketch_family"](spark, SIZES[1]).collect():
+        below, n = exact(f"select count(*) filter (value <= {r['median']}), count(*) from {{events}} where event_type = '{r.event_type}'")[0]
+        assert abs(below / n - 0.5) < 0.02
+        counts = dict(exact(f"select user_id, count(*) from {{events}} where event_type = '{r.event_type}' group by 1"))
+        # 150 users fit the sketch: its counts are exact
+        assert [f["count"] for f in r.frequent] == sorted(counts.values(), reverse=True)[:3]
+        assert all(counts[f["item"]] == f["count"] for f in r.frequent)
+        assert len(r.histogram) <= 5 and sum(b.y for b in r.histogram) == n
+    for r in plans.QUERIES["sketch_quantiles"](spark, SIZES[1]).collect():
+        for q, x in zip((0.1, 0.5, 0.9), r.q):
+            low, high, n = duckdb.sql(f"select count(*) filter (o_totalprice < {x}), count(*) filter (o_totalprice <= {x}), count(*) from '{SIZES[1]}/orders.parquet' where o_orderstatus = '{r.o_orderstatus}'").fetchall()[0]
+            assert low / n - 0.001 <= q <= high / n + 0.001
+
+
+def test_count_min_never_underestimates(spark):
+    counts = dict(exact("select user_id, count(*) from {events} group by 1"))
+    got = {r.user_id: r.n for r in plans.QUERIES["sketch_count_min"](spark, SIZES[1]).collect()}
+    assert got.keys() == counts.keys()
+    assert all(counts[k] <= n <= counts[k] + 2.72 / 4096 * sum(counts.values()) for k, n in got.items())
