@@ -4,9 +4,10 @@ Base spans come from three patterns. The battery looks at the other runs of char
 It infers a run's encoding, and tests its symbols for a uniform alphabet (chi-squared over equal bins of it),
 for runs above and below the alphabet's middle, and for serial correlation; Fisher's method combines the three.
 A run that looks random may still be ordinary text by chance, the more so the shorter it is: the likelihood of
-its changes between letters, capitals, digits and signs in random strings of its encoding, over that in text,
-bounds the chance of ordinary text getting there from above (Markov), and a document's runs pass a
-Benjamini-Hochberg step on these bounds, weighted by length. Everything is local to a document.
+its changes between letters, capitals, digits and signs in random strings of its encoding, over that in text, is
+an e-value against text. The battery's chance p is uniform for random strings, so that the product with 3 p^2, whose
+mean is then 1, is an e-value too: what the battery doubts loses weight in proportion. A document's runs pass a
+Benjamini-Hochberg step on these e-values, weighted by length. Everything is local to a document.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
 _HEXES = ("0123456789abcdef", "0123456789ABCDEF")
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -109,8 +110,8 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def text_chance(run: str, alphabet: str) -> float:
-    """A bound on the chance that ordinary text of this length changes kinds of characters as the run does."""
+def against_text(run: str, alphabet: str) -> float:
+    """The logarithm of an e-value against ordinary text: how much likelier random strings change kinds of characters as the run does."""
     share = [0.0] * 4
     for c in alphabet:
         share[_kind(c)] += 1 / len(alphabet)
@@ -118,17 +119,30 @@ def text_chance(run: str, alphabet: str) -> float:
     gain = 0.0
     for a, b in zip(kinds, kinds[1:]):
         gain += math.log(max(share[b], 1e-3)) - math.log(_STAY if a == b else (1 - _STAY) / 3)
-    return min(1.0, math.exp(-gain))
+    return gain
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]], rate: float = 1e-4, least: float = 1e-3) -> list[tuple[int, int, int]]:
-    """Runs outside of taken spans that the battery does not reject and that pass the false-discovery step."""
-    found = []
+def chance(run: str, alphabet: str, least: float) -> float:
+    """A bound on the chance that ordinary text gives such a run; 1 if the battery rejects it at `least`."""
+    p = randomness(run, alphabet)
+    return math.exp(-max(0.0, against_text(run, alphabet) + math.log(3) + 2 * math.log(p))) if p >= least else 1.0
+
+
+def _free(text: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Runs that touch no taken span; both ascend."""
+    spans = sorted((a, b) for a, _, b in taken)
+    k, reach = 0, 0  # of the spans that start before the run's end, the furthest end
     for m in _RUN.finditer(text):
-        alphabet = encoding(m[0])
-        if alphabet and all(m.end() <= a or m.start() >= b for a, _, b in taken):
-            chance = text_chance(m[0], alphabet)
-            found.append((chance if randomness(m[0], alphabet) >= least else 1.0, m.start(), m.end()))
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach <= m.start():
+            yield m
+
+
+def random_spans(text: str, taken: list[tuple[int, int, int]], rate: float = 1e-4, least: float = 1e-3) -> list[tuple[int, int, int]]:
+    """Runs outside of taken spans that pass the false-discovery step at `rate`."""
+    found = [(chance(m[0], alphabet, least), m.start(), m.end()) for m in _free(text, taken) if (alphabet := encoding(m[0]))]
     if not found:
         return []
     mean = sum(b - a for _, a, b in found) / len(found)
@@ -183,7 +197,10 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """docs with all secrets in text replaced by mark; n_chars, where there is one, follows. Null texts stay null."""
+    """docs with all secrets in text replaced by mark; n_chars, where there is one, follows.
+
+    Null texts stay null, empty ones empty. Every row stays, repeated ones too; empty input gives no rows; other columns are kept.
+    """
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

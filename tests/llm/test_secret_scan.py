@@ -70,3 +70,33 @@ def test_redaction(spark):
     assert out.schema == frame.schema
     assert sorted(map(tuple, out.collect())) == [(1, "é [SECRET] x", 12), (2, None, None), (3, "clean", 5)]
     assert KINDS[:3] == ("assign", "access", "hex")
+
+
+def test_rates_on_labelled_strings():
+    """Random strings by length, and what code, logs and links hold: at least so many are found, and so few of these."""
+    rng = random.Random(3)
+    sets = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_letters + string.digits, "0123456789ABCDEF"]
+    for n, least in ((16, 0.75), (20, 0.85), (24, 0.9), (32, 0.96), (64, 0.98)):
+        for chars in sets:
+            found = sum(len(random_spans("a word " + "".join(rng.choices(chars, k=n)) + " here", [])) for _ in range(200))
+            assert found >= least * 200, (n, chars, found)
+    words = "international straightforward counter data archive report section request handler user profile config value index update token cache".split()
+    camel = lambda k: "".join(w.capitalize() if i else w for i, w in enumerate(rng.choices(words, k=k)))
+    digits = lambda k: "".join(rng.choices(string.digits, k=k))
+    hexes = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    ordinary = [
+        lambda: camel(rng.randint(3, 5)), lambda: "_".join(rng.choices(words, k=4)).upper(), lambda: "/".join([*rng.choices(words, k=4), f"v{digits(1)}", rng.choice(words) + digits(3)]),
+        lambda: "-".join([hexes(8), hexes(4), hexes(4), hexes(4), hexes(12)]), lambda: f"2024-{digits(2)}-{digits(2)}T{digits(2)}-{digits(2)}-00Z", lambda: f"{rng.choice(words)}-{digits(1)}-{digits(2)}-linux-x86_64",
+        lambda: camel(3) + digits(2) + camel(2), lambda: "/".join(camel(2).capitalize() for _ in range(3)), lambda: "SKU-" + "".join(rng.choices(string.ascii_uppercase, k=3)) + "-" + digits(10),
+    ]
+    assert sum(len(random_spans(f"see {f()} now", [])) for f in ordinary for _ in range(500)) <= 2
+
+
+def test_runs_beside_many_base_spans_take_linear_time():
+    text = "0123456789abcdef0123456789 kR7wQz9LmX2vB8nTjY4c " * 4000
+    spans = base_spans(text)
+    began = __import__("time").process_time()
+    found = random_spans(text, spans)
+    assert __import__("time").process_time() - began < 5
+    assert len(spans) == len(found) == 4000 and not {a for a, _, _ in spans} & {a for a, _, _ in found}
+    assert random_spans("token=abcdefgh/kR7wQz9LmX2vB8nTjY4c", base_spans("token=abcdefgh/kR7wQz9LmX2vB8nTjY4c")) == []
