@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import by_bytes, partitions
 
-UNIT, BUCKETS, CHUNKS, ROUNDS = 64, 1 << 16, 16, 12
+UNIT, BUCKETS, CHUNKS = 64, 1 << 16, 16
+#: A text's shares are fitted when no round moves one of them by more.
+SETTLED = 1e-4
 #: ASCII letters in lower case, bytes of other code points as they are, all else a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -115,27 +117,45 @@ class Model:
 
     @staticmethod
     def _fit(odds: np.ndarray, owner: np.ndarray, first: np.ndarray, units: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(ROUNDS):
-            part = shares[owner] * odds
+        """Expectation-maximisation until each text's shares have settled; texts that have are left out of the rounds that follow."""
+        out, open_ = shares.copy(), np.arange(len(units))
+        own, rows, begin, size, now = owner, odds, first, units, shares
+        while len(open_):
+            part = now[own] * rows
             part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-            shares = np.add.reduceat(part, first, axis=0) / units[:, None]
-        fit = np.log(np.maximum((shares[owner] * odds).sum(1), 1e-300))
-        return shares, np.add.reduceat(fit, first)
-
-    def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        out = [("und", 0.0)] * len(texts)
+            after = np.add.reduceat(part, begin, axis=0) / size[:, None]
+            moves = np.abs(after - now).max(1) > SETTLED
+            out[open_], now = after, after
+            if moves.all():
+                continue
+            keep = moves[own]
+            open_, now, size, rows = open_[moves], now[moves], size[moves], rows[keep]
+            own, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        fit = np.log(np.maximum((out[owner] * odds).sum(1), 1e-300))
+        return out, np.add.reduceat(fit, first)
+
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float, str]]:
+        """The language of the largest share, that share, and the mixture: name=share, largest first."""
+        out = [("und", 0.0, "")] * len(texts)
         known = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         if known:
             shares = self.mixtures([texts[i] for i in known])
             for i, row in zip(known, shares):
-                k = int(row.argmax())
-                out[i] = (self.langs[k], min(1.0, round(float(row[k]), 6)))
+                order = [k for k in np.argsort(-row, kind="stable") if row[k] >= 0.0005]
+                mixture = ",".join(f"{self.langs[k]}={row[k]:.3f}" for k in order)
+                out[i] = (self.langs[order[0]], min(1.0, round(float(row[order[0]]), 6)), mixture)
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> Model:
-    """Counts all documents with a language that are not held out; null ids, texts and languages teach nothing."""
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", languages: int = 200) -> Model:
+    """Counts all documents with a language that are not held out; null ids, texts and languages teach nothing.
+
+    A language takes 256 KB of the model, which every worker holds. More than `languages` of them are an error, as
+    of a column that holds something else; none is left out.
+    """
     known = docs.filter(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
+    if known.select(F.col(lang).cast("string")).distinct().limit(languages + 1).count() > languages:
+        raise ValueError(f"{lang} has more than {languages} values: raise `languages` if they are languages")
     parts = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text")).mapInArrow(_count, "lang string, chunk int, counts binary")
     dealt = parts.repartition(partitions(docs.sparkSession), "lang", "chunk").sortWithinPartitions("lang", "chunk")
     counts: dict[str, np.ndarray] = {}
@@ -146,9 +166,9 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score.
+    """One row per row of docs: doc_id, held_out, lang_pred, score, mixture.
 
-    lang_pred is the language of the largest share, score that share. Null texts and texts without a letter are
+    lang_pred is the language of the largest share, score that share, mixture all shares as name=share, largest first. Null texts and texts without a letter are
     `und` with score 0, as all are if no document taught a language. A null doc_id stays null and is not held out;
     repeated rows get equal results; empty input gives no rows; other columns are ignored.
     """
@@ -159,7 +179,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
             for a, b in by_bytes(batch.column("text"), 1 << 20):
                 part = batch.slice(a, b - a)
                 found = shared.value.predict([t or b"" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string())))], ["doc_id", "held_out", "lang_pred", "score", "mixture"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double, mixture string")

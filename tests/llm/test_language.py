@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import language
@@ -63,6 +64,37 @@ def test_odd_rows(spark):
     assert identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def test_shares_are_those_of_plain_em(spark):
+    """The mixture by one loop over units, for the set of languages that the model selected."""
+    docs, model = corpus(spark)
+    texts = [r.text.encode() for r in docs.orderBy("doc_id").limit(12).collect()]
+    texts += [texts[0][:500] + b" " + texts[1][:400] + b" " + texts[2][:700]]
+    for t, fast in zip(texts, model.mixtures(texts)):
+        ids, _ = trigrams([t])
+        unit = [model.logs[ids[k : k + language.UNIT]].sum(0, dtype=float) for k in range(0, len(ids), language.UNIT)]
+        odds = np.exp([u - u.max() for u in unit])
+        best = None
+        for subset in [(a,) for a in range(4)] + [(a, b) for a in range(4) for b in range(a)] + [(a, b, c) for a in range(4) for b in range(a) for c in range(b)] + [(0, 1, 2, 3)]:
+            share = np.array([1 / len(subset) if k in subset else 0 for k in range(4)])
+            for _ in range(3000):
+                part = share * odds
+                share = (part / part.sum(1, keepdims=True)).mean(0)
+            value = np.log((share * odds).sum(1)).sum() - (len(subset) - 1) * (0.5 * np.log(len(unit)) + 1)
+            if best is None or value > best[0] + 1e-9:
+                best = value, share
+        assert np.abs(best[1] - fast).max() < 0.02, (best, fast)
+
+
+def test_mixture_column_and_too_many_languages(spark):
+    docs, model = corpus(spark)
+    for r in identify(docs, model).limit(50).collect():
+        parts = [x.split("=") for x in r.mixture.split(",")]
+        assert parts[0][0] == r.lang_pred and abs(float(parts[0][1]) - r.score) < 0.001 and abs(sum(float(x) for _, x in parts) - 1) < 0.01
+    many = spark.createDataFrame([(i, "text", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5"):
+        fit(many, languages=5)
+
+
 def test_documents_of_more_than_four_languages():
     """The set of languages grows as far as the likelihood tells: the shares of six are found."""
     rng = np.random.default_rng(5)
