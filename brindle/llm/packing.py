@@ -23,6 +23,7 @@ from brindle.llm.common import by_bytes, spool
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
+_DEAL = ", deal int"
 
 
 class Tokenizer:
@@ -55,9 +56,10 @@ def default_files() -> tuple[str, str, str]:
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, files: tuple[str, str, str] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and end_id, cut where longer than capacity.
+    """(doc_id, piece, start, length, ids_crc32, deal): each document's ids and end_id, cut where longer than capacity.
 
-    The first piece takes what the others, which are full, leave over.
+    The first piece takes what the others, which are full, leave over. deal is the piece's number in its task: with it, pieces
+    that are equal in all else can be dealt apart.
     """
     files = files or default_files()
 
@@ -65,6 +67,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, fil
         if files not in _LOADED:
             _LOADED[files] = Tokenizer(*files)
         encode = _LOADED[files]
+        dealt = 0
         for batch in batches:
             for a, b in by_bytes(batch.column(1)):
                 rows: list[list[int]] = [[], [], [], [], []]
@@ -75,10 +78,12 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, fil
                     for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
                         for column, value in zip(rows, (name, k, s, e - s, zlib.crc32(ids[s:e].tobytes()))):
                             column.append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                rows.append(list(range(dealt, dealt + len(rows[0]))))
+                dealt += len(rows[0])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(work, _PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(work, _PIECES + _DEAL)
 
 
 def _price(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
@@ -226,8 +231,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, files: tuple[st
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(solve(histogram, capacity)))
     blocks = max(1, sum(histogram.values()) // 20_000)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    order = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32")
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.lit(blocks)))
+    order = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32", "deal")
     counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

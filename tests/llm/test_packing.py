@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brindle.llm.packing import Tokenizer, default_files, pack, relax, solve
+from brindle.llm.packing import Tokenizer, default_files, pack, relax, solve, tokenized_pieces
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,30 @@ def best_fit(lengths, capacity):
         bins += room == capacity
         bisect.insort(rooms, room - n)
     return bins
+
+
+def test_ids_are_the_json_tokenizers_over_the_corpus():
+    """The rank file gives the named tokenizer's ids for every text of sf0.1, and for long runs of one kind."""
+    import pyarrow.parquet as pq
+    import tokenizers
+
+    ours, named = Tokenizer(*default_files()), tokenizers.Tokenizer.from_file(default_files()[0])
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += ["a" * 50_000, " " * 50_000, "\n" * 9000 + "x", "é" * 20_000, "1" * 20_000, "日本語" * 5000, "à‍👩‍👩‍👧 \x00﻿�", "don't I'LL we've 'S", "x<|endoftext|>y"]
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        assert [ours(t) for t in part] == [e.ids for e in named.encode_batch_fast(part, add_special_tokens=False)]
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    rows = [(7, "the same text in a third of all rows")] * 900 + [(None, "no id")] * 300 + [(k, "") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    deals = tokenized_pieces(docs.repartition(3)).select("deal").distinct().count()
+    packed = pack(docs).collect()
+    assert deals > 300 and len(packed) == len(rows)
+    by = {}
+    for p in packed:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in by.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
