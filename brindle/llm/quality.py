@@ -154,10 +154,13 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 500, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Network | Prior:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 500, text: str = "text", doc_id: str = "doc_id", label: str = "quality", most_bytes: int = 64 << 20) -> Network | Prior:
     """Learns from the `per_class` labelled documents of each class whose ids hash lowest, none of them held out.
 
-    Repeated labels of a document count once, as the largest; null labels, ids and texts teach nothing.
+    The sample is bounded by both parameters: texts that would take it beyond `most_bytes` in all, in that order, teach
+    nothing, so that the driver never holds more. Repeated labels of a document count once, as the largest, and rows that
+    repeat an id teach one text, the least by hash. Null labels, ids and texts teach nothing; where they leave one class
+    or none, every score is a prior's.
     """
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -166,9 +169,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 500, text: str = "t
     if len(set(sample.values())) < 2:
         return Prior((sum(sample.values()) + 1) / (len(sample) + 2))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).filter(F.col("id").isin(list(sample)) & F.col("text").isNotNull())
-    found = sorted((r.id, bytes(r.text)) for r in rows.collect())
+    sized = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("s"))
+    taken: dict[int, int] = {}
+    held = 0
+    for r in sorted(sized.select("id", "s.h", "s.n", F.xxhash64("id").alias("o")).collect(), key=lambda r: (r.o, r.id)):
+        if held + r.n <= most_bytes:
+            taken[r.id] = r.h
+            held += r.n
+    chosen = F.concat_ws(":", "id", F.xxhash64("text")).isin([f"{i}:{h}" for i, h in taken.items()])
+    found = sorted((r.id, bytes(r.text)) for r in rows.filter(chosen).dropDuplicates(["id"]).collect())
+    kinds = np.array([sample[i] for i, _ in found], np.float32)
+    if len(set(kinds.tolist())) < 2:
+        return Prior((float(kinds.sum()) + 1) / (len(kinds) + 2))
     net = Network()
-    net.train([t for _, t in found], np.array([sample[i] for i, _ in found], np.float32))
+    net.train([t for _, t in found], kinds)
     return net
 
 
@@ -195,7 +209,10 @@ def score(docs: DataFrame, model: Network | Prior, threshold: float = 0.3, text:
 
 
 def accepted(docs: DataFrame, model: Network | Prior, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of docs that score threshold or more, with all their columns."""
+    """The rows of docs that score threshold or more, with all their columns.
+
+    Null texts count as empty; rows that repeat, and rows with a null id, stay or go by their own text. Empty input gives no rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

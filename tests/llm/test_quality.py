@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from brindle.llm.quality import WIDTH, Network, accepted, fit, score
@@ -57,3 +59,19 @@ def test_odd_rows(spark):
     assert len(rows) == 5 and len({r.score for r in rows if r.doc_id in (2, 3)}) == 1
     assert accepted(docs, net, 0.0).columns == docs.columns and accepted(docs, net, 0.0).count() == 5
     assert score(docs.limit(0), net).count() == 0
+
+
+def test_the_sample_is_bounded_and_of_one_text_for_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Network, "train", lambda self, texts, labels: seen.append((list(texts), labels.tolist())))
+    docs = spark.createDataFrame([(k, f"text {k} " * 20) for k in range(60)] + [(1, f"again {k}") for k in range(200)] + [(2, "x" * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] * 2 + [(None, 1), (999, 1)], "doc_id long, quality int")
+    fit(docs, labels)
+    texts, kinds = seen.pop()
+    want = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    assert len(texts) == len(want) and sorted(kinds) == sorted(float(k % 2) for k in want)
+    fit(docs, labels, most_bytes=2000)
+    assert 0 < sum(map(len, seen[0][0])) <= 2000
+    fit(docs, labels, per_class=3)
+    assert len(seen[1][0]) == 6
+    assert fit(docs, labels, most_bytes=0).score([b"x"])[0] == 0.5
