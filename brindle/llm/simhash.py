@@ -7,27 +7,28 @@ is within 2, so that the unit grid balls of radius 1 around both points meet in
 that half. Points are written to the cells of their balls, cells that hold one point go, and the
 points of a cell are compared: first by the Manhattan bound over all segments, then exactly.
 
-Texts of a shingle similarity of 0.8 are 3 to 13 of 64 bits apart, where counts of segments tell nothing. similar() has
-fingerprints of 512 bits and grids over one-bit segments for these, whose counts are the bits themselves: an estimate.
-
-representatives() is exact. In any one order of all shingles, two sets of a similarity share one of the first shingles of
-both (the prefix filter). The order has those first that a sketch of fixed size counted once, which no other set has, and
-common ones last. Sets that share a shingle there, and what such shares reach, are a group, and the sets of a group are
-compared whole.
+representatives() finds texts of a shingle similarity, which are too far apart for that: at 0.8, 3 to 13 of 64 bits. It has the
+same steps, without loss. A set's fingerprint is the bitmap of its shingles' hashes; cut into segments, the counts of set bits
+are its embedding. Sets at the similarity differ in so many shingles at most, a share of both sizes, which bounds the
+Manhattan distance of their counts. The grid's cells are shingles: in any one order of all shingles, two such sets share one of
+the first of both (the prefix filter). The order has those first that a sketch of fixed size counted once, which no other
+set has, and common ones last. The points of a cell are joined within the bound, by Manhattan distance alone; what such
+links reach is a group, and the sets of a group are compared whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import partial
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from brindle.llm import substring
@@ -36,8 +37,10 @@ from brindle.llm.common import by_bytes, least_labels, partitions, spool, unspoo
 SEGMENT_MASK = 0x5555555555555555
 #: Points of a cell that one task compares with each other; larger cells are cut into pairs of blocks.
 BLOCK = 16384
-#: Words of 64 bits of a wide fingerprint.
-LANES = 8
+#: Segments of a set's bitmap; their counts are bytes, four longs together.
+SEGMENTS = 32
+#: Cells that are too large for one task, as many as may be broadcast.
+BROADCASTABLE = 100_000
 #: Verified links held before they are folded into a forest.
 FOLD = 1 << 20
 #: Samples of the sets, one of so many, in which the sketch counts shingles again: those met twice there are common.
@@ -202,20 +205,30 @@ def links(points: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): links whose components are those of all pairs of distinct fps within distance (at most 4)."""
     if not 0 <= distance <= 4:
         raise ValueError("the grid of two halves with balls of radius 1 is exact up to distance 4")
-    spark = points.sparkSession
-    cells = _cells(points).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1")
-    one = cells.filter(F.col("n") <= BLOCK).select("cell", "fp", *(F.lit(0).alias(c) for c in ("blk", "i", "j")))
-    many = _paired(cells.filter(F.col("n") > BLOCK), "fp", BLOCK)
-    dealt = one.unionByName(many).repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return dealt.mapInArrow(_forest(distance), "a long, b long")
+    return _dealt(_cells(points), "fp", BLOCK).mapInArrow(_forest(distance), "a long, b long")
 
 
-def _paired(cells: DataFrame, key: str, block: int) -> DataFrame:
-    """Cells of n points cut into blocks; a block meets each: it is written once for each partner, as the lower or higher of the pair."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    names = [c for c in cells.columns if c != "n"]
-    many = cells.select(*names, F.pmod(F.xxhash64(key), blocks).cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return many.select(*names, "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+def _dealt(rows: DataFrame, key: str, block: int, counted: DataFrame | None = None) -> DataFrame:
+    """rows(cell, ...) dealt by cell and sorted, with blk, i, j: cells of more than `block` rows are cut into blocks by key, and
+    each pair of blocks i, j meets apart; a row is written once for each partner of its own block blk.
+
+    Cells are counted with partial sums, so that no task holds a large one before it is cut; in `counted`, a cheaper table that has
+    as many rows of each cell at least, if there is one.
+    """
+    spark = rows.sparkSession
+    hot = (rows if counted is None else counted).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    some = hot.limit(BROADCASTABLE + 1).collect()
+    if some:
+        if len(some) <= BROADCASTABLE:
+            hot = F.broadcast(spark.createDataFrame(some, hot.schema))
+        names = rows.columns
+        rows = rows.join(hot, "cell", "left")
+        rows = rows.withColumn("_blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+        rows = rows.select(*names, F.pmod(F.xxhash64(key), "_blocks").cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+        rows = rows.select(*names, "blk", F.least("blk", "_other").alias("i"), F.greatest("blk", "_other").alias("j"))
+    else:
+        rows = rows.select("*", *(F.lit(0).alias(c) for c in ("blk", "i", "j")))
+    return rows.repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,40 +286,6 @@ def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = 5, lanes: int = LANES) -> np.ndarray:
-    """A SimHash of 64 * lanes bits over the set of shingles, each lane from their remixed hashes; zero if there are no words.
-
-    A shingle counts once, so that a line that fills two texts does not make them alike.
-    """
-    hashes = shingles(text, shingle)
-    n = len(hashes)
-    if not n:
-        return np.zeros(lanes, np.uint64)
-    ones = np.zeros(64 * lanes, np.int64)
-    for at in range(0, n, 4080):
-        bits = np.unpackbits(_lanes(hashes[at : at + 4080], lanes).view(np.uint8), axis=1, bitorder="little")
-        for low in range(0, len(bits), 255):  # so many ones fit a byte
-            ones += np.add.reduce(bits[low : low + 255], axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
-
-
-def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """Independent 64-bit hashes out of one: the finalizer of SplitMix64 over steps of its increment."""
-    z = hashes[:, None] + np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def bits_apart(similarity: float, bits: int, margin: float = 1.3) -> int:
-    """Hamming distance of SimHashes of `bits` bits that shingle sets of this Jaccard similarity keep in nine of ten cases.
-
-    A bit differs with the chance of the sets' angle over pi; margin is in standard deviations of their number.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + margin * math.sqrt(bits * p * (1 - p)))
-
-
 def _salted(hashes: np.ndarray, sample: int) -> np.ndarray:
     return substring._mix(hashes ^ np.uint64(sample * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
@@ -332,34 +311,108 @@ def _prefix(own: np.ndarray, similarity: Fraction, bits: np.ndarray, log2_cells:
     return own[np.lexsort((own, common))][: few - alone]
 
 
+def _embedding(own: np.ndarray) -> np.ndarray:
+    """The bit counts of the segments of a set's bitmap, 255 at most each."""
+    return np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8)
+
+
+_EMBEDDED = [f"e{k}" for k in range(SEGMENTS // 8)]
+
+
 def _sets(docs: DataFrame, similarity: Fraction, shingle: int, bits, log2_cells: int) -> DataFrame:
-    """(doc_id, text_hash, node, prefix, shingles) of docs(doc_id, text_hash, text): node is the set's hash, the last two are null where no other set can be similar."""
+    """(doc_id, text_hash, node, prefix, size, e0.., shingles) of docs(doc_id, text_hash, text): node is the set's hash. What follows it is null
+    where no other set can be similar, and where the task has sent the same set before."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             texts = batch.column("text")
             for a, b in by_bytes(texts):
-                nodes, prefixes, sets = [], [], []
+                nodes, prefixes, sizes, counts, sets = [], [], [], [], []
                 for own in (shingles(t, shingle) for t in texts.slice(a, b - a).to_pylist()):
-                    first = _prefix(own, similarity, bits.value, log2_cells)
                     nodes.append(xxh64_intdigest(own.tobytes()))
+                    first = own[:0] if nodes[-1] in sent else _prefix(own, similarity, bits.value, log2_cells)
+                    if len(first):
+                        sent.add(nodes[-1])
                     prefixes.append(first.view(np.int64) if len(first) else None)
+                    sizes.append(len(own) if len(first) else None)
+                    counts.append(_embedding(own).view(np.int64) if len(first) else None)
                     sets.append(own.tobytes() if len(first) else None)
-                made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *made], ["doc_id", "text_hash", "node", "prefix", "shingles"])
+                made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+                made += [pa.array([None if c is None else int(c[k]) for c in counts], pa.int64()) for k in range(len(_EMBEDDED))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *made, pa.array(sets, pa.binary())], ["doc_id", "text_hash", "node", "prefix", "size", *_EMBEDDED, "shingles"])
 
-    return docs.mapInArrow(work, "doc_id long, text_hash long, node long, prefix array<long>, shingles binary")
+    return docs.mapInArrow(work, f"doc_id long, text_hash long, node long, prefix array<long>, size int, {', '.join(f'{c} long' for c in _EMBEDDED)}, shingles binary")
+
+
+def _peel(node: np.ndarray, alike: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]], forest: _Forest) -> None:
+    """Links of a group whose components are those of all its pairs that are alike.
+
+    alike(k, others) tells which of the others are alike to k, and which may be alike to one that is. Once a point's
+    likes hang on it, they are compared with the latter alone, so that a group of near copies costs one pass.
+    """
+    left = np.arange(len(node))
+    while len(left) > 1:
+        k, left = left[0], left[1:]
+        hit, about = alike(k, left)
+        near, border = left[hit], left[about & ~hit]
+        forest.add(np.full(len(near), node[k]), node[near])
+        few, more = (near, border) if len(near) < len(border) else (border, near)
+        for x in few if len(more) else ():
+            linked = more[alike(x, more)[0]]
+            forest.add(np.full(len(linked), node[x]), node[linked])
+        left = left[~hit]
+
+
+def _bounded_forest(similarity: Fraction):
+    """Links of the points of each cell whose sizes and counts of segments are within the bound that sets of the similarity keep, folded.
+
+    Such sets A and B differ in (1 - s) / (1 + s) of |A| + |B| shingles at most.
+    """
+    up, down = similarity.denominator - similarity.numerator, similarity.denominator + similarity.numerator
+
+    def apart(size: np.ndarray, counts: np.ndarray, a, b) -> np.ndarray:
+        return np.maximum(np.abs(counts[a] - counts[b]).sum(-1, dtype=np.int64), np.abs(size[a] - size[b]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+
+        def alike_in(size: np.ndarray, counts: np.ndarray):
+            def alike(k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                d = apart(size, counts, k, others)
+                # by way of a set alike to k, whose size is that of k over the similarity at most
+                between = size[others] + size[k] + 2 * size[k] * similarity.denominator // similarity.numerator
+                return d * down <= up * (size[k] + size[others]), d * down <= up * between
+
+            return alike
+
+        for part in _runs(batches):
+            node, size = part.column("node").to_numpy(), part.column("size").to_numpy().astype(np.int64)
+            counts = np.stack([part.column(c).to_numpy() for c in _EMBEDDED], 1).view(np.uint8).astype(np.int16)
+            starts, sizes = _groups(part)
+            few = sizes <= 16
+            group = np.where(np.repeat(few, sizes), np.repeat(np.arange(len(starts)), sizes), -1)
+            for step in range(1, int(sizes[few].max()) if few.any() else 1):
+                at = np.flatnonzero((group[step:] == group[:-step]) & (group[step:] >= 0))
+                at = at[apart(size, counts, at, at + step) * down <= up * (size[at] + size[at + step])]
+                forest.add(node[at], node[at + step])
+            for g in np.flatnonzero(~few):
+                own = slice(starts[g], starts[g] + sizes[g])
+                _peel(node[own], alike_in(size[own], counts[own]), forest)
+        yield forest.batch()
+
+    return work
 
 
 def _exact_forest(similarity: Fraction):
-    """Links of the sets of each run that have the similarity, folded. One less the similarity is a metric: once a set's
-    neighbours hang on it, they are compared with those sets alone that are within twice the distance of it."""
+    """Links of the sets of each run that have the similarity, folded. One less the similarity is a metric: what is alike to a
+    set's like is within twice the distance of it."""
     far = 2 * similarity - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
 
-        def peel(node: np.ndarray, sets: list[np.ndarray]) -> None:
+        def alike_in(sets: list[np.ndarray]):
             names, flat = np.unique(np.concatenate(sets), return_inverse=True)
             size = np.array([len(x) for x in sets])
             stop = np.cumsum(size)
@@ -367,7 +420,6 @@ def _exact_forest(similarity: Fraction):
             mark = np.zeros(len(names), bool)
 
             def alike(k: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                """Which of the others have the similarity to set k, and which may be near one that has."""
                 if not len(others):
                     return np.empty(0, bool), np.empty(0, bool)
                 mark[own[k]] = True
@@ -377,140 +429,43 @@ def _exact_forest(similarity: Fraction):
                 either = size[k] + size[others] - both
                 return tuple(both * x.denominator >= either * x.numerator for x in (similarity, far))
 
-            left = np.arange(len(sets))
-            while len(left) > 1:
-                k, left = left[0], left[1:]
-                hit, about = alike(k, left)
-                near, border = left[hit], left[about & ~hit]
-                forest.add(np.full(len(near), node[k]), node[near])
-                few, more = (near, border) if len(near) < len(border) else (border, near)
-                for x in few:
-                    linked = more[alike(x, more)[0]]
-                    forest.add(np.full(len(linked), node[x]), node[linked])
-                left = left[~hit]
+            return alike
 
         for part in _runs(batches):
             node, sets = part.column("node").to_numpy(), part.column("shingles")
             for start, n in zip(*_groups(part)):
-                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(start, n)]
-                peel(node[start : start + n], own)
+                if n > 1:
+                    own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(start, n)]
+                    _peel(node[start : start + n], alike_in(own), forest)
         yield forest.batch()
 
     return work
 
 
 def exact_links(sets: DataFrame, similarity: Fraction, block: int = 1024) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of sets (node, prefix, shingles) of the similarity.
+    """(a, b): links whose components are those of all pairs of sets (node, prefix, size, e0.., shingles) of the similarity.
 
-    Groups of more than `block` sets are cut into pairs of blocks.
+    Cells and groups of more than `block` sets are cut into pairs of blocks.
     """
     sets = sets.filter("prefix is not null")
-    shared = sets.select("node", F.explode("prefix").alias("key")).distinct()
-    least = shared.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    groups = components(shared.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").withColumnRenamed("root", "cell")
+    every = sets.select(F.explode("prefix").alias("cell"), "node", "size", *_EMBEDDED)
     # sets of equal nodes are equal
-    own = sets.join(members, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "n", "shingles")))
-    one = own.filter(F.col("n") <= block).drop("n").select("*", *(F.lit(0).alias(c) for c in ("blk", "i", "j")))
-    met = one.unionByName(_paired(own.filter(F.col("n") > block), "node", block)).drop("blk")
-    dealt = met.repartition(partitions(sets.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return dealt.mapInArrow(_exact_forest(similarity), "a long, b long")
+    cells = every.groupBy("cell", "node").agg(*(F.first(c).alias(c) for c in ("size", *_EMBEDDED)))
+    near = _dealt(cells, "node", block, every).mapInArrow(_bounded_forest(similarity), "a long, b long")
+    groups = components(near)
+    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cell")
+    own = sets.select("node", "shingles").join(members, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "shingles")))
+    return _dealt(spool(own, "groups"), "node", block).mapInArrow(_exact_forest(similarity), "a long, b long")
 
 
-def _grid(points: DataFrame, tables: int, segments: int) -> DataFrame:
-    """(cell, node, fp): a cell of each of `tables` grids, over as many one-bit segments of the fingerprint."""
+def _ordered(column: Column, kind: T.DataType) -> Column:
+    """Something to order any column by."""
+    def whole(k: T.DataType) -> bool:
+        if isinstance(k, T.StructType):
+            return all(whole(f.dataType) for f in k.fields)
+        return whole(k.elementType) if isinstance(k, T.ArrayType) else not isinstance(k, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(7)
-        places = np.stack([rng.permutation(64 * LANES)[:segments] for _ in range(tables)])
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                bits = np.unpackbits(_matrix(part.column("fp")).view(np.uint8), axis=1, bitorder="little")
-                cells = bits[:, places].astype(np.int64) @ (1 << np.arange(segments, dtype=np.int64))
-                cells += np.arange(tables, dtype=np.int64) << segments
-                copies = part.take(pa.array(np.repeat(np.arange(part.num_rows), tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *copies.columns], ["cell", "node", "fp"])
-
-    return points.select("node", "fp").mapInArrow(work, "cell long, node long, fp binary")
-
-
-def _matrix(fps: pa.Array) -> np.ndarray:
-    """Fingerprints as rows of lanes."""
-    start = np.frombuffer(fps.buffers()[1], np.int32, 1, fps.offset * 4)[0] if len(fps) else 0
-    return np.frombuffer(fps.buffers()[2], np.uint64, len(fps) * LANES, int(start)).reshape(-1, LANES)
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-
-
-def _within(prints: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Places k where rows a[k] and b[k] are within distance: half of the bits bound the distance from below."""
-    half = LANES // 2
-    keep = np.flatnonzero(_apart(prints[a, :half], prints[b, :half]) <= distance)
-    return keep[_apart(prints[a[keep]], prints[b[keep]]) <= distance]
-
-
-def _wide_forest(distance: int):
-    """As _forest: but once a point's neighbours hang on it, they are compared with those points alone that are within
-    twice the distance of it. The others are too far from any of them, so that a group of near copies costs one pass."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = _Forest()
-
-        def peel(node: np.ndarray, fp: np.ndarray) -> None:
-            while len(node) > 1:
-                apart = _apart(fp[:1], fp[1:])
-                near = np.flatnonzero(apart <= distance) + 1
-                forest.add(np.full(len(near), node[0]), node[near])
-                border = np.flatnonzero((apart > distance) & (apart <= 2 * distance)) + 1
-                few, more = (near, border) if len(near) < len(border) else (border, near)
-                for k in few:
-                    hit = more[_apart(fp[k : k + 1], fp[more]) <= distance]
-                    forest.add(np.full(len(hit), node[k]), node[hit])
-                rest = np.flatnonzero(apart > distance) + 1
-                node, fp = node[rest], fp[rest]
-
-        for part in _runs(batches):
-            node = part.column("node").to_numpy()
-            fp = np.concatenate([_matrix(c) for c in part.column("fp").chunks])
-            starts, sizes = _groups(part)
-            few = sizes <= 16
-            pick = np.repeat(few, sizes)
-            if pick.any():
-                own, prints, group = node[pick], fp[pick], np.repeat(np.arange(len(starts)), sizes)[pick]
-                for step in range(1, int(sizes[few].max())):
-                    at = np.flatnonzero(group[step:] == group[:-step])
-                    at = at[_within(prints, at, at + step, distance)]
-                    forest.add(own[at], own[at + step])
-            for g in np.flatnonzero(~few):
-                s = slice(starts[g], starts[g] + sizes[g])
-                peel(node[s], fp[s])
-        yield forest.batch()
-
-    return work
-
-
-def similar(points: DataFrame, similarity: float, tables: int, segments: int, block: int = 4096, broadcastable: int = 100_000) -> DataFrame:
-    """(a, b): links of points (node, fp of LANES words) that share a cell and are within bits_apart(similarity).
-
-    The cells of more than `block` points, by a count with partial sums, are cut into pairs of blocks; their list is
-    broadcast if it has at most `broadcastable` rows, and joined by shuffle beyond.
-    """
-    spark = points.sparkSession
-    cells = _grid(points, tables, segments)
-    hot = spool(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "hot")
-    number = hot.count()
-    if number:
-        marked = cells.join(F.broadcast(hot) if number <= broadcastable else hot, "cell", "left")
-        one = marked.filter("n is null").drop("n").select("*", *(F.lit(0).alias(c) for c in ("blk", "i", "j")))
-        cells = one.unionByName(_paired(marked.filter("n is not null"), "node", block)).drop("blk")
-    else:
-        cells = cells.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    dealt = cells.repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return dealt.mapInArrow(_wide_forest(bits_apart(similarity, 64 * LANES)), "a long, b long")
+    return column if whole(kind) else F.to_json(F.struct(column.alias("c")))
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, log2_cells: int = 27, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -518,7 +473,8 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     Near copies are texts whose sets of word shingles have a Jaccard similarity of `similarity` or more, and what such links
     reach; pairs are compared whole, and none is missed. Null, empty and wordless texts are one group. A null doc_id comes
-    after all ids. Of rows that share id and text the first by their other columns stays. Empty input gives no rows.
+    after all ids. Of rows that share id and text the first by their other columns stays, maps among them by their JSON. Other
+    columns may have any name and type, or be absent. Empty input gives no rows.
     """
     least = Fraction(similarity).limit_denominator(1000)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
@@ -527,11 +483,19 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     bits.unpersist()
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     points = spool(prints.groupBy("node").agg(F.min(place).alias("place")), "points")
-    roots = components(exact_links(prints.select("node", "prefix", "shingles"), least)).withColumnRenamed("node", "node_")
+    roots = components(exact_links(prints, least)).withColumnRenamed("node", "node_")
     rooted = points.join(roots, F.col("node") == F.col("node_"), "left").select("place", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash"))
+    again = prints.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    again = spool(again, "again")
+
     names = docs.columns
-    rows = docs.select(F.col(doc_id).cast("long").alias("_k"), F.xxhash64(text).alias("_h"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    rows = rows.join(kept, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    order = Window.partitionBy("_k", "_h").orderBy(*(f"c{i}" for i, c in enumerate(names) if c not in (text, doc_id)) or [F.lit(0)])
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    renamed = [f"c{i}" for i in range(len(names))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("_k"), F.xxhash64(text).alias("_h"), *(F.col(f"`{c}`").alias(r) for c, r in zip(names, renamed)))
+    same = lambda x: F.col("_k").eqNullSafe(x["_id"]) & (F.col("_h") == x["_hash"])
+    rows = rows.join(kept, same(kept), "left_semi")
+    if not again.isEmpty():
+        order = [_ordered(F.col(r), f.dataType) for r, f in zip(renamed, docs.schema.fields) if f.name not in (text, doc_id)]
+        first = rows.join(again, same(again), "left_semi").groupBy("_k", "_h").agg(F.min_by(F.struct(*renamed), F.struct(*order or [F.lit(0)])).alias("r"))
+        rows = rows.join(again, same(again), "left_anti").select(*renamed).unionByName(first.select(*(F.col(f"r.{r}").alias(r) for r in renamed)))
+    return rows.select(*(F.col(r).alias(c) for c, r in zip(names, renamed)))
