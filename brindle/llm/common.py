@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,28 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+from brindle.session import shared_dir, table  # noqa: F401
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    return _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="brindle-"))
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
+def spool(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing.
 
-    The application's folder goes when its driver ends.
+    `few` is for rows that are small beside what made them: they are gathered in files of the advisory size, where each task
+    would write one of its own. The application's folder goes when its driver ends.
     """
     spark = df.sparkSession
+    df = df.hint("rebalance") if few else df
     top = f"{shared_dir(spark)}/brindle/{spark.sparkContext.applicationId}"
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

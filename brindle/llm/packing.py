@@ -227,7 +227,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, files: tuple[st
     a null doc_id stays null. Empty input gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = spool(tokenized_pieces(docs, capacity, end_id, files, text, doc_id), "pieces")
+    pieces = spool(tokenized_pieces(docs, capacity, end_id, files, text, doc_id), "pieces", few=True)
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(solve(histogram, capacity)))
     blocks = max(1, sum(histogram.values()) // 20_000)
