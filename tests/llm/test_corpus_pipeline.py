@@ -109,7 +109,53 @@ def test_packing_stage_round_trip(stages):
 def test_run_is_its_stages(spark, sf, stages):
     _, out = stages["best_fit_packing"]
     got = corpus_pipeline.run(spark, sf)
+    assert got.columns == out.columns
     assert sorted(map(str, rows(got.select("doc_id", "piece", "length", "ids_crc32")))) == sorted(map(str, rows(out.select("doc_id", "piece", "length", "ids_crc32"))))
+    for packed in (rows(got), rows(out)):
+        by = {}
+        for p in packed:
+            by.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        assert len(by) == len({p["sequence_id"] for p in rows(out)})
+        for own in by.values():
+            own.sort()
+            assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def written(spark, path, documents, labels=(), benchmark=()):
+    spark.createDataFrame(list(documents), DOCUMENTS + ", extra map<string,int>").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, [])).count() == 0
+
+
+def test_run_on_nulls_repeats_and_very_long_texts(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(50_000))
+    item = " ".join(f"b{k}" for k in range(20))
+    documents = [(None, None, None, None, None, None)] * 3 + [(7, "a text that is here five times", "en", "x", 30, {"a": 1})] * 5 + [(8, "", "en", None, 0, None), (9, long, "en", "x", len(long), None), (10, long + " more", None, "x", 0, None)]
+    documents += [(11, f"{item} tail", "en", "x", 1, None), (12, "my password=hunter2222 is here", "en", "x", 2, {"b": 2}), (13, None, "de", "y", None, None)]
+    labels = [(7, 1, 0), (7, None, 0), (None, 1, 0), (99, 0, 1)]
+    sf = written(spark, tmp_path, documents, labels, [(1, item), (1, item), (None, None), (2, "...")])
+    packed = rows(corpus_pipeline.run(spark, sf))
+    # 11 is in the benchmark, 10 is a copy of 9; of the wordless texts that of the least id stays
+    assert {p["doc_id"] for p in packed} == {7, 8, 9, 12} and sum(p["doc_id"] == 7 for p in packed) == 1
+    encode = Tokenizer(*default_files())
+    assert sum(p["length"] for p in packed if p["doc_id"] == 12) == len(encode("my [SECRET] is here")) + 1
+    assert sum(p["length"] for p in packed if p["doc_id"] == 9) == len(encode(long)) + 1
+
+
+def test_every_stage_alone_on_nulls_and_nothing(spark, tmp_path):
+    sf = written(spark, tmp_path, [], [], [(1, "one two three four five six seven")])
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (1, "", "x", "y", 0), (1, "", "x", "y", 0)], DOCUMENTS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+        assert stage(spark, odd, sf).count() == {"simhash_near_dedup": 1}.get(name, 4), name
 
 
 def test_representatives(spark):
