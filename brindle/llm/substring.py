@@ -33,6 +33,8 @@ BLOCK_LOG2 = 20
 HELD = 1 << 20
 #: Bytes of texts whose windows are hashed at once.
 SLICE = 1 << 20
+#: Parts of tasks, twice over, that make a key common.
+OFTEN = 128
 #: Words of the grams that stand for windows in the sketch.
 GRAM = 10
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -170,14 +172,14 @@ def _sketch_parts(keys: Callable[[list], np.ndarray], log2_cells: int):
 
 
 def _merge(log2_block: int):
-    """Adds up a block's parts and keeps which cells were touched twice."""
+    """Adds up a block's parts and keeps which cells were touched twice, and which OFTEN times."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seen = None, np.zeros(1 << log2_block, np.uint8)
 
         def done() -> pa.RecordBatch:
-            bits = zlib.compress(np.packbits(seen >= 2, bitorder="little").tobytes(), 1)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], ["block", "cells"])
+            bits = [zlib.compress(np.packbits(seen >= least, bitorder="little").tobytes(), 1) for least in (2, OFTEN)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([b], pa.binary()) for b in bits)], ["block", "cells", "often"])
 
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -190,23 +192,29 @@ def _merge(log2_block: int):
                 again = np.zeros(len(cells), bool)
                 again[1:] = cells[1:] == cells[:-1]
                 for part in (cells[~again], cells[again]):
-                    seen[part] = np.minimum(seen[part] + 1, 2)
+                    seen[part] += seen[part] < 255
         if block is not None:
             yield done()
 
     return work
 
 
-def repeated_cells(docs: DataFrame, keys: Callable[[list], np.ndarray], log2_cells: int) -> np.ndarray:
-    """The merged sketch of the keys of all texts of docs(text binary): a row of bits for each hash, ROWS * 2**log2_cells / 8 bytes."""
+def sketched(docs: DataFrame, keys: Callable[[list], np.ndarray], log2_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged sketch of the keys of all texts of docs(text binary): rows of bits for each hash, ROWS * 2**log2_cells / 8 bytes,
+    of the cells touched twice and of those touched OFTEN times, where a part of a task counts twice at most."""
     block_log2 = min(BLOCK_LOG2, log2_cells)
     parts = docs.select("text").mapInArrow(_sketch_parts(keys, log2_cells), "block int, cells binary")
     dealt = parts.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
-    bits = np.zeros((ROWS << log2_cells) // 8 if log2_cells >= 3 else ROWS, np.uint8)
+    bits, often = (np.zeros((ROWS << log2_cells) // 8 if log2_cells >= 3 else ROWS, np.uint8) for _ in range(2))
     step = (1 << block_log2) // 8
-    for r in dealt.mapInArrow(_merge(block_log2), "block int, cells binary").toLocalIterator():
-        bits[r.block * step : (r.block + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.cells)), np.uint8)
-    return bits
+    for r in dealt.mapInArrow(_merge(block_log2), "block int, cells binary, often binary").toLocalIterator():
+        for whole, part in ((bits, r.cells), (often, r.often)):
+            whole[r.block * step : (r.block + 1) * step] = np.frombuffer(zlib.decompress(bytes(part)), np.uint8)
+    return bits, often
+
+
+def repeated_cells(docs: DataFrame, keys: Callable[[list], np.ndarray], log2_cells: int) -> np.ndarray:
+    return sketched(docs, keys, log2_cells)[0]
 
 
 class Places:

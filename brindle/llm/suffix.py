@@ -2,10 +2,11 @@
 
 Only suffixes at minimisers are retained: among the k-word grams of every stretch of `size` words, the one of the
 least hash. A stretch that repeats selects the same minimiser wherever it is, so that its copies retain suffixes
-that begin with the same gram; suffixes whose gram occurs once go, behind a sketch of fixed size. Each retained
-suffix is extended left by as many words as its minimiser leaves and right to `size` words; the extended suffixes
-are sorted by hash of their content and neighbours compared, in each task and then, by minimiser, over all of
-them. Matches that touch are joined: the passage then reaches as far left and right as the copies agree.
+that begin with the same gram; what occurs once goes, behind a sketch of fixed size. Each task sorts its retained suffixes by their
+words and compares neighbours: words in common to the right are the least of the common prefixes between two suffixes. Then matches are
+extended to the left, a word at a time, and a stretch repeats if the words to the left and those to the right that complete
+it are both in common. Stretches that a task's array does not show to be repeats are sorted by hash of their content and compared,
+by minimiser, over all tasks. Matches that touch are joined: the passage then reaches as far left and right as the copies agree.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import substring
-from brindle.llm.common import by_bytes, partitions
-from brindle.llm.substring import Places, flagged_cells, repeated_cells, window_keys, windows
+from brindle.llm.common import by_bytes, partitions, spool
+from brindle.llm.substring import Places, flagged_cells, rolling, sketched, window_keys, windows, word_hashes
 
 GRAM = 16
+#: Suffixes whose words a task holds at once.
+SUFFIXES = 1 << 15
 _SENT = "kind int, key int, data binary"
-_RUN = np.dtype([("null", "u1"), ("id", "<i8"), ("text", "<i8"), ("start", "<u4"), ("stop", "<u4"), ("from_null", "u1"), ("from_id", "<i8"), ("from_start", "<u4")])
+_RUN = np.dtype([("null", "u1"), ("id", "<i8"), ("text", "<i8"), ("start", "<u4"), ("stop", "<u4"), ("from_null", "u1"), ("from_id", "<i8"), ("from_text", "<i8"), ("from_start", "<u4")])
 
 
 def _runs(docs: np.ndarray, index: np.ndarray, start: np.ndarray, source: np.ndarray, source_start: np.ndarray, size: int) -> np.ndarray:
@@ -40,7 +43,9 @@ def _runs(docs: np.ndarray, index: np.ndarray, start: np.ndarray, source: np.nda
     for name in ("null", "id", "text"):
         out[name] = docs[name][index[first]]
     out["start"], out["stop"] = start[first], start[last] + size
-    out["from_null"], out["from_id"], out["from_start"] = docs["null"][source[first]], docs["id"][source[first]], source_start[first]
+    for name in ("null", "id", "text"):
+        out[f"from_{name}"] = docs[name][source[first]]
+    out["from_start"] = source_start[first]
     return out
 
 
@@ -62,35 +67,108 @@ def _compare(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray
     return order, later, order[first]
 
 
+class Suffixes:
+    """Retained suffixes with their words: gram (the hash of the first words), right (those that follow it), left (those before, nearest first)."""
+
+    def __init__(self, gram: np.ndarray, left: np.ndarray, right: np.ndarray):
+        self.gram, self.left, self.right = gram, left, right
+
+    @classmethod
+    def at(cls, hashes: np.ndarray, places: np.ndarray, gram: int, reach: int) -> Suffixes:
+        """Of places in a row of words' hashes; where the row ends, words are 0."""
+        padded = np.r_[np.zeros(reach, np.uint64), hashes, np.zeros(reach + gram, np.uint64)]
+        grams = rolling(hashes, gram, substring.M1)[places]
+        step = np.arange(reach)
+        return cls(grams, padded[places[:, None] + (reach - 1 - step)], padded[places[:, None] + (reach + gram + step)])
+
+    @classmethod
+    def joined(cls, parts: list[Suffixes]) -> Suffixes:
+        return cls(*(np.concatenate([getattr(p, name) for p in parts]) for name in ("gram", "left", "right")))
+
+    def array(self) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix array: each suffix's place in the order of words, and in that order how many words after the gram it has in common with
+        the one before; -1 if not even that."""
+        words = np.c_[self.gram, self.right]
+        order = np.argsort(words.astype(">u8").view(f"S{8 * words.shape[1]}").ravel(), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ordered = words[order]
+        equal = np.c_[ordered[1:] == ordered[:-1], np.zeros(max(0, len(order) - 1), bool)]
+        return place, np.r_[-1, equal.argmin(1) - 1][: len(order)]
+
+    def compare(self, suffix: np.ndarray, back: np.ndarray, rank: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of stretches that reach `back` words to the left of a suffix: whether an equal one is earlier, and which is the first of its equals."""
+        place, common = self.array()
+        later, first = np.zeros(len(suffix), bool), np.arange(len(suffix))
+        reach = self.right.shape[1]
+        left = np.zeros(len(self.gram), np.uint64)
+        by_back = np.argsort(back, kind="stable")
+        cuts = np.searchsorted(back[by_back], np.arange(reach + 2))
+        for j in range(reach + 1):
+            if j:
+                left = substring._mix((left ^ self.left[:, j - 1]) * np.uint64(substring.M2) + np.uint64(j))
+            rows = by_back[cuts[j] : cuts[j + 1]]
+            if not len(rows):
+                continue
+            # neighbours with so many words in common to the right are a run of the array; in it, those with j to the left are equal
+            run = np.cumsum(common < reach - j)[place[suffix[rows]]]
+            own = left[suffix[rows]]
+            order = np.lexsort((start[rows], rank[rows], own, run))
+            run, own, rows = run[order], own[order], rows[order]
+            new = np.r_[True, (run[1:] != run[:-1]) | (own[1:] != own[:-1])]
+            head = rows[np.flatnonzero(new)][np.cumsum(new) - 1]
+            first[rows] = head
+            later[rows] = (rank[rows] != rank[head]) | (within & (start[rows] != start[head]))
+        return later, first
+
+
+def _minimisers(texts: list[bytes | None], gram: int, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of all texts in a row, and of the stretches at given places in it the place of the gram of least hash, the first of equals."""
+    hashes, _ = word_hashes(texts)
+    value = rolling(hashes, gram, substring.M1)
+    index, have, width = np.arange(len(value)), 1, size - gram + 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = index[: len(index) - step], index[step:]
+        index = np.where(value[a] <= value[b], a, b)
+        have += step
+    return hashes, index[at]
+
+
 def _batch(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["kind", "key", "data"])
 
 
-def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int, within: bool):
-    """Stretches at suffixes that may repeat, by minimiser (kind 0); runs that a task can tell by itself (kind 1)."""
+def _candidates(size: int, gram: int, log2_cells: int, bits, often, shards: int, within: bool):
+    """Stretches at suffixes that may repeat (kind 0); runs that a task can tell by its own suffix array (kind 1).
+
+    Stretches are dealt by their minimiser, and by their own words where the sketch says that it is common.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[np.ndarray] = []
         held: list[tuple[np.ndarray, ...]] = []
-        docs_held = 0
-        turn = 0
+        suffixes: list[Suffixes] = []
+        docs_held = suffixes_held = turn = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal docs_held, turn
+            nonlocal docs_held, suffixes_held, turn
             docs, inverse = np.unique(np.concatenate(known), return_inverse=True)
-            h1, h2, index, start, least = (np.concatenate(x) for x in zip(*held))
-            known.clear()
-            held.clear()
-            docs_held = 0
+            h1, h2, index, start, least, suffix, back = (np.concatenate(x) for x in zip(*held))
+            array = Suffixes.joined(suffixes)
+            for x in (known, held, suffixes):
+                x.clear()
+            docs_held = suffixes_held = 0
             index = inverse.reshape(-1)[index]
-            order, later, first = _compare(h1, h2, _order_of(docs, within)[index], start, within)
-            gone, source = order[later], first[later]
+            later, first = array.compare(suffix, back, _order_of(docs, within)[index], start, within)
+            gone, kept = np.flatnonzero(later), np.flatnonzero(~later)
+            source = first[gone]
             runs = _runs(docs, index[gone], start[gone], index[source], start[source], size)
             turn += 1
             if len(runs):
                 yield _batch(1, [(turn % shards, runs.tobytes())])
-            kept = order[~later]
-            h1, h2, index, start, shard = h1[kept], h2[kept], index[kept], start[kept], ((least[kept] >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
+            h1, h2, index, start, least = h1[kept], h2[kept], index[kept], start[kept], least[kept]
+            shard = (np.where(flagged_cells(least, often.value, log2_cells), h1, least) >> np.uint64(24)) % np.uint64(shards)
             order = np.lexsort((start, index, shard))
             shard, h1, h2, index, start = shard[order], h1[order], h2[order], index[order], start[order]
             same = np.r_[False, (shard[1:] == shard[:-1]) & (index[1:] == index[:-1]) & (start[1:] == start[:-1])]
@@ -102,16 +180,26 @@ def _candidates(size: int, gram: int, log2_cells: int, bits, shards: int, within
         for batch in batches:
             own = Places.of(batch.column("doc_id"), batch.column("hash"))
             for a, b in by_bytes(batch.column("text"), substring.SLICE):
-                h1, h2, index, start, least, _ = windows(batch.column("text").slice(a, b - a).to_pylist(), size, gram)
-                flagged = flagged_cells(least, bits.value, log2_cells)
-                if not flagged.any():
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                h1, h2, index, start, least, _ = windows(texts, size, gram)
+                flagged = np.flatnonzero(flagged_cells(least, bits.value, log2_cells))
+                if not len(flagged):
                     continue
-                used, inverse = np.unique(index[flagged], return_inverse=True)
-                known.append(own[a:b][used])
-                held.append((h1[flagged], h2[flagged].astype("<u4"), inverse.reshape(-1) + docs_held, start[flagged], least[flagged]))
-                docs_held += len(used)
-                if sum(len(x[0]) for x in held) >= substring.HELD:
-                    yield from flush()
+                h1, h2, index, start, least = (x[flagged] for x in (h1, h2, index, start, least))
+                base = np.r_[0, np.cumsum([len((t or b"").split()) for t in texts])][index]
+                hashes, at = _minimisers(texts, gram, base + start, size)
+                places, suffix = np.unique(at, return_inverse=True)
+                used, inverse = np.unique(index, return_inverse=True)
+                # in pieces that hold so many suffixes at most
+                for k in range(0, len(places), SUFFIXES):
+                    part = (suffix >= k) & (suffix < k + SUFFIXES)
+                    suffixes.append(Suffixes.at(hashes, places[k : k + SUFFIXES], gram, size - gram))
+                    known.append(own[a:b][used])
+                    held.append((h1[part], h2[part].astype("<u4"), inverse.reshape(-1)[part] + docs_held, start[part], least[part], suffix[part] - k + suffixes_held, (at - base - start)[part]))
+                    docs_held += len(used)
+                    suffixes_held += len(suffixes[-1].gram)
+                    if suffixes_held >= SUFFIXES or sum(len(x[0]) for x in held) >= substring.HELD:
+                        yield from flush()
         if held:
             yield from flush()
 
@@ -150,22 +238,22 @@ def _settle(size: int, within: bool):
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "hash", "start", "stop", "source_doc_id", "source_start"]
+    names = ["doc_id", "hash", "start", "stop", "source_doc_id", "source_hash", "source_start"]
     for batch in batches:
         for data in batch.column("data"):
             runs = np.frombuffer(data.as_buffer(), _RUN)
             ids = pa.array(runs["id"], mask=runs["null"].astype(bool))
             sources = pa.array(runs["from_id"], mask=runs["from_null"].astype(bool))
             starts = [pa.array(runs[c].astype(np.int64)) for c in ("start", "stop", "from_start")]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(runs["text"]), starts[0], starts[1], sources, starts[2]], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(runs["text"]), starts[0], starts[1], sources, pa.array(runs["from_text"]), starts[2]], names)
 
 
 def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, text: str = "text", doc_id: str = "doc_id", within: bool = False) -> DataFrame:
     """A row for each passage of `size` words or more that an earlier document has too: doc_id, start, n_words, source_doc_id, source_start.
 
     Words are what ASCII white space parts, unchanged, and counted from 0. A passage is the longest stretch of words
-    covered by stretches of `size` words each of which is also in a document of smaller id; its source is a document
-    that holds the first of them, the earliest that the sort met. A null doc_id comes after all ids. Rows that share
+    covered by stretches of `size` words each of which is also in a document of smaller id; its source is the earliest place
+    of the first of them. A null doc_id comes after all ids. Rows that share
     an id are at one place: they are not each other's source, and rows that share the text too are reported once.
     With `within`, a stretch that starts earlier in the same document counts too, and the document is its own source; rows
     that share an id only are then ordered by their texts' hashes and may be each other's source.
@@ -175,14 +263,23 @@ def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     docs = docs.withColumn("hash", F.xxhash64("text"))
     n, gram = partitions(spark), min(GRAM, size)
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, partial(window_keys, size=size, gram=gram), log2_cells))
-    sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, n, within), _SENT)
+    bits, often = map(spark.sparkContext.broadcast, sketched(docs, partial(window_keys, size=size, gram=gram), log2_cells))
+    sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, often, n, within), _SENT)
     settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(size, within), _SENT)
-    runs = settled.mapInArrow(_unpacked, "doc_id long, hash long, start long, stop long, source_doc_id long, source_start long")
-    within = Window.partitionBy("doc_id", "hash").orderBy("start", "stop")
-    reach = F.max("stop").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("reach", reach).withColumn("new", F.when(F.col("reach") >= F.col("start"), 0).otherwise(1))
-    runs = runs.withColumn("passage", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("start", "source_doc_id", "source_start"))
-    found = runs.groupBy("doc_id", "hash", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), first.alias("first"))
-    return found.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("first.source_doc_id").alias("source_doc_id"), F.col("first.source_start").alias("source_start"))
+    runs = settled.mapInArrow(_unpacked, "doc_id long, hash long, start long, stop long, source_doc_id long, source_hash long, source_start long")
+    runs = spool(runs, "runs", few=True)
+    passage = Window.partitionBy("doc_id", "hash").orderBy("start", "stop")
+    reach = F.max("stop").over(passage.rowsBetween(Window.unboundedPreceding, -1))
+    joined = runs.withColumn("reach", reach).withColumn("new", F.when(F.col("reach") >= F.col("start"), 0).otherwise(1))
+    joined = joined.withColumn("passage", F.sum("new").over(passage.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("start", "source_doc_id", "source_hash", "source_start"))
+    found = joined.groupBy("doc_id", "hash", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), first.alias("first"))
+    # the source that a task knew may itself be later than one that others had: then that one's source is the earliest
+    known = runs.select(*(F.col(c).alias(f"_{c}") for c in runs.columns))
+    place = F.col("first.source_doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("first.source_hash") == F.col("_hash"))
+    inside = F.col("first.source_start").between(F.col("_start"), F.col("_stop") - size)
+    shift = F.col("first.source_start") - F.col("_start")
+    own, other = F.struct("first.source_doc_id", "first.source_start"), F.struct(F.col("_source_doc_id").alias("source_doc_id"), (F.col("_source_start") + shift).alias("source_start"))
+    traced = found.join(known, place & inside, "left").withColumn("source", F.when(F.col("_hash").isNull(), own).otherwise(other))
+    out = traced.groupBy("doc_id", "hash", "start", "stop").agg(F.min("source").alias("source"))
+    return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "source.source_doc_id", "source.source_start")

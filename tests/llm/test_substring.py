@@ -102,3 +102,12 @@ def test_empty(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     got = without_repeats(spark.createDataFrame([(1, None, "", 0)], SCHEMA)).first()
     assert (got.n_words, got.n_removed, got.kept) == (0, 0, "")
+
+
+def test_very_long_texts_and_a_passage_in_a_third_of_all_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(d, f"{d}-a {d}-b" + (f" {passage} " if d % 3 == 0 else " ") + f"{d}-c", "", 0) for d in range(600)]
+    rows += [(5000, " ".join(f"l{i}" for i in range(50_000)), "", 0), (5001, "w " * 40_000, "", 0)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert got[0] == (63, 0) and all(got[d] == ((63, 60) if d % 3 == 0 else (3, 0)) for d in range(1, 600))
+    assert got[5000] == (50_000, 0) and got[5001] == (40_000, 39_999)

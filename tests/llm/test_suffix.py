@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -126,3 +127,88 @@ def test_query_reports_repeats_within_a_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in op5_suffix_dedup(spark, str(tmp_path)).collect())
     assert got == [(1, 100, 60, 1, 0), (2, 0, 55, 2, 0)]
+
+
+def test_suffix_array_compares_as_brute_force():
+    """The order of the words, the common prefixes of neighbours, and the first of equal stretches, over words that repeat a lot."""
+    rng = np.random.default_rng(11)
+    gram, reach = 2, 5
+    for words in (2, 4, 30):
+        hashes = rng.integers(1, words + 1, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        places = np.unique(rng.integers(reach, 400 - gram - reach, 120))
+        own = suffix.Suffixes.at(hashes, places, gram, reach)
+        place, common = own.array()
+        text = [tuple(hashes[p : p + gram + reach].tolist()) for p in places]
+        order = np.argsort(place)
+        key = [(int(own.gram[k]), *text[k][gram:]) for k in order]
+        assert key == sorted(key)
+        for x, y, n in zip(key, key[1:], common[1:]):
+            same = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), reach + 1)
+            assert n == same - 1
+        at, back = np.divmod(rng.permutation(len(places) * (reach + 1))[:500], reach + 1)
+        rank, start = rng.integers(0, 6, 500), rng.permutation(500)
+        later, first = own.compare(at, back, rank, start, True)
+        stretch = [(int(j), tuple(hashes[places[k] - j : places[k] - j + gram + reach].tolist())) for k, j in zip(at, back)]
+        for i, s in enumerate(stretch):
+            equals = [k for k, o in enumerate(stretch) if o == s]
+            head = min(equals, key=lambda k: (rank[k], start[k]))
+            assert first[i] == head and later[i] == (i != head)
+
+
+def test_a_passage_in_a_third_of_all_rows_and_very_long_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(d, " ".join(f"{d}-{i}" for i in range(60)) + (f" {passage} " if d % 3 == 0 else " ") + " ".join(f"{d}+{i}" for i in range(60)), "x", 0) for d in range(900)]
+    rows += [(5000, " ".join(f"l{i}" for i in range(60_000)), "", 0), (5001, " ".join(f"l{i}" for i in range(30_000, 60_000)), "", 0), (5002, "w " * 30_000, "", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = {(r.doc_id, r.start, r.n_words) for r in repeated_passages(frame, within=True).collect()}
+    assert got == {(d, 60, 120) for d in range(3, 900, 3)} | {(5001, 0, 30_000), (5002, 1, 29_999)}
+
+
+def test_edges_of_a_common_passage_are_dealt_apart(spark, monkeypatch):
+    """Shards of what crosses the edges of a passage that all documents share are about even, and results the same."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(d, " ".join(f"{d}-{i}" for i in range(40)) + f" {passage} " + " ".join(f"{d}+{i}" for i in range(40)), "x", 0) for d in range(800)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(80)
+    docs = frame.selectExpr("doc_id", "cast(text as binary) as text", "xxhash64(text) as hash")
+    share = spark.sparkContext.broadcast
+    bits, often = substring.sketched(docs, partial(window_keys, size=50, gram=16), 24)
+    most = {}
+    for name, flags in (("apart", often), ("together", np.zeros_like(often))):
+        sent = docs.mapInArrow(suffix._candidates(50, 16, 24, share(bits), share(flags), 16, True), suffix._SENT).filter("kind = 0")
+        sizes = [len(substring.gathered([bytes(r.data) for r in v])[1]) for v in _by_key(sent.collect()).values()]
+        most[name] = max(sizes) / sum(sizes) * 16
+    assert most["apart"] < 1.3 and most["together"] > 2
+    assert {(r.doc_id, r.start, r.n_words) for r in repeated_passages(frame).collect()} == {(d, 40, 120) for d in range(1, 800)}
+
+
+def _by_key(sent):
+    out = {}
+    for r in sent:
+        out.setdefault(r.key, []).append(r)
+    return out
+
+
+def test_the_source_is_the_earliest_place_however_rows_are_dealt(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [words(12) for _ in range(6)]
+    rows = []
+    for d in rng.sample(range(1000), 120):
+        text = words(rng.randint(0, 9))
+        for k in rng.sample(range(6), 2):
+            text += shared[k] + words(rng.randint(1, 4))
+        rows.append((d, " ".join(text), "x", 0))
+    first = {}
+    for d, t, _, _ in sorted(rows):
+        w = t.split()
+        for i in range(len(w) - 9):
+            first.setdefault(tuple(w[i : i + 10]), (d, i))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    seen = set()
+    for n in (1, 4, 13):
+        got = repeated_passages(frame.repartition(n), 10, 20).collect()
+        text = {d: t.split() for d, t, _, _ in rows}
+        for r in got:
+            assert (r.source_doc_id, r.source_start) == first[tuple(text[r.doc_id][r.start : r.start + 10])]
+        seen.add(tuple(sorted(map(tuple, got))))
+    assert len(seen) == 1 and len(next(iter(seen))) > 100
