@@ -240,15 +240,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = spool(edges, "edges")
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.distinct()
+        # around a node whose least neighbour is itself or larger the large star changes nothing, so that only lesser ones are sought; they
+        # are written, as a join of two plain tables has its hot keys split
+        lesser = spool(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "lesser")
+        large = edges.join(lesser, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         last, edges = edges, spool(small.distinct(), "edges")
         unspool(last)
+        unspool(lesser)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, text:
     """
     prints = spool(fingerprints(docs, text, doc_id, shingle), "prints")
     rooted = _roots(prints, distance)
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = spool(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = rooted.join(ids, "root").select(F.col("fp").alias("fp_"), "component_id")
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
