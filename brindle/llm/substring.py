@@ -285,7 +285,7 @@ def _by_block(docs: np.ndarray, index: np.ndarray, start: np.ndarray, blocks: in
     """Removals, packed for each block of documents."""
     if not len(index):
         return
-    block = (docs["text"][index].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+    block = ((docs["text"] ^ docs["id"])[index].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
     order = np.lexsort((start, index, block))
     index, start, block = index[order], start[order], block[order]
     cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
@@ -447,8 +447,9 @@ def without_repeats(docs: DataFrame, size: int = 20, log2_cells: int = 28, text:
     sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, n, n), _SENT)
     settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(n), _SENT)
     gone = settled.select(F.col("key").alias("block"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("binary").alias("text"), "data")
-    # the block of a document is its text's hash, unsigned, modulo blocks
-    unsigned = F.pmod(F.pmod(F.shiftrightunsigned("hash", 1), F.lit(n)) * 2 + F.col("hash").bitwiseAND(F.lit(1)), F.lit(n)).cast("int")
+    # the block of a document is its text's hash and its id, unsigned, modulo blocks: copies of one text are dealt apart
+    both = F.col("hash").bitwiseXOR(F.coalesce("doc_id", F.lit(0)))
+    unsigned = F.pmod(F.pmod(F.shiftrightunsigned(both, 1), F.lit(n)) * 2 + both.bitwiseAND(F.lit(1)), F.lit(n)).cast("int")
     rows = docs.select(unsigned.alias("block"), F.lit(1).alias("kind"), "doc_id", "hash", "text", F.lit(None).cast("binary").alias("data"))
     met = gone.unionByName(rows).repartitionById(n, F.col("block")).sortWithinPartitions("block", "kind")
     return met.mapInArrow(_apply(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
