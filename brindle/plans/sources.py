@@ -46,9 +46,11 @@ def source_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def source_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables bucketed by the join's key: neither the join nor the aggregation shuffles."""
-    files.write_bucketed(table(spark, sf_dir, "customer").select("c_custkey"), "brindle_customers", ["c_custkey"], 8)
-    files.write_bucketed(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "brindle_orders", ["o_custkey"], 8)
-    customers, orders = spark.table("brindle_customers"), spark.table("brindle_orders")
+    places = {t: scratch(spark, t) for t in ("customers", "orders")}
+    names = {t: f"brindle_{p.rsplit('-', 1)[1]}" for t, p in places.items()}
+    files.write_bucketed(table(spark, sf_dir, "customer").select("c_custkey"), names["customers"], ["c_custkey"], 8, places["customers"])
+    files.write_bucketed(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), names["orders"], ["o_custkey"], 8, places["orders"])
+    customers, orders = (spark.table(n) for n in names.values())
     return customers.join(orders, customers.c_custkey == orders.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
