@@ -446,7 +446,8 @@ def _exact_forest(similarity: Fraction):
 def exact_links(sets: DataFrame, similarity: Fraction, block: int = 1024) -> DataFrame:
     """(a, b): links whose components are those of all pairs of sets (node, prefix, size, e0.., shingles) of the similarity.
 
-    Cells and groups of more than `block` sets are cut into pairs of blocks.
+    Cells and groups of more than `block` sets are cut into pairs of blocks. unspool() deletes the sets that the links are
+    made of, once these are written.
     """
     sets = sets.filter("prefix is not null")
     every = sets.select(F.explode("prefix").alias("cell"), "node", "size", *_EMBEDDED)
@@ -456,7 +457,10 @@ def exact_links(sets: DataFrame, similarity: Fraction, block: int = 1024) -> Dat
     groups = components(near)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cell")
     own = sets.select("node", "shingles").join(members, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "shingles")))
-    return _dealt(spool(own, "groups"), "node", block).mapInArrow(_exact_forest(similarity), "a long, b long")
+    own = spool(own, "groups")
+    out = _dealt(own, "node", block).mapInArrow(_exact_forest(similarity), "a long, b long")
+    out._spooled = own._spooled
+    return out
 
 
 def _ordered(column: Column, kind: T.DataType) -> Column:
@@ -484,18 +488,22 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     bits.unpersist()
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     points = spool(prints.groupBy("node").agg(F.min(place).alias("place")), "points")
-    roots = components(exact_links(prints, least)).withColumnRenamed("node", "node_")
+    near = exact_links(prints, least)
+    roots = components(near).withColumnRenamed("node", "node_")
+    unspool(near)
     rooted = points.join(roots, F.col("node") == F.col("node_"), "left").select("place", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash"))
     again = prints.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    again = spool(again, "again")
+    repeated = not again.isEmpty()
+    if not repeated:
+        unspool(prints)
 
     names = docs.columns
     renamed = [f"c{i}" for i in range(len(names))]
     rows = docs.select(F.col(doc_id).cast("long").alias("_k"), F.xxhash64(text).alias("_h"), *(F.col(f"`{c}`").alias(r) for c, r in zip(names, renamed)))
     same = lambda x: F.col("_k").eqNullSafe(x["_id"]) & (F.col("_h") == x["_hash"])
     rows = rows.join(kept, same(kept), "left_semi")
-    if not again.isEmpty():
+    if repeated:
         order = [_ordered(F.col(r), f.dataType) for r, f in zip(renamed, docs.schema.fields) if f.name not in (text, doc_id)]
         first = rows.join(again, same(again), "left_semi").groupBy("_k", "_h").agg(F.min_by(F.struct(*renamed), F.struct(*order or [F.lit(0)])).alias("r"))
         rows = rows.join(again, same(again), "left_anti").select(*renamed).unionByName(first.select(*(F.col(f"r.{r}").alias(r) for r in renamed)))
