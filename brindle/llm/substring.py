@@ -31,6 +31,8 @@ ROWS = 2
 BLOCK_LOG2 = 20
 #: Windows a task holds before it sends them on.
 HELD = 1 << 20
+#: Bytes of packed windows of a shard that are unpacked and sorted at once, about; a larger shard is sorted in parts by hash.
+SORTED = 32 << 20
 #: Bytes of texts whose windows are hashed at once.
 SLICE = 1 << 20
 #: Parts of tasks, twice over, that make a key common.
@@ -272,13 +274,22 @@ def _later(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray)
     return order, p != first
 
 
-def gathered(packed: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Documents of all packs, and each window's document, first word and hashes."""
-    parts = [Places.unpack(d, "<u8", "<u4") for d in packed]
-    base = np.cumsum([0, *(len(p[0]) for p in parts)])
-    index = np.concatenate([np.repeat(np.arange(len(p[0])), p[1]) + b for p, b in zip(parts, base)])
-    hashes = (np.concatenate([p[3][i] for p in parts]) for i in (0, 1))
-    return np.concatenate([p[0] for p in parts]), index, np.concatenate([p[2] for p in parts]), *hashes
+def gathered(packed: list[bytes], part: int = 0, parts: int = 1) -> tuple[np.ndarray, ...]:
+    """Documents of all packs, and each window's document, first word and hashes; of windows whose hash is in one of `parts` parts."""
+    base, found = 0, []
+    for data in packed:
+        docs, counts, start, (h1, h2) = Places.unpack(data, "<u8", "<u4")
+        own = np.flatnonzero((h1 >> np.uint64(8)) % np.uint64(parts) == part) if parts > 1 else slice(None)
+        found.append((docs, np.repeat(np.arange(len(docs)), counts)[own] + base, start[own], h1[own], h2[own]))
+        base += len(docs)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def sorted_parts(packed: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """gathered() of a shard, whole or in parts that are about SORTED bytes of it: equal windows are in one."""
+    parts = 1 + sum(map(len, packed)) // SORTED
+    for k in range(parts):
+        yield gathered(packed, k, parts)
 
 
 def _by_block(docs: np.ndarray, index: np.ndarray, start: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
@@ -359,13 +370,13 @@ def _settle(blocks: int):
         shard, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            docs, index, start, h1, h2 = gathered(held)
+            for docs, index, start, h1, h2 in sorted_parts(held):
+                order, later = _later(h1, h2, order_of(docs)[index], start)
+                gone = order[later]
+                rows = [(1, k, d) for k, d in _by_block(docs, index[gone], start[gone], blocks)]
+                if rows:
+                    yield _batch(rows)
             held.clear()
-            order, later = _later(h1, h2, order_of(docs)[index], start)
-            gone = order[later]
-            rows = [(1, k, d) for k, d in _by_block(docs, index[gone], start[gone], blocks)]
-            if rows:
-                yield _batch(rows)
 
         for batch in batches:
             kinds, keys = batch.column("kind").to_pylist(), batch.column("key").to_pylist()

@@ -111,3 +111,33 @@ def test_very_long_texts_and_a_passage_in_a_third_of_all_rows(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
     assert got[0] == (63, 0) and all(got[d] == ((63, 60) if d % 3 == 0 else (3, 0)) for d in range(1, 600))
     assert got[5000] == (50_000, 0) and got[5001] == (40_000, 39_999)
+
+
+def test_shards_sorted_in_parts(monkeypatch):
+    """A shard beyond the bound gives the removals that it gives whole."""
+    texts = [t and t.encode() for _, t in corpus()]
+    h1, h2, index, start, _, _ = windows(texts, 5, 3)
+    docs = np.zeros(len(texts), substring.Places.kind)
+    docs["id"] = np.arange(len(texts))
+    packs = []
+    for k in range(7):
+        own = index % 7 == k
+        packs.append(substring.Places.pack(docs, index[own], start[own], h1[own], h2[own].astype("<u4")))
+    batch = substring._batch([(0, 0, p) for p in packs])
+
+    def removed():
+        out = set()
+        for b in substring._settle(3)(iter([batch])):
+            for data in b.column("data").to_pylist():
+                own, counts, at, _ = substring.Places.unpack(data)
+                out |= set(zip(np.repeat(own["id"], counts).tolist(), at.tolist()))
+        return out
+
+    whole = removed()
+    first = {}
+    for i, s, a, b in zip(index.tolist(), start.tolist(), h1.tolist(), h2.tolist()):
+        first.setdefault((a, b & 0xFFFFFFFF), (i, s))
+    assert whole == {(i, s) for i, s, a, b in zip(index.tolist(), start.tolist(), h1.tolist(), h2.tolist()) if first[a, b & 0xFFFFFFFF] != (i, s)} and len(whole) > 1000
+    monkeypatch.setattr(substring, "SORTED", 500)
+    assert len(list(substring.sorted_parts(packs))) > 50
+    assert removed() == whole
