@@ -16,6 +16,8 @@ all versions and the next fingerprint need one shuffle of the texts together.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ BLOCK_ROWS = 2000
 #: Blocks at most: what the driver holds of them is a split, a head and a place in the order of each. Beyond, blocks
 #: have more rows, which one task sorts, spilling, as with the range partitions of a sort.
 BLOCKS = 1 << 16
+#: Blocks of one id at most.
+HOT_PARTS = 1024
 #: Values are below 2 ln 2**33 and kept in steps of 2**-41.
 _SCALE = 2.0**41
 _LEAST = -(1 << 63)
@@ -108,22 +112,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.size(same) / F.lit(float(SAMPLES)))
 
 
-def _block_of(o: Column, splits: list[int]) -> Column:
-    """How many of the ascending splits are at most o, by binary search."""
+def _block_of(splits: list[tuple[int, int]]) -> Column:
+    """How many of the ascending splits are at most (o, q), by binary search."""
     if not splits:
         return F.lit(0)
-    table = F.lit(np.array(splits, np.int64))
+    first, second = (F.lit(np.array(x, np.int64)) for x in zip(*splits))
     steps = F.lit(np.array([1 << k for k in reversed(range(len(splits).bit_length()))], np.int32))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= o, F.lit(False)), at + step).otherwise(at))
+
+    def reached(at: Column) -> Column:
+        o, q = F.get(first, at), F.get(second, at)
+        return F.coalesce((o < F.col("o")) | (o == F.col("o")) & (q <= F.col("q")), F.lit(False))
+
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at + step - 1), at + step).otherwise(at))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs(o, text) with q and block: ranges of (o, q) of about BLOCK_ROWS rows, the first in order being the last block.
+
+    q is 0 but for an id that holds several quantiles of the rows: there it falls as the text's first seven bytes rise, so that
+    such an id has blocks of its own.
+    """
+    blocks = max(1, min(BLOCKS, docs.count() // BLOCK_ROWS))
+    cuts = np.arange(1, blocks) / blocks
+    quantiles = docs.agg(F.percentile_approx("o", F.lit(cuts), 10 * blocks).alias("s")).first().s if len(cuts) else None
+    times = Counter(quantiles or [])
+    hot = sorted(o for o, n in times.items() if n > 1)
+    head = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    docs = docs.withColumn("q", F.when(F.col("o").isin(hot), F.lit(1 << 56) - head).otherwise(F.lit(0)) if hot else F.lit(0).cast("long"))
+    splits = {(o, 0) for o in times}
+    if hot:
+        parts = F.lit(np.arange(1, HOT_PARTS) / HOT_PARTS)
+        for r in docs.filter(F.col("o").isin(hot)).groupBy("o").agg(F.percentile_approx("q", parts, 10 * HOT_PARTS).alias("s")).collect():
+            wanted = min(times[r.o] + 1, HOT_PARTS)
+            splits |= {(r.o, r.s[k * HOT_PARTS // wanted - 1]) for k in range(1, wanted)}
+    return docs.withColumn("block", _block_of(sorted(splits)).cast("int"))
 
 
 def _guests(docs: DataFrame) -> DataFrame:
-    """(block, o, text): for each block of docs(block, o, text) the first document of the one it is followed by; the last is followed by the first."""
-    heads = docs.groupBy("block").agg(F.max("o").alias("head"))
+    """(block, o, text): for each block of docs(block, o, q, text) the first document of the one it is followed by; the last is followed by the first."""
+    heads = docs.groupBy("block").agg(F.max(F.struct("o", "q")).alias("head"))
     order = Window.orderBy(F.desc("head"))  # BLOCKS rows at most
     last = F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    follow = heads.select("head", F.coalesce(F.lag("block").over(order), last).alias("before"))
-    firsts = docs.select("o", "text").join(F.broadcast(follow), F.col("o") == F.col("head"))
+    follow = heads.select(F.col("head.o").alias("head_o"), F.col("head.q").alias("head_q"), F.coalesce(F.lag("block").over(order), last).alias("before"))
+    firsts = docs.select("o", "q", "text").join(F.broadcast(follow), (F.col("o") == F.col("head_o")) & (F.col("q") == F.col("head_q")))
     return firsts.groupBy("before", "o").agg(F.min("text").alias("text")).select(F.col("before").alias("block"), "o", "text")
 
 
@@ -136,10 +167,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("o", F.coalesce("doc_id", F.lit(_LEAST)))
-    blocks = max(1, min(BLOCKS, docs.count() // BLOCK_ROWS))
-    cuts = np.arange(1, blocks) / blocks
-    splits = docs.agg(F.percentile_approx("o", F.lit(cuts), 10 * blocks).alias("s")).first().s if len(cuts) else None
-    docs = docs.withColumn("block", _block_of(F.col("o"), sorted(set(splits or []))).cast("int"))
+    docs = _placed(docs)
     guests = _guests(docs).select("block", F.lit(1).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "o", "text")
     every = docs.select("block", F.lit(0).alias("guest"), "doc_id", "o", "text").unionByName(guests)
 

@@ -141,3 +141,18 @@ def test_fingerprints_by_definition(spark):
         total += SAMPLES
     # values that round-off makes equal may fall either way
     assert same >= 0.999 * total
+
+
+def test_a_hot_id_has_blocks_of_its_own(spark, monkeypatch):
+    """A third of the rows without an id, and another id that half of the rest have: their texts are dealt by their first bytes."""
+    monkeypatch.setattr(weighted_sampling, "BLOCK_ROWS", 10)
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choices("abcdefgh é", k=rng.randint(0, 40)))
+    rows = [(None, text()) for _ in range(100)] + [(4, text()) for _ in range(100)] + [(d, text()) for d in range(10, 110)] + [(None, None), (4, "")]
+    frame = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], SCHEMA).repartition(3)
+    placed = weighted_sampling._placed(frame.selectExpr("coalesce(doc_id, -9223372036854775808) as o", "coalesce(text, '') as text"))
+    sizes = {r.block: r["count"] for r in placed.groupBy("block").count().collect()}
+    assert len(sizes) > 20 and max(sizes.values()) < 40
+    got = edited_fingerprints(frame).collect()
+    want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest()) for d, t, e, _ in edits(rows))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
