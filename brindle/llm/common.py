@@ -22,7 +22,8 @@ def spool(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     df = df.hint("rebalance") if few else df
     top = f"{shared_dir(spark)}/brindle/{spark.sparkContext.applicationId}"
     path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # no mark of success: the table is read after its write has returned, and by nothing else
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     fs, at = _hadoop(spark, top)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
