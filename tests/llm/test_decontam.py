@@ -66,3 +66,17 @@ def test_empty_tables(spark):
     assert contamination(d, spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)).count() == 0
     got = contamination(spark.createDataFrame([(i, t, "x", 1) for i, t in docs], DOCS), b).collect()
     assert len(got) == len(docs) and not any(r.n_hit or r.contaminated for r in got)
+
+
+@pytest.mark.parametrize("block", [4 << 20, 60_000])
+def test_very_long_texts_and_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    item = " ".join(f"b{k}" for k in range(40))
+    long = " ".join(f"w{k}" for k in range(40_000))
+    docs = [(1, f"{long} {item} {long}"), (2, item + " end"), (3, long), *((10 + k, f"copy {item}") for k in range(50))]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], DOCS).drop("_spans")
+    b = spark.createDataFrame([(7, item, 0), (8, long, 0), (9, "not here at all", 0)], ITEMS)
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in contamination(d, b).collect()}
+    assert got[1] == (80_040, 80_040, ["7", "8"], True) and got[2] == (41, 40, ["7"], True) and got[3] == (40_000, 40_000, ["8"], True)
+    assert all(got[10 + k] == (41, 40, ["7"], True) for k in range(50))
+    assert uncontaminated(d, b).count() == 0
