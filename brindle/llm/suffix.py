@@ -11,6 +11,7 @@ by minimiser, over all tasks. Matches that touch are joined: the passage then re
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 
 from brindle.llm import substring
 from brindle.llm.common import by_bytes, partitions, spool
-from brindle.llm.substring import Places, flagged_cells, rolling, sketched, window_keys, windows, word_hashes
+from brindle.llm.substring import Places, flagged_cells, rolling, sketched, window_keys, word_hashes
 
 GRAM = 16
 #: Suffixes whose words a task holds at once.
-SUFFIXES = 1 << 15
+SUFFIXES = 1 << 16
 _SENT = "kind int, key int, data binary"
 _RUN = np.dtype([("null", "u1"), ("id", "<i8"), ("text", "<i8"), ("start", "<u4"), ("stop", "<u4"), ("from_null", "u1"), ("from_id", "<i8"), ("from_text", "<i8"), ("from_start", "<u4")])
 
@@ -58,7 +59,7 @@ def _compare(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray, start: np.ndarray
     """The sorted order; in it, whether an equal stretch is earlier (in an earlier document, or within one too), and where the first one is."""
     order = np.lexsort((start, rank, h2, h1))
     a, b, r = h1[order], h2[order], rank[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = r != r[first]
     if within:
@@ -74,12 +75,11 @@ class Suffixes:
         self.gram, self.left, self.right = gram, left, right
 
     @classmethod
-    def at(cls, hashes: np.ndarray, places: np.ndarray, gram: int, reach: int) -> Suffixes:
+    def at(cls, hashes: np.ndarray, grams: np.ndarray, places: np.ndarray, gram: int, reach: int) -> Suffixes:
         """Of places in a row of words' hashes; where the row ends, words are 0."""
         padded = np.r_[np.zeros(reach, np.uint64), hashes, np.zeros(reach + gram, np.uint64)]
-        grams = rolling(hashes, gram, substring.M1)[places]
         step = np.arange(reach)
-        return cls(grams, padded[places[:, None] + (reach - 1 - step)], padded[places[:, None] + (reach + gram + step)])
+        return cls(grams[places], padded[places[:, None] + (reach - 1 - step)], padded[places[:, None] + (reach + gram + step)])
 
     @classmethod
     def joined(cls, parts: list[Suffixes]) -> Suffixes:
@@ -122,17 +122,24 @@ class Suffixes:
         return later, first
 
 
-def _minimisers(texts: list[bytes | None], gram: int, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes of all texts in a row, and of the stretches at given places in it the place of the gram of least hash, the first of equals."""
-    hashes, _ = word_hashes(texts)
-    value = rolling(hashes, gram, substring.M1)
-    index, have, width = np.arange(len(value)), 1, size - gram + 1
+def _stretches(texts: list[bytes | None], size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The words' hashes of all texts in a row, the hashes of their grams; and of each stretch of `size` words inside a text its place in the row, text,
+    first word and the place of its minimiser: the gram of least hash, the first of equals."""
+    hashes, counts = word_hashes(texts)
+    fit = np.maximum(counts - size + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), fit)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(fit) - fit, fit)
+    if not len(owner):
+        return hashes, hashes[:0], start, owner, start, start
+    at = start + np.repeat(np.cumsum(counts) - counts, fit)
+    grams = rolling(hashes, gram, substring.M1)
+    index, have, width = np.arange(len(grams)), 1, size - gram + 1
     while have < width:
         step = min(have, width - have)
         a, b = index[: len(index) - step], index[step:]
-        index = np.where(value[a] <= value[b], a, b)
+        index = np.where(grams[a] <= grams[b], a, b)
         have += step
-    return hashes, index[at]
+    return hashes, grams, at, owner, start, index[at]
 
 
 def _batch(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -149,10 +156,10 @@ def _candidates(size: int, gram: int, log2_cells: int, bits, often, shards: int,
         known: list[np.ndarray] = []
         held: list[tuple[np.ndarray, ...]] = []
         suffixes: list[Suffixes] = []
-        docs_held = suffixes_held = turn = 0
+        docs_held = suffixes_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal docs_held, suffixes_held, turn
+            nonlocal docs_held, suffixes_held
             docs, inverse = np.unique(np.concatenate(known), return_inverse=True)
             h1, h2, index, start, least, suffix, back = (np.concatenate(x) for x in zip(*held))
             array = Suffixes.joined(suffixes)
@@ -164,9 +171,9 @@ def _candidates(size: int, gram: int, log2_cells: int, bits, often, shards: int,
             gone, kept = np.flatnonzero(later), np.flatnonzero(~later)
             source = first[gone]
             runs = _runs(docs, index[gone], start[gone], index[source], start[source], size)
-            turn += 1
             if len(runs):
-                yield _batch(1, [(turn % shards, runs.tobytes())])
+                data = runs.tobytes()
+                yield _batch(1, [(zlib.crc32(data) % shards, data)])
             h1, h2, index, start, least = h1[kept], h2[kept], index[kept], start[kept], least[kept]
             shard = (np.where(flagged_cells(least, often.value, log2_cells), h1, least) >> np.uint64(24)) % np.uint64(shards)
             order = np.lexsort((start, index, shard))
@@ -181,21 +188,22 @@ def _candidates(size: int, gram: int, log2_cells: int, bits, often, shards: int,
             own = Places.of(batch.column("doc_id"), batch.column("hash"))
             for a, b in by_bytes(batch.column("text"), substring.SLICE):
                 texts = batch.column("text").slice(a, b - a).to_pylist()
-                h1, h2, index, start, least, _ = windows(texts, size, gram)
-                flagged = np.flatnonzero(flagged_cells(least, bits.value, log2_cells))
+                hashes, grams, at, index, start, places = _stretches(texts, size, gram)
+                if not len(at):
+                    continue
+                flagged = np.flatnonzero(flagged_cells(grams[places], bits.value, log2_cells))
                 if not len(flagged):
                     continue
-                h1, h2, index, start, least = (x[flagged] for x in (h1, h2, index, start, least))
-                base = np.r_[0, np.cumsum([len((t or b"").split()) for t in texts])][index]
-                hashes, at = _minimisers(texts, gram, base + start, size)
-                places, suffix = np.unique(at, return_inverse=True)
+                at, index, start, places = (x[flagged] for x in (at, index, start, places))
+                h1, h2, least, back = rolling(hashes, size, substring.M1)[at], rolling(hashes, size, substring.M2)[at].astype("<u4"), grams[places], places - at
+                places, suffix = np.unique(places, return_inverse=True)
                 used, inverse = np.unique(index, return_inverse=True)
                 # in pieces that hold so many suffixes at most
                 for k in range(0, len(places), SUFFIXES):
                     part = (suffix >= k) & (suffix < k + SUFFIXES)
-                    suffixes.append(Suffixes.at(hashes, places[k : k + SUFFIXES], gram, size - gram))
+                    suffixes.append(Suffixes.at(hashes, grams, places[k : k + SUFFIXES], gram, size - gram))
                     known.append(own[a:b][used])
-                    held.append((h1[part], h2[part].astype("<u4"), inverse.reshape(-1)[part] + docs_held, start[part], least[part], suffix[part] - k + suffixes_held, (at - base - start)[part]))
+                    held.append((h1[part], h2[part], inverse.reshape(-1)[part] + docs_held, start[part], least[part], suffix[part] - k + suffixes_held, back[part]))
                     docs_held += len(used)
                     suffixes_held += len(suffixes[-1].gram)
                     if suffixes_held >= SUFFIXES or sum(len(x[0]) for x in held) >= substring.HELD:
@@ -207,45 +215,46 @@ def _candidates(size: int, gram: int, log2_cells: int, bits, often, shards: int,
 
 
 def _settle(size: int, within: bool):
-    """Sorts each shard's suffixes and compares neighbours; passes on the runs that are settled."""
+    """Sorts each shard's stretches and compares neighbours; gives all runs as rows: these, whose sources are the earliest of all, and those that tasks told themselves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            docs, index, start, h1, h2 = substring.gathered(held)
+            for docs, index, start, h1, h2 in substring.sorted_parts(held):
+                order, later, first = _compare(h1, h2, _order_of(docs, within)[index], start, within)
+                gone, source = order[later], first[later]
+                runs = _runs(docs, index[gone], start[gone], index[source], start[source], size)
+                if len(runs):
+                    yield _rows_of(runs, True)
             held.clear()
-            order, later, first = _compare(h1, h2, _order_of(docs, within)[index], start, within)
-            gone, source = order[later], first[later]
-            runs = _runs(docs, index[gone], start[gone], index[source], start[source], size)
-            if len(runs):
-                yield _batch(1, [(shard, runs.tobytes())])
 
         for batch in batches:
             for i, (kind, key) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist())):
+                data = batch.column("data")[i].as_buffer()
                 if kind:
-                    yield batch.slice(i, 1)
+                    yield _rows_of(np.frombuffer(data, _RUN), False)
                     continue
                 if key != shard:
                     if held:
                         yield from done()
                     shard = key
-                held.append(batch.column("data")[i].as_py())
+                held.append(data.to_pybytes())
         if held:
             yield from done()
 
     return work
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "hash", "start", "stop", "source_doc_id", "source_hash", "source_start"]
-    for batch in batches:
-        for data in batch.column("data"):
-            runs = np.frombuffer(data.as_buffer(), _RUN)
-            ids = pa.array(runs["id"], mask=runs["null"].astype(bool))
-            sources = pa.array(runs["from_id"], mask=runs["from_null"].astype(bool))
-            starts = [pa.array(runs[c].astype(np.int64)) for c in ("start", "stop", "from_start")]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(runs["text"]), starts[0], starts[1], sources, pa.array(runs["from_text"]), starts[2]], names)
+_RUN_ROW = "doc_id long, hash long, start long, stop long, source_doc_id long, source_hash long, source_start long, settled boolean"
+
+
+def _rows_of(runs: np.ndarray, settled: bool) -> pa.RecordBatch:
+    names = ["doc_id", "hash", "start", "stop", "source_doc_id", "source_hash", "source_start", "settled"]
+    ids = pa.array(runs["id"], mask=runs["null"].astype(bool))
+    sources = pa.array(runs["from_id"], mask=runs["from_null"].astype(bool))
+    starts = [pa.array(runs[c].astype(np.int64)) for c in ("start", "stop", "from_start")]
+    return pa.RecordBatch.from_arrays([ids, pa.array(runs["text"]), starts[0], starts[1], sources, pa.array(runs["from_text"]), starts[2], pa.array(np.full(len(runs), settled))], names)
 
 
 def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, text: str = "text", doc_id: str = "doc_id", within: bool = False) -> DataFrame:
@@ -265,9 +274,8 @@ def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, tex
     n, gram = partitions(spark), min(GRAM, size)
     bits, often = map(spark.sparkContext.broadcast, sketched(docs, partial(window_keys, size=size, gram=gram), log2_cells))
     sent = docs.mapInArrow(_candidates(size, gram, log2_cells, bits, often, n, within), _SENT)
-    settled = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(size, within), _SENT)
-    runs = settled.mapInArrow(_unpacked, "doc_id long, hash long, start long, stop long, source_doc_id long, source_hash long, source_start long")
-    runs = spool(runs, "runs", few=True)
+    runs = sent.repartitionById(n, F.col("key")).sortWithinPartitions("kind", "key").mapInArrow(_settle(size, within), _RUN_ROW)
+    runs = spool(runs, "runs")
     passage = Window.partitionBy("doc_id", "hash").orderBy("start", "stop")
     reach = F.max("stop").over(passage.rowsBetween(Window.unboundedPreceding, -1))
     joined = runs.withColumn("reach", reach).withColumn("new", F.when(F.col("reach") >= F.col("start"), 0).otherwise(1))
@@ -275,7 +283,7 @@ def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, tex
     first = F.min(F.struct("start", "source_doc_id", "source_hash", "source_start"))
     found = joined.groupBy("doc_id", "hash", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), first.alias("first"))
     # the source that a task knew may itself be later than one that others had: then that one's source is the earliest
-    known = runs.select(*(F.col(c).alias(f"_{c}") for c in runs.columns))
+    known = runs.filter("settled").select(*(F.col(c).alias(f"_{c}") for c in runs.columns))
     place = F.col("first.source_doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("first.source_hash") == F.col("_hash"))
     inside = F.col("first.source_start").between(F.col("_start"), F.col("_stop") - size)
     shift = F.col("first.source_start") - F.col("_start")

@@ -136,7 +136,7 @@ def test_suffix_array_compares_as_brute_force():
     for words in (2, 4, 30):
         hashes = rng.integers(1, words + 1, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         places = np.unique(rng.integers(reach, 400 - gram - reach, 120))
-        own = suffix.Suffixes.at(hashes, places, gram, reach)
+        own = suffix.Suffixes.at(hashes, substring.rolling(hashes, gram, substring.M1), places, gram, reach)
         place, common = own.array()
         text = [tuple(hashes[p : p + gram + reach].tolist()) for p in places]
         order = np.argsort(place)
