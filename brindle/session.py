@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spooled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: it is computed once, and its lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_session(cores: str = "*", app: str = "brindle", **conf: str) -> SparkSession:
     """A local session with the settings that the plans expect: UTC, AQE, few shuffle partitions."""
     base = {
