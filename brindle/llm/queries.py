@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontam, html_text, language, packing, quality, secret_scan, simhash, substring, suffix, weighted_sampling
+from brindle.llm import decontam, html_text, language, packing, quality, secret_scan, simhash, snapshot, substring, suffix, weighted_sampling
 from brindle.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return snapshot.difference(docs, snapshot.stated_later(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secret_scan": op2_secret_scan,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality": op10_quality,
+    "op13_snapshot_difference": op13_snapshot_difference,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,5 +94,24 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op13_snapshot_difference": """
+WITH c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+       lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 16 AS m FROM documents),
+later AS (SELECT CASE WHEN m IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS k, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+       CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source FROM c WHERE coalesce(m, -1) <> 0
+       UNION ALL SELECT -1 - doc_id, text, lang, source FROM c WHERE m = 5),
+both_sides AS (SELECT e.doc_id AS ek, l.k AS lk, e.doc_id IS NOT NULL AND e.one IS NOT NULL AS in_e, l.one IS NOT NULL AS in_l, e.text AS et, e.lang AS el, e.source AS es, l.text AS lt, l.lang AS ll, l.source AS ls
+       FROM (SELECT *, 1 AS one FROM documents) AS e FULL JOIN (SELECT *, 1 AS one FROM later) AS l ON e.doc_id = l.k),
+gone AS (SELECT *, row_number() OVER (PARTITION BY et ORDER BY ek) AS i FROM both_sides WHERE in_l IS NOT TRUE),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY lt ORDER BY lk) AS i FROM both_sides WHERE in_e IS NOT TRUE),
+content AS (SELECT g.ek, f.lk, g.i IS NOT NULL AS in_e, f.i IS NOT NULL AS in_l, g.et, g.el, g.es, f.lt, f.ll, f.ls FROM gone AS g FULL JOIN fresh AS f ON g.et IS NOT DISTINCT FROM f.lt AND g.i = f.i),
+every AS (SELECT *, true AS keyed FROM both_sides WHERE in_e AND in_l UNION ALL SELECT *, false FROM content),
+told AS (SELECT *, concat_ws(',', CASE WHEN et IS DISTINCT FROM lt THEN 'text' END, CASE WHEN el IS DISTINCT FROM ll THEN 'lang' END, CASE WHEN es IS DISTINCT FROM ls THEN 'source' END) AS differs FROM every)
+SELECT CASE WHEN in_l THEN lk ELSE ek END AS key, ek AS old_key,
+       CASE WHEN NOT in_l THEN 'delete' WHEN NOT in_e THEN 'insert' WHEN NOT keyed THEN 'rekey' WHEN differs = '' THEN 'same' ELSE 'update' END AS op,
+       CASE WHEN in_e AND in_l THEN differs ELSE '' END AS changed,
+       CASE WHEN in_l THEN sha256(coalesce(lt, '~') || chr(10) || coalesce(ll, '~') || chr(10) || coalesce(ls, '~')) END AS row_sha256
+FROM told
 """,
 }
