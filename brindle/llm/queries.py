@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontam, html_text, language, lexical, packing, quality, secret_scan, simhash, snapshot, substring, suffix, weighted_sampling
+from brindle.llm import decontam, html_text, language, lexical, licenses, packing, quality, secret_scan, simhash, snapshot, substring, suffix, weighted_sampling
 from brindle.llm.common import table
 
 
@@ -56,11 +56,20 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op13_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return snapshot.difference(docs, snapshot.stated_later(docs))
 
 
+def _template_rows() -> str:
+    """The templates as rows (k, label, text) of the license scan's SQL."""
+    return ", ".join("({}, '{}', '{}')".format(k, label, t.replace("'", "''")) for k, (label, t) in enumerate(licenses.TEMPLATES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality": op10_quality,
     "op11_lexical_search": op11_lexical_search,
+    "op12_license_scan": op12_license_scan,
     "op13_snapshot_difference": op13_snapshot_difference,
 }
 
@@ -111,6 +121,23 @@ scores AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1
            FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY item_id, doc_id)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 20
 """,
+    "op12_license_scan": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+given(k, label, text) AS (VALUES {templates}),
+t AS (SELECT k, label, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM given),
+tokens AS (SELECT DISTINCT k, label, 2 * len(w) AS reach, len(list_distinct(w)) AS size, unnest(w) AS x FROM t),
+placed AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+base AS (SELECT doc_id, i, label FROM (SELECT doc_id, i - 1 AS i, CASE lag(x) OVER o || ' ' || x WHEN 'mit license' THEN 'mit' WHEN 'apache license' THEN 'apache' END AS label FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE label IS NOT NULL
+         UNION ALL SELECT doc_id, i - 2, 'gpl' FROM (SELECT *, lag(x, 2) OVER o || ' ' || lag(x) OVER o || ' ' || x AS three FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE three = 'general public license'),
+held AS (SELECT doc_id, k, label, size, count(DISTINCT x) OVER (PARTITION BY doc_id, k ORDER BY i RANGE BETWEEN CURRENT ROW AND reach - 1 FOLLOWING) AS n FROM placed JOIN tokens USING (x)),
+found AS (SELECT doc_id, label, max(n / size) AS share FROM held WHERE 5 * n >= 4 * size GROUP BY doc_id, label),
+labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM found) GROUP BY doc_id),
+bases AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM base GROUP BY doc_id),
+shares AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN shares USING (doc_id)
+""".replace("{templates}", _template_rows()),
     "op13_snapshot_difference": """
 WITH c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
        lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 16 AS m FROM documents),
