@@ -3,9 +3,9 @@
 Recursive graph bisection orders the documents: a set is halved, and documents are swapped between the halves as long as that lowers
 the log-gap cost of the terms' postings; the halves are halved again. It is fitted on a bounded sample (`fitted` documents for each
 leaf, SAMPLED terms of each), which leaves at every node a weight for each of 2^14 hashed terms, by which every document finds its
-leaf in one pass. Leaves in their order are the clusters. Their documents are dealt to shards of bounded size, so that a leaf that a third of
-all rows shares is many shards, and each shard is inverted by one task: for each term its documents, how often they hold it, and the
-greatest contribution that any of them gets from it.
+leaf in one pass. Leaves in their order are the clusters. A leaf's documents are dealt to as many tasks as its share of the bytes
+asks for, and cut into shards of bounded size as they come, so that a leaf that a third of all rows shares is many shards. A shard is
+inverted: for each term its documents, how often they hold it, and the greatest contribution that any of them gets from it.
 
 A search sums, for each item and cluster, the greatest contributions of the item's terms: no document of the cluster scores higher.
 Clusters are visited by falling bounds, 1, then 4, then 16 of them and so on; an item stops when the next bound is below its k-th
@@ -16,15 +16,17 @@ is that of scoring everything, whatever the order that the sample led to.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import spool
+from brindle.llm.common import partitions, spool
 from brindle.llm.decontam import words_of
 
 #: Hashed terms that the bisection tells apart, and terms of a sampled document.
@@ -32,11 +34,11 @@ FEATURES = 1 << 14
 SAMPLED = 192
 #: Bytes of text that make a cluster and a shard, and the least and most levels of the bisection.
 CLUSTER_BYTES = 16 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 LEVELS = (3, 10)
 #: Items whose requests one task of a shard answers.
 ITEMS = 2048
-_INDEX = "leaf int, shard int, term binary, df long, top long, places array<int>, counts array<int>, ids array<long>, sizes array<long>"
+_INDEX = "leaf int, shard long, term binary, df long, top long, places array<int>, counts array<int>, ids array<long>, sizes array<long>"
 
 
 class _Numbers(dict):
@@ -85,7 +87,8 @@ def bisect(docs: list[np.ndarray], levels: int) -> tuple[np.ndarray, np.ndarray]
             # what one more document costs in the first half, less what it costs in the second
             weights[node] = (_cost(a + 1, n[0]) - _cost(a, n[0])) - (_cost(b + 1, n[1]) - _cost(b, n[1]))
             score = np.array([float(weights[node][r].sum()) for r in rows])
-            middle = np.sort(score)[(len(rows) - 1) // 2]
+            # between the halves, where they part; copies go to one side
+            middle = float(np.sort(score)[(len(rows) - 1) // 2 :][:2].mean())
             if (score > middle).any():
                 above[node] = middle
         goes = np.array([float(weights[node][r].sum()) > above[node] for r in rows], bool)
@@ -127,32 +130,59 @@ def _greatest(counts: np.ndarray, sizes: np.ndarray, n: int, length: int) -> np.
     return 1_000_000_000 * counts // (1000 * counts + 12 * m)
 
 
-def _inverter(n: int, length: int):
-    def invert(shard: pa.Table) -> pa.Table:
-        numbers = _Numbers()
-        terms, counts, held, sizes = [], [], [], []
-        for text in shard.column("text"):
-            found = Counter(words_of(text.as_py()))
-            terms += map(numbers.__getitem__, found)
-            counts += found.values()
-            held.append(len(found))
-            sizes.append(found.total())
-        term, count, place = np.array(terms, np.int64), np.array(counts, np.int64), np.repeat(np.arange(len(held)), held)
-        names = sorted(numbers)
+class _Shard:
+    """Documents on their way into the index; numbers in place of words, so that few bytes are held beyond the postings."""
+
+    def __init__(self, leaf: int):
+        self.leaf, self.bytes = leaf, 0
+        self.numbers = _Numbers()
+        self.terms, self.counts, self.held = array("i"), array("i"), array("i")
+        self.ids: list[int | None] = []
+        self.sizes = array("q")
+
+    def add(self, doc_id: int | None, text: bytes) -> None:
+        found = Counter(words_of(text))
+        self.terms.extend(map(self.numbers.__getitem__, found))
+        self.counts.extend(found.values())
+        self.held.append(len(found))
+        self.sizes.append(found.total())
+        self.ids.append(doc_id)
+        self.bytes += len(text) + 64
+
+    def inverted(self, shard: int, n: int, length: int) -> pa.RecordBatch:
+        """A row for each term, and one for the shard."""
+        names = sorted(self.numbers)
         new = np.empty(len(names), np.int64)
-        new[[numbers[t] for t in names]] = np.arange(len(names))
-        order = np.argsort(new[term], kind="stable")
-        term, count, place = new[term][order], count[order], place[order]
+        new[[self.numbers[t] for t in names]] = np.arange(len(names))
+        term = new[np.array(self.terms, np.int64)]
+        order = np.argsort(term, kind="stable")
+        size = np.array(self.sizes, np.int64)
+        count, place = np.array(self.counts, np.int64)[order], np.repeat(np.arange(len(self.ids)), self.held)[order]
         ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))]).astype(np.int32)
-        size = np.array(sizes, np.int64)
         top = np.maximum.reduceat(_greatest(count, size[place], n, length), ends[:-1]) if len(names) else np.zeros(0, np.int64)
-        at = [shard.column(c)[0].as_py() for c in ("leaf", "shard")]
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (place, count)]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        schema = pa.schema([(c.split()[0], k) for c, k in zip(_INDEX.split(", "), kinds)])
-        postings = [pa.array([x] * len(names), pa.int32()) for x in at] + [pa.array(names, pa.binary()), pa.array(np.diff(ends).astype(np.int64)), pa.array(top)] + lists + [pa.nulls(len(names), pa.list_(pa.int64()))] * 2
-        own = [pa.array([x], k) for x, k in zip([*at, None, None, None, None, None, shard.column("doc_id").to_pylist(), sizes], kinds)]
-        return pa.concat_tables([pa.Table.from_arrays(postings, schema=schema), pa.Table.from_arrays(own, schema=schema)])
+        with_own = np.append(ends, ends[-1])
+        lists = [pa.ListArray.from_arrays(with_own, pa.array(x.astype(np.int32))) for x in (place, count)]
+        rows = len(names) + 1
+        own = [pa.array([None] * len(names) + [x], pa.list_(pa.int64())) for x in (self.ids, size)]
+        columns = [pa.array([self.leaf] * rows, pa.int32()), pa.array([shard] * rows, pa.int64()), pa.array([*names, None], pa.binary()), pa.array([*np.diff(ends), 0], pa.int64()), pa.array([*top, 0], pa.int64()), *lists, *own]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _INDEX.split(", ")])
+
+
+def _inverter(n: int, length: int, most: int):
+    """Shards of rows that come leaf by leaf: a leaf's documents up to `most` bytes, or a longer one by itself."""
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done, shard = TaskContext.get().partitionId() << 32, 0, None
+        for batch in batches:
+            for leaf, doc_id, text in zip(batch.column("leaf").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
+                raw = text.as_py() or b""
+                if shard is not None and (shard.leaf != leaf or shard.bytes + len(raw) > most):
+                    yield shard.inverted(first + done, n, length)
+                    shard, done = None, done + 1
+                shard = shard or _Shard(leaf)
+                shard.add(doc_id, raw)
+        if shard is not None:
+            yield shard.inverted(first + done, n, length)
 
     return invert
 
@@ -183,21 +213,23 @@ def build(docs: DataFrame, fitted: int = 64, text: str = "text", doc_id: str = "
     share = np.zeros(1 << levels)
     for f, r in zip(features, sample):
         share[_leaf(f, weights, above)] += r.bytes
-    shards = np.maximum(1, np.ceil(share / max(1.0, share.sum()) * sums.bytes / SHARD_BYTES)).astype(int)
-    first = np.concatenate([[0], np.cumsum(shards)])
-    tree = spark.sparkContext.broadcast((weights, above, shards, first))
+    # a leaf's rows are dealt to as many tasks as its share of the bytes asks for
+    n = partitions(spark)
+    deals = np.maximum(1, np.ceil(2 * n * share / max(1.0, share.sum()))).astype(int)
+    tree = spark.sparkContext.broadcast((weights, above, deals))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, above, shards, first = tree.value
+        weights, above, deals = tree.value
         for batch in batches:
             leaf = np.array([_leaf(_features(set(words_of(t.as_py()))), weights, above) for t in batch.column("text")], np.int64)
-            shard = first[leaf] + batch.column("deal").to_numpy() % shards[leaf]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(shard, pa.int32()), batch.column("doc_id"), batch.column("text")], ["leaf", "shard", "doc_id", "text"])
+            deal = batch.column("deal").to_numpy() % deals[leaf]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(deal, pa.int64()), batch.column("doc_id"), batch.column("text")], ["leaf", "deal", "doc_id", "text"])
 
     # copies, and rows that repeat an id, are dealt apart too
     deal = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 40)).alias("deal")
-    placed = rows.select("doc_id", "text", deal).mapInArrow(place, "leaf int, shard int, doc_id long, text binary")
-    table = spool(placed.groupBy("shard").applyInArrow(_inverter(sums.n, sums.l), _INDEX), "index")
+    placed = rows.select("doc_id", "text", deal).mapInArrow(place, "leaf int, deal long, doc_id long, text binary")
+    dealt = placed.repartition(n, "leaf", "deal").sortWithinPartitions("leaf").select("leaf", "doc_id", "text")
+    table = spool(dealt.mapInArrow(_inverter(sums.n, sums.l, SHARD_BYTES), _INDEX), "index")
     return Index(table, sums.n, sums.l)
 
 
