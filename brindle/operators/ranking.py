@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.names import unused
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group; the rank filter reaches both sides of the shuffle (WindowGroupLimit)."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+    """The first k rows of each group; the rank filter reaches both sides of the shuffle (WindowGroupLimit).
+
+    A null key is a group. Rows equal in order come in some order. An empty table gives no rows; all columns of df stay as they are.
+    """
+    rank = unused("_rank", df)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k).drop(rank)
 
 
 def distinct_on(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -18,29 +23,34 @@ def distinct_on(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def qualify(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows for which a condition over window functions holds."""
-    return df.withColumn("_keep", condition).filter("_keep").drop("_keep")
+    """Rows for which a condition over window functions holds; where it is null they go, as in a filter."""
+    keep = unused("_keep", df)
+    return df.withColumn(keep, condition).filter(F.col(keep)).drop(keep)
 
 
 def groups_frame(df: DataFrame, by: list[str], order: str, aggregate: Column, before: int, after: int, name: str) -> DataFrame:
-    """aggregate over a frame of peer groups: those from `before` groups ahead to `after` groups behind the row's own."""
-    ranked = df.withColumn("_group", F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
-    frame = Window.partitionBy(*by).orderBy("_group").rangeBetween(-before, after)
-    return ranked.withColumn(name, aggregate.over(frame)).drop("_group")
+    """aggregate over a frame of peer groups: those from `before` groups ahead to `after` groups behind the row's own.
+
+    Rows without an order are peers, the first group; a null key is a key. A column of df called `name` is replaced.
+    """
+    group = unused("_group", df)
+    ranked = df.withColumn(group, F.dense_rank().over(Window.partitionBy(*by).orderBy(order)))
+    frame = Window.partitionBy(*by).orderBy(group).rangeBetween(-before, after)
+    return ranked.withColumn(name, aggregate.over(frame)).drop(group)
 
 
 def sum_excluding(df: DataFrame, by: list[str], order: str, value: str, before: int, after: int, exclude: str, name: str) -> DataFrame:
     """The sum of value over a ROWS frame without the row itself (`current row`), its peers (`ties`) or both (`group`).
 
     Sums over the frame's peers are taken from the frame's sum. Null where no value is left. For integers and decimals the result is
-    exact; doubles are subtracted, so that round-off stays.
+    exact; doubles are subtracted, so that round-off stays. Rows without an order are peers, the first; a null key is a key.
     """
     window = Window.partitionBy(*by).orderBy(order)
-    place = F.row_number().over(window)
-    rows = df.withColumn("_at", place).withColumn("_peer", F.rank().over(window))
-    frame = Window.partitionBy(*by).orderBy("_at").rowsBetween(-before, after)
+    at, peer = unused("_at", df), unused("_peer", df)
+    rows = df.withColumn(at, F.row_number().over(window)).withColumn(peer, F.rank().over(window))
+    frame = Window.partitionBy(*by).orderBy(at).rowsBetween(-before, after)
     # the same frame, of the row's peers only: they stand together
-    peers = Window.partitionBy(*by, "_peer").orderBy("_at").rowsBetween(-before, after)
+    peers = Window.partitionBy(*by, peer).orderBy(at).rowsBetween(-before, after)
     number = lambda c: F.coalesce(c, F.lit(0))
     own, counted = F.col(value), F.when(F.col(value).isNotNull(), 1).otherwise(0)
     total, n = F.sum(own).over(frame), F.count(own).over(frame)
@@ -49,4 +59,4 @@ def sum_excluding(df: DataFrame, by: list[str], order: str, value: str, before:
         "group": (number(F.sum(own).over(peers)), F.count(own).over(peers)),
         "ties": (number(F.sum(own).over(peers)) - number(own), F.count(own).over(peers) - counted),
     }[exclude]
-    return rows.withColumn(name, F.when(n > fewer, total - less)).drop("_at", "_peer")
+    return rows.withColumn(name, F.when(n > fewer, total - less)).drop(at, peer)

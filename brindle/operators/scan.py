@@ -22,6 +22,11 @@ _KINDS = {
 }
 
 
+def in_ranges(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """rows with `part`, the number of their range by order, and `tie`, which tells equal rows apart, so that they are split too."""
+    return rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *order, "tie").withColumn("part", F.spark_partition_id())
+
+
 def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, tuple[str, Column]], ranges: int | None = None) -> DataFrame:
     """df with running values: for each row, those of its key's rows up to and with itself, ascending by `order`, nulls first.
 
@@ -40,9 +45,7 @@ def running(df: DataFrame, by: list[str], order: list[str], values: dict[str, tu
     keys, by_order = [at[k.lower()] for k in by], [at[k.lower()] for k in order]
     kinds = {f"v{i}": _KINDS[kind] for i, (kind, _) in enumerate(values.values())}
 
-    # ties are told apart, so that equal rows are split too
-    rows = rows.withColumn("tie", F.monotonically_increasing_id())
-    dealt = rows.repartitionByRange(n, *keys, *by_order, "tie").withColumn("part", F.spark_partition_id())
+    dealt = in_ranges(rows, [*keys, *by_order], n)
     within = Window.partitionBy("part", *keys).orderBy(*by_order, "tie").rowsBetween(Window.unboundedPreceding, 0)
     dealt = spooled(dealt.withColumns({v: own(F.col(v)).over(within) for v, (own, _, _) in kinds.items()}), "ranges")
 

@@ -16,12 +16,18 @@ def count_min(df: DataFrame, column: str, width: int = 1 << 12, depth: int = 4)
 
 
 def count_min_estimates(sketch: DataFrame, keys: DataFrame, column: str, width: int = 1 << 12, depth: int = 4) -> DataFrame:
-    """keys with the estimate n of each; the sketch, of width * depth rows at most, is broadcast."""
-    names = keys.columns
-    met = _cells(keys, column, width, depth, *names).join(F.broadcast(sketch), ["row", "cell"], "left")
-    return met.groupBy(*names).agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    """keys with the estimate n of each; the sketch, of width * depth rows at most, is broadcast.
+
+    A null key has none: n is 0, as nulls are not counted. Keys that repeat come once. Columns of keys may have any names.
+    """
+    names = [f"k{i}" for i in range(len(keys.columns))]
+    at = names[[c.lower() for c in keys.columns].index(column.lower())]
+    met = _cells(keys.toDF(*names), at, width, depth, *names).join(F.broadcast(sketch), ["row", "cell"], "left")
+    counted = F.when(F.col(at).isNull(), 0).otherwise(F.coalesce("n", F.lit(0)))
+    return met.groupBy(*names).agg(F.min(counted).alias("n")).toDF(*keys.columns, "n")
 
 
 def _cells(df: DataFrame, column: str, width: int, depth: int, *keep: str) -> DataFrame:
-    row = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("row")
-    return df.select(*dict.fromkeys([column, *keep]), row).select(*keep, "row", F.pmod(F.xxhash64("row", column), F.lit(width)).cast("int").alias("cell"))
+    at = F.lit(0), F.lit(depth - 1)
+    own = df.select(*keep, F.col(column).alias("value"), F.explode(F.sequence(*at)).alias("row"))
+    return own.select(*keep, "row", F.pmod(F.xxhash64("row", "value"), F.lit(width)).cast("int").alias("cell"))

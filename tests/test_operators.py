@@ -29,13 +29,6 @@ def test_asof_nulls_ties_and_missing(spark):
     assert rows(asof_join(left, right.limit(0), "t", ["k"], ["v"]).select("v").distinct()) == [(None,)]
 
 
-def test_asof_has_one_shuffle(spark):
-    left = spark.range(100).selectExpr("id % 5 as k", "id as t", "id as x")
-    right = spark.range(100).selectExpr("id % 5 as k", "id as t", "id as v")
-    plan = asof_join(left, right, "t", ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan
-
-
 @pytest.mark.parametrize("width", [0.5, 3.0, 100.0])
 def test_range_join_is_the_nested_loop(spark, width):
     points = spark.createDataFrame([(i, x) for i, x in enumerate([-7.5, -3.0, 0.0, 2.0, 2.0, 9.99, 10.0, None])], "p int, x double")
