@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.joins import asof_join, range_join
+from brindle.operators.quantiles import exact_percentiles
 from brindle.operators.ranking import distinct_on, groups_frame, qualify, sum_excluding, top_k
 from brindle.plans.catalog import plan, statement
 from brindle.session import table
@@ -103,10 +104,17 @@ SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(var_pop(l_quantit
 FROM lineitem GROUP BY l_returnflag
 """)
 statement("agg_kurtosis", "SELECT l_returnflag, round(kurtosis(l_quantity), 6) AS k FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(kurtosis_pop(l_quantity), 6) AS k FROM lineitem GROUP BY l_returnflag")
-statement("agg_percentiles", """
+
+
+@plan("""
 SELECT o_orderstatus, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS median, percentile_disc(0.9) WITHIN GROUP (ORDER BY o_totalprice) AS p90
 FROM orders GROUP BY o_orderstatus
 """)
+def agg_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_percentiles(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", {"median": 0.5}, {"p90": 0.9})
+    return out.select("o_orderstatus", F.round("median", 4).alias("median"), "p90")
+
+
 statement("agg_ordered", """
 SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names, max_by(n_name, n_nationkey) AS last, bool_and(n_nationkey >= 0) AS all_known FROM nation GROUP BY n_regionkey
 """, """
