@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import scalars, udfs
+from brindle.functions import mergeable, scalars, tables, udfs
 from brindle.operators import sketches
+from brindle.operators.scan import running
 from brindle.plans.catalog import plan, statement
 from brindle.session import table
 
@@ -75,7 +76,35 @@ SELECT event_type, round(avg(value), 6) AS middle FROM
 WHERE r > cut AND r <= n - cut GROUP BY event_type
 """)
 def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(udfs.trimmed_mean("value"), 6).alias("middle"))
+    """The mean of the middle eight tenths, by rank: ranks by prefix scan, then an aggregate of our own whose states merge."""
+    events = table(spark, sf_dir, "events").filter("value is not null").select("event_type", "value")
+    ranked = running(events, ["event_type"], ["value"], {"r": ("count", F.lit(1))})
+    sizes = ranked.groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    middle = ranked.join(sizes, F.col("event_type").eqNullSafe(F.col("kind"))).filter("r > n div 10 and r <= n - n div 10")
+    out = mergeable.user_aggregate(middle, ["event_type"], ["value"], mergeable.Moments())
+    return out.select("event_type", F.round("mean", 6).alias("middle"))
+
+
+@plan("SELECT client_id, count(value) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd FROM clicks GROUP BY client_id")
+def udf_mergeable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mergeable.user_aggregate(table(spark, sf_dir, "clicks"), ["client_id"], ["value"], mergeable.Moments())
+    return out.select("client_id", "n", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"))
+
+
+@plan("SELECT vendor_id, list_sort(list(amount) FILTER (WHERE amount IS NOT NULL), 'DESC')[1:3] AS top FROM sale_lines GROUP BY vendor_id HAVING count(amount) > 0")
+def udf_mergeable_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mergeable.user_aggregate(table(spark, sf_dir, "sale_lines"), ["vendor_id"], ["amount"], mergeable.Largest(3)).filter("size(top) > 0")
+
+
+@plan("""
+SELECT user_id, day, round(avg(value), 6) AS middle FROM
+(SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY value) AS r, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) // 10 AS cut, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM events)
+WHERE r > cut AND r <= n - cut GROUP BY user_id, day
+""")
+def udf_pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouped pandas function holds a group: here a user's day."""
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "value")
+    return events.groupBy("user_id", "day").agg(F.round(udfs.trimmed_mean("value"), 6).alias("middle"))
 
 
 @plan("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS value FROM events")
@@ -89,9 +118,21 @@ def udf_map_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "value").mapInArrow(udfs.positive_only, "event_id bigint, value double")
 
 
-@plan("SELECT unnest(range(5)) AS step, 5 - unnest(range(5)) AS value")
+@plan("SELECT c_custkey, step, c_nationkey - step AS value FROM (SELECT c_custkey, c_nationkey, unnest(range(c_nationkey)) AS step FROM customer)")
 def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return udfs.Countdown(F.lit(5))
+    """A table function of each row's values, in a lateral join."""
+    spark.udtf.register("brindle_countdown", udfs.Countdown)
+    return spark.sql("select c_custkey, step, value from {customer}, lateral brindle_countdown(c_nationkey)", customer=table(spark, sf_dir, "customer"))
+
+
+@plan("""
+WITH d AS (SELECT client_id, CAST(ts AS DATE) AS day, count(*) AS n FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL GROUP BY ALL),
+s AS (SELECT client_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY client_id)
+SELECT client_id, day, coalesce(n, 0) AS n, last_value(n IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS carried FROM s LEFT JOIN d USING (client_id, day)
+""")
+def udtf_filled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function over a table argument, partitioned and ordered."""
+    return tables.filled_days(table(spark, sf_dir, "clicks").filter("client_id is not null"), "client_id", "ts")
 
 
 @plan("SELECT c_custkey, len(regexp_replace(lower(c_mktsegment), '[^aeiou]', '', 'g')) AS n, c_mktsegment[1] AS first FROM customer")
