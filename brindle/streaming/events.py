@@ -1,4 +1,5 @@
-"""Structured Streaming over event tables: windows, deduplication, joins and state."""
+"""Structured Streaming over event tables: windows, deduplication, joins and state. Late rows are those behind the watermark; null keys are keys,
+and match nothing in joins."""
 
 from __future__ import annotations
 
@@ -8,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.session import scratch
@@ -55,33 +55,6 @@ def interval_join(left: DataFrame, right: DataFrame, minutes: int = 10) -> DataF
     return a.join(b, near).select("user_id", "first_id", "second_id")
 
 
-class LongestGap(StatefulProcessor):
-    """For transformWithState: each key's rows and longest pause so far, in a value state."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n bigint, last timestamp, gap double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        n, last, gap = self.seen.get() if self.seen.exists() else (0, None, 0.0)
-        times = pd.concat([r["ts"] for r in rows]).sort_values()
-        stops = times if last is None else pd.concat([pd.Series([pd.Timestamp(last)]), times])
-        gap = max(gap, float(stops.diff().dt.total_seconds().max()) if len(stops) > 1 else 0.0)
-        n, last = n + len(times), max(stops).to_pydatetime()
-        self.seen.update((n, last, gap))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "gap": [gap]})
-
-    def close(self) -> None:
-        pass
-
-
-def longest_gaps(events: DataFrame) -> DataFrame:
-    """Each user's rows and longest pause in seconds, after every micro-batch that has rows of the user (update mode).
-
-    Needs the RocksDB state store, and the protobuf package on the workers.
-    """
-    return events.groupBy("user_id").transformWithStateInPandas(LongestGap(), "user_id bigint, n bigint, gap double", "Update", "None")
-
-
 def _add_up(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, total = state.get if state.exists else (0, 0.0)
     for rows in batches:
