@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,23 @@ def _cells(df: DataFrame, column: str, width: int, depth: int, *keep: str) -> Da
     at = F.lit(0), F.lit(depth - 1)
     own = df.select(*keep, F.col(column).alias("value"), F.explode(F.sequence(*at)).alias("row"))
     return own.select(*keep, "row", F.pmod(F.xxhash64("row", "value"), F.lit(width)).cast("int").alias("cell"))
+
+
+#: Members that a stored sketch holds before it estimates, as a power of two.
+_LG_MEMBERS = 16
+
+
+def daily_sketches(df: DataFrame, day: Column, member: str, value: str) -> DataFrame:
+    """(day, n, members, values): a row a day, to be stored: its rows, a theta sketch of members and a KLL sketch of values.
+
+    Null members and values are in neither sketch; a null day is a day. What is asked later of spans of days needs these rows alone.
+    """
+    return df.groupBy(day).agg(
+        F.count(F.lit(1)).alias("n"), F.theta_sketch_agg(member, F.lit(_LG_MEMBERS)).alias("members"), F.kll_sketch_agg_double(F.col(value).cast("double")).alias("values")
+    )
+
+
+def merged_days(days: DataFrame, span: Column) -> DataFrame:
+    """daily_sketches() by spans of days: sketches merge into what one pass over all rows of the span would give."""
+    merged = F.theta_union_agg("members", F.lit(_LG_MEMBERS)).alias("members")
+    return days.groupBy(span).agg(F.sum("n").alias("n"), merged, F.kll_merge_agg_double("values").alias("values"))

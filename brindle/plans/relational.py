@@ -189,7 +189,6 @@ statement("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_
 statement("set_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
 statement("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier")
 statement("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier")
-statement("recursive_series", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
 statement("group_by_all_alias", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL")
 statement("lateral_alias", "SELECT o_orderkey, o_totalprice * 2 AS twice, twice + 1 AS more FROM orders")
 statement("star_except", "SELECT * EXCEPT (s_name) FROM supplier", "SELECT * EXCLUDE (s_name) FROM supplier")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from brindle.operators.aggregates import two_step
 from brindle.operators.joins import asof_join, salted_join
 from brindle.operators.quantiles import exact_percentiles
+from brindle.operators.recursion import reachable
 from brindle.operators.scan import running
-from brindle.plans.catalog import plan
-from brindle.session import table
+from brindle.operators.sketches import daily_sketches, merged_days
+from brindle.plans.catalog import plan, statement
+from brindle.session import scratch, table
 
 
 @plan("""
@@ -69,3 +71,69 @@ def agg_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "sale_lines").select("sale_id", "line_no", "item_id", "quantity")
     return salted_join(lines, table(spark, sf_dir, "items").select("item_id", "brand"), ["item_id"], 16)
+
+
+@plan("""
+WITH RECURSIVE e AS (SELECT DISTINCT s.client_id AS a, t.client_id AS b FROM sales AS s JOIN sales AS t ON t.sale_id = s.sale_id + 1 WHERE s.client_id % 4 = 1 AND s.client_id < t.client_id AND t.client_id < s.client_id + 40),
+r AS (SELECT a AS start, b AS node, 1 AS depth FROM e UNION SELECT r.start, e.b, r.depth + 1 FROM r JOIN e ON r.node = e.a)
+SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node
+""")
+def recursive_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients that follow one another in sales, upwards in small steps, and whom each one leads to."""
+    sales = table(spark, sf_dir, "sales").select("sale_id", "client_id")
+    after = sales.select((F.col("sale_id") - 1).alias("sale_id"), F.col("client_id").alias("follower"))
+    edges = sales.join(after, "sale_id").filter("client_id % 4 = 1 and client_id < follower and follower < client_id + 40")
+    return reachable(edges, "client_id", "follower")
+
+
+@plan("""
+WITH RECURSIVE e AS (SELECT client_id AS a, master_id AS b FROM clients WHERE master_id IS NOT NULL AND client_id IS NOT NULL),
+r AS (SELECT a AS start, b AS node FROM e UNION SELECT r.start, e.b FROM r JOIN e ON r.node = e.a)
+SELECT start AS client_id, count(*) AS masters, min(node) AS least FROM r GROUP BY start
+""")
+def recursive_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that a client's record is merged into, at any remove; most are merged into themselves."""
+    found = reachable(table(spark, sf_dir, "clients"), "client_id", "master_id")
+    return found.groupBy(F.col("start").alias("client_id")).agg(F.count(F.lit(1)).alias("masters"), F.min("node").alias("least"))
+
+
+statement("recursive_series", """
+WITH RECURSIVE r(client_id, node, depth) AS (SELECT client_id, master_id, 1 FROM clients WHERE master_id <> client_id
+UNION ALL SELECT r.client_id, c.master_id, r.depth + 1 FROM r JOIN (SELECT client_id AS k, master_id FROM clients WHERE master_id <> client_id) AS c ON r.node = c.k WHERE r.depth < 8)
+SELECT client_id, node, depth FROM r
+""")
+
+
+@plan("""
+WITH d AS (SELECT DISTINCT CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 30) AS BIGINT) AS period, client_id FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+p AS (SELECT DISTINCT period FROM d)
+SELECT period, (SELECT count(DISTINCT client_id) FROM d WHERE d.period IN (p.period, p.period + 1)) AS either,
+       (SELECT count(*) FROM d JOIN d AS x USING (client_id) WHERE d.period = p.period AND x.period = p.period + 1) AS both_of,
+       (SELECT count(*) FROM d WHERE d.period = p.period AND client_id NOT IN (SELECT x.client_id FROM d AS x WHERE x.period = p.period + 1)) AS only_first
+FROM p WHERE period + 1 IN (SELECT period FROM p)
+""")
+def sketch_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients of a period, of the next, of both and of the first alone, from sketches that were stored by the day.
+
+    Up to 2^16 clients a sketch holds them all, and the counts are exact; beyond, they are off by half a percent or so.
+    """
+    path = scratch(spark, "daily-sketches")
+    clicks = table(spark, sf_dir, "clicks").filter("ts is not null and client_id is not null")
+    daily_sketches(clicks, F.to_date("ts").alias("day"), "client_id", "value").write.parquet(path)
+    days = spark.read.parquet(path)
+    periods = merged_days(days, F.floor(F.datediff("day", F.lit("2024-01-01")) / 30).alias("period"))
+    first, second = periods.select("period", "members"), periods.select((F.col("period") - 1).alias("period"), F.col("members").alias("others"))
+    both = first.join(second, "period")
+    estimate = lambda f: F.theta_sketch_estimate(f("members", "others"))
+    return both.select("period", estimate(F.theta_union).alias("either"), estimate(F.theta_intersection).alias("both_of"), estimate(F.theta_difference).alias("only_first"))
+
+
+@plan()
+def sketch_stored_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and tails of a month from the stored sketches of its days; within the sketch's error of the exact ranks."""
+    path = scratch(spark, "daily-quantiles")
+    clicks = table(spark, sf_dir, "clicks").filter("ts is not null and value is not null")
+    daily_sketches(clicks, F.to_date("ts").alias("day"), "client_id", "value").write.parquet(path)
+    months = merged_days(spark.read.parquet(path), F.date_format("day", "yyyy-MM").alias("month"))
+    at = lambda q: F.kll_sketch_get_quantile_double("values", F.lit(q))
+    return months.select("month", "n", at(0.5).alias("median"), at(0.95).alias("p95"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from brindle.plans.catalog import ORACLE_SQL, QUERIES, plan
 from brindle.session import scratch, table
 from brindle.sources import files
-from brindle.sources.counter import CounterSource
-from brindle.streaming.events import drained
+from brindle.sources.log import LogSource, read_log
+from brindle.streaming.events import drained, event_stream
 
 
 def _round_trip(kind: str):
@@ -54,14 +54,34 @@ def source_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.join(orders, customers.c_custkey == orders.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@plan("SELECT range AS n, range * range AS square FROM range(500)")
+def _log(df: DataFrame, name: str, **options) -> str:
+    """A table in a log of our own."""
+    df.sparkSession.dataSource.register(LogSource)
+    path = scratch(df.sparkSession, name)
+    df.write.format("brindle_log").options(path=path, **options).mode("append").save()
+    return path
+
+
+@plan("SELECT sale_id, client_id, total FROM sales WHERE sale_id >= 100 AND client_id < 50")
 def source_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(CounterSource)
-    return spark.read.format("brindle_counter").option("rows", 500).option("parts", 4).load()
+    """Sales through a sink and source of our own; the filters reach its segments' bounds and rows."""
+    path = _log(table(spark, sf_dir, "sales").select("sale_id", "client_id", "total").repartitionByRange(8, "sale_id"), "log")
+    return read_log(spark, path, "sale_id >= 100 and client_id < 50")
 
 
-@plan("SELECT range AS n, range * range AS square FROM range(60)")
+@plan("SELECT sale_id, line_no, item_id, quantity FROM sale_lines")
 def source_custom_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run over what is available takes the one micro-batch that the reader has fetched."""
-    spark.dataSource.register(CounterSource)
-    return drained(spark.readStream.format("brindle_counter").option("rows", 60).option("step", 60).load(), "append")
+    """The log as a stream: commits are its offsets, partitions of some 700 rows are planned from them."""
+    path = _log(table(spark, sf_dir, "sale_lines").select("sale_id", "line_no", "item_id", "quantity"), "log", batch=500)
+    return drained(spark.readStream.format("brindle_log").options(path=path, step=700).load(), "append")
+
+
+@plan("SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'")
+def sink_custom_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream into the log: a micro-batch is one commit, however often it is tried."""
+    spark.dataSource.register(LogSource)
+    path = scratch(spark, "log")
+    buys = event_stream(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "user_id", "value")
+    query = buys.writeStream.format("brindle_log").options(path=path, checkpointLocation=scratch(spark, "log-state"), stream="buys").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.format("brindle_log").option("path", path).load()

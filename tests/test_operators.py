@@ -11,7 +11,6 @@ from brindle import session
 from brindle.operators import sketches
 from brindle.operators.ranking import distinct_on, groups_frame, qualify, sum_excluding, top_k
 from brindle.sources import files
-from brindle.sources.counter import CounterSource
 from brindle.streaming import events as streams
 
 T0 = datetime(2024, 1, 1)
@@ -86,8 +85,6 @@ def test_sources(spark, tmp_path):
     plan = files.read(spark, f"{tmp_path}/p", "parquet").filter("p = 1")
     assert "PartitionFilters: [isnotnull(p" in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 3
     assert files.available(spark, "parquet") and not files.available(spark, "no-such-format")
-    spark.dataSource.register(CounterSource)
-    assert rows(spark.read.format("brindle_counter").option("rows", 7).option("parts", 3).load()) == [(n, n * n) for n in range(7)]
 
 
 def write_events(spark, folder, name, items):

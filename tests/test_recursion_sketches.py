@@ -1,0 +1,68 @@
+"""Recursion over a table, and stored sketches, against their definitions."""
+
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from brindle import plans
+from brindle.operators.recursion import reachable
+from brindle.operators.sketches import daily_sketches, merged_days
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def breadth_first(edges):
+    ahead = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            ahead.setdefault(a, set()).add(b)
+    out = []
+    for start in ahead:
+        seen, last, depth = {}, {start}, 0
+        while last:
+            depth += 1
+            last = {n for x in last for n in ahead.get(x, ())} - seen.keys()
+            seen |= dict.fromkeys(last, depth)
+        out += [(start, n, d) for n, d in seen.items()]
+    return sorted(out, key=repr)
+
+
+def test_reachable_is_breadth_first(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(6)] + [(200, 200), (None, 3), (3, None), (100, 101)]
+    edges += [(300, 400 + i) for i in range(200)]  # a hot node
+    df = spark.createDataFrame([(a, b, "x", 0) for a, b in edges], "a int, b int, start string, depth int")
+    assert rows(reachable(df, "a", "b")) == breadth_first(edges)
+    assert reachable(df.limit(0), "a", "b").count() == 0
+    with pytest.raises(ValueError, match="over 3 edges"):
+        reachable(df, "a", "b", rounds=3)
+
+
+def test_a_round_joins_the_last_one_alone(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(4)], "a int, b int")
+    # each round's table is a file scan of its own
+    assert reachable(df, "a", "b")._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 5
+
+
+def test_merged_sketches_are_those_of_all_rows(spark):
+    df = spark.range(20_000).selectExpr("if(id % 50 = 0, null, id % 7000) as m", "if(id % 90 = 0, null, id * 0.5) as v", "if(id % 3 = 0, null, date_add(date'2024-01-01', int(id % 10))) as d")
+    days = daily_sketches(df, F.col("d"), "m", "v")
+    assert days.count() == 11
+    got = merged_days(days, F.lit(1).alias("all")).select("n", F.theta_sketch_estimate("members"), F.kll_sketch_get_quantile_double("values", F.lit(0.5))).first()
+    assert got[0] == 20_000 and got[1] == df.agg(F.count_distinct("m")).first()[0]
+    below = df.filter(F.col("v") <= got[2]).count() / df.filter("v is not null").count()
+    assert abs(below - 0.5) < 0.03
+    assert merged_days(days.limit(0), F.lit(1).alias("all")).count() == 0
+
+
+def test_stored_quantiles_have_near_ranks(spark):
+    sf = "/root/testdata/sf0.01"
+    for r in plans.QUERIES["sketch_stored_quantiles"](spark, sf).collect():
+        month = f"from '{sf}/clicks.parquet' where strftime(ts, '%Y-%m') = '{r.month}' and value is not null"
+        for q, x in ((0.5, r.median), (0.95, r.p95)):
+            low, high, n = duckdb.sql(f"select count(*) filter (value < {x}), count(*) filter (value <= {x}), count(*) {month}").fetchall()[0]
+            assert n == r.n and low / n - 0.03 <= q <= high / n + 0.03
