@@ -4,7 +4,8 @@ A page becomes a tree. Each block's own text, inline elements included, gives po
 ancestors, less the further up they are; a container's points are discounted by its share of linked text. The best container
 is kept, with its siblings: beside an article or main those that score well against it or are plain text of their own, and a
 main heading before one that has none; else all but what is mostly linked, headings, lists and short sections included.
-Inside, boilerplate goes by tag, role and the words of class and id. What goes by such words, or as a form, stays if it
+Inside, boilerplate goes by tag, role and the words of class and id, and cells that hold links alone beside the one that holds most of the page;
+buttons and labels stay where a paragraph's words name them. What goes by such words, or as a form, stays if it
 holds most of the page's unlinked text. Parsing and scoring take time in proportion to the page's length.
 """
 
@@ -24,18 +25,21 @@ from brindle.llm.common import by_bytes
 #: A tag behind its "<": quotes hold a ">" only where they are an attribute's value. Possessive, so that one look is one pass.
 _TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _PLAIN_TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_BARE_END = re.compile(r"=\s*+[^\s\"'>=]++\Z")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Tags whose text is never the article's.
-DROPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title nav aside footer form fieldset button select option input textarea label dialog menu".split())
+DROPPED = frozenset("script style noscript template iframe object embed svg annotation annotation-xml canvas audio video map head title nav aside footer form fieldset button select option input textarea label dialog menu".split())
+#: Of these, what stands in a paragraph's own words is named in the text.
+_NAMED = frozenset("button label".split())
 #: A start tag that ends an open one.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("table ul ol dl body html article section div main td th blockquote".split())
-_WORDS = "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus foot footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
+_WORDS = "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus foot footer footnav gdpr header masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion rail recommended related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
 #: A class or id is boilerplate if it is one of the words, or words alone with parts that tell place or shape.
 _SHAPES = "left right top bottom site global box wrap wrapper container list area block bar links [0-9]+".split()
 _BOILERPLATE = re.compile(r"(?:^|\s)(?:(?:{s})[_-]+)*(?:{w})(?:[_-]+(?:{w}|{s}))*(?=$|\s)".format(w="|".join(_WORDS), s="|".join(_SHAPES)))
@@ -49,17 +53,19 @@ _CONTAINER = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockq
 
 
 class Node:
-    __slots__ = ("tag", "hint", "role", "hidden", "parent", "parts", "size", "linked", "points", "prose", "inside")
+    __slots__ = ("tag", "hint", "role", "hidden", "parent", "parts", "size", "linked", "points", "prose", "inside", "widest")
 
     def __init__(self, tag: str, parent: Node | None, hint: str = "", role: str = "", hidden: bool = False):
         self.tag, self.parent, self.hint, self.role, self.hidden = tag, parent, hint, role, hidden
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.parts: list[Node | str] = []
-        self.size = self.linked = self.prose = 0
+        self.size = self.linked = self.prose = self.widest = 0
         self.points = 0.0
 
     def never(self) -> bool:
         """Boilerplate however much it holds."""
+        if self.tag in _NAMED and self.parent is not None and self.parent.tag == "p":
+            return self.hidden or sum(len(x.strip()) for x in self.parent.parts if isinstance(x, str)) <= sum(len(x.strip()) for x in self.parts if isinstance(x, str))
         if self.tag in DROPPED and self.tag not in ("form", "fieldset") or self.hidden or self.role in _ROLES and self.role != "form":
             return True
         return self.tag == "header" and not self.inside
@@ -70,6 +76,9 @@ class Node:
             return True
         if self.tag in ("form", "fieldset") or self.role == "form":
             return 2 * self.prose <= whole
+        # links beside the cell of a layout that holds the page
+        if self.tag in ("td", "th") and not self.prose and self.parent is not None and 2 * self.parent.widest > whole:
+            return True
         if self.hint and self.tag not in ("html", "body", "article", "main") and _BOILERPLATE.search(self.hint):
             return 2 * self.prose <= whole or bool(_APART.search(self.hint)) and self.prose < whole
         return False
@@ -199,7 +208,8 @@ def parse(source: str) -> Node:
         opened.make_room(tag)
         own = Node(tag, opened.stack[-1], *(_attributes(m[3], tag) if m[3].strip() else ("", "", False)))
         opened.stack[-1].parts.append(own)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        # a slash that ends a value without quotes is the value's
+        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and not _BARE_END.search(m[3]):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
@@ -222,6 +232,7 @@ def _weigh(root: Node) -> None:
         stack += [x for x in node.parts if isinstance(x, Node)]
     for node in reversed(order):
         node.prose = sum(len(x.strip()) if isinstance(x, str) else x.prose for x in node.parts)
+        node.widest = max((x.prose for x in node.parts if isinstance(x, Node)), default=0)
 
 
 def _measure(root: Node) -> list[Node]:

@@ -88,7 +88,25 @@ GOLD = [
     (f"<p title=it's>{P1}</p><p>It's {P2}</p>", f"{P1}\nIt's {T2}"),
     (f"<p title='a > b' data-x=\"c > d\">{P1}</p>", P1),
     (f"<article><p>{P1}</p></article><a href='/cut off", P1),
-    (f"<table><tr><td><font>{P1}</font><td><a href='/'>Home</a></table>", f"{P1}\nHome"),
+    (f"<table><tr><td><font>{P1}</font><td><a href='/'>Home</a></table>", P1),
+    (f"<p>Formula <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here. {P1}</p>", f"Formula x=2 here. {P1}"),
+    (f"<p>Press <label>Start</label> and <button>OK</button>, then wait a while.</p><p>{P1}</p><label>Name</label><button>Send</button>", f"Press Start and OK, then wait a while.\n{P1}"),
+    (f"<p>{P1}</p><p><button>Subscribe</button></p><p>Or <button>Subscribe to everything now</button></p>", f"{P1}\nOr"),
+    (f"<div><p>{P1}</p><p>{P2}</p></div><div class=rail><h3>More</h3><p>Subscribe to us today, please.</p></div>", f"{P1}\n{T2}"),
+    (f"<table><tr><td><a href=a>A</a> <a href=b>B</a></td><td><p>{P1}</p><p>{P2}</p></td><td><a href=c>C</a></td></tr></table>", f"{P1}\n{T2}"),
+    (f"<article><p>{P1}</p><table><tr><td><a href=a>Ada</a><td>1<tr><td><a href=b>Bo</a><td>2</table></article>", f"{P1}\nAda\n1\nBo\n2"),
+    (f"<div><h1>Title</h1><p>{P1}</p><ol><li>first<li>second</ol><p>{P2}</p></div><div><a href=a>Other</a> <a href=b>Stories</a></div>", f"Title\n{P1}\nfirst\nsecond\n{T2}"),
+    (f"<body><p><a href=/>Home</a> | <a href=/n>News</a></p><div><h1>Title</h1><p>{P1}</p><p>{P2}</p></div></body>", f"Title\n{P1}\n{T2}"),
+    (f"<article><p>{P1}</p><dl><dt>Term</dt><dd>Its meaning.</dd></dl><details><summary>Sum</summary><p>{P2}</p></details></article>", f"{P1}\nTerm\nIts meaning.\nSum\n{T2}"),
+    (f"<main><p>H<sub>2</sub>O and x<sup>2</sup>. {P1}</p><figure><img src=a><figcaption>A caption.</figcaption></figure></main>", f"H2O and x2. {P1}\nA caption."),
+    (f"<article><p>{P1}</p><p style='display:none'>Hidden words.</p><p hidden>More of them.</p><p aria-hidden=true>And more.</p></article>", P1),
+    (f"<article><p>{P1}</p><noscript><p>Turn scripts on.</p></noscript><template><p>Not yet.</p></template><p>{P2}</p></article>", f"{P1}\n{T2}"),
+    (f"<article><p>{P1}</p><div class='newsletter-box'><p>Get our news, weekly.</p></div><div id=share-bar><a href=x>X</a></div><p>{P2}</p></article>", f"{P1}\n{T2}"),
+    (f"<article><p>{P1}</p><blockquote><p>Quoted, <cite>by one</cite>.</p></blockquote><hr><p>{P2}</p></article>", f"{P1}\nQuoted, by one.\n{T2}"),
+    (f"<article><p>{P1} <code>a &lt; b</code> <kbd>Ctrl</kbd></p><pre><code>x = 1\ny = 2</code></pre></article>", f"{P1} a < b Ctrl\nx = 1 y = 2"),
+    (f"<article><p>{P1}</p><ul class=tags><li><a href=t>tag</a></ul><section class=comments><p>First! {P2}</p></section></article>", P1),
+    (f"<article><p>&#128512; &hellip; &zzz; {P1}</p></article>", f"\U0001f600 … &zzz; {P1}"),
+    (f"<center><table><tr><td><p>{P1}</p><p>{P2}</p></table></center><p><a href=/>Back</a>", f"{P1}\n{T2}"),
     (f"<article><section><h2>One</h2><span>{P1}</span></section><section><h2>Two</h2><em>{P2}</em></section></article><div role=complementary><p>{P1}</p></div>", f"One\n{P1}\nTwo\n{T2}"),
 ]
 
