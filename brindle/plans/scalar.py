@@ -191,8 +191,9 @@ SELECT event_id, array_to_string(map_keys(m), ',') AS names, list_sum(map_values
 """)
 
 
-@plan("SELECT event_id, upper(event_type) AS kind, value FROM events WHERE value > 50")
+@plan("SELECT user_id, count(*) AS n, CAST(1 AS BIGINT) AS parts FROM events WHERE value > 50 GROUP BY user_id")
 def scalar_xxhash_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows dealt by xxhash64 of a key: what custom partitioning goes by; the rows themselves don't change."""
-    events = table(spark, sf_dir, "events").filter("value > 50")
-    return events.repartition(F.pmod(F.xxhash64("user_id"), F.lit(16))).select("event_id", F.upper("event_type").alias("kind"), "value")
+    """Rows dealt by xxhash64 of a key: what custom partitioning goes by. All rows of a user are in one part."""
+    events = table(spark, sf_dir, "events").filter("value > 50").select("user_id")
+    dealt = events.repartition(16, F.pmod(F.xxhash64("user_id"), F.lit(16))).withColumn("part", F.spark_partition_id())
+    return dealt.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts"))
