@@ -19,8 +19,11 @@ def others():
     return found
 
 
-@pytest.mark.parametrize("size", SIZES)
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+#: Queries that start a stream once for each portion: on the larger size alone, where rows come late.
+REPLAYED = {"stream_late_rows", "stream_dedup_expiring", "stream_left_join", "stream_full_join", "stream_timed_sessions", "stream_map_state"}
+
+
+@pytest.mark.parametrize(("name", "size"), [(n, s) for n in sorted(plans.QUERIES) for s in SIZES if n not in REPLAYED or s == SIZES[1]])
 def test_plan(spark, others, name, size):
     frame = plans.QUERIES[name](spark, size)
     columns = sorted(frame.columns)
