@@ -2,7 +2,7 @@
 
 Recursive graph bisection orders the documents: a set is halved, and documents are swapped between the halves as long as that lowers
 the log-gap cost of the terms' postings; the halves are halved again. It is fitted on a bounded sample (`fitted` documents for each
-leaf, SAMPLED terms of each), which leaves at every node a weight for each of 2^14 hashed terms, by which every document finds its
+leaf), by the SAMPLED terms of least hash of a document, which leaves at every node a weight for each of 2^14 hashed terms, by which every document finds its
 leaf in one pass. Leaves in their order are the clusters. A leaf's documents are dealt to as many tasks as its share of the bytes
 asks for, and cut into shards of bounded size as they come, so that a leaf that a third of all rows shares is many shards. A shard is
 inverted: for each term its documents, how often they hold it, and the greatest contribution that any of them gets from it.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import partitions, spool
 from brindle.llm.decontam import words_of
 
-#: Hashed terms that the bisection tells apart, and terms of a sampled document.
+#: Hashed terms that the bisection tells apart, and terms of a document that it goes by.
 FEATURES = 1 << 14
 SAMPLED = 192
 #: Bytes of text that make a cluster and a shard, and the least and most levels of the bisection.
@@ -48,7 +48,11 @@ class _Numbers(dict):
 
 
 def _features(terms) -> np.ndarray:
-    return np.unique(np.fromiter((zlib.crc32(t) % FEATURES for t in terms), np.int64))
+    """The hashed terms of least hash, SAMPLED at most: those of all documents are one sample of the terms."""
+    found = np.fromiter(map(zlib.crc32, terms), np.int64)
+    if len(found) > SAMPLED:
+        found = np.partition(found, SAMPLED - 1)[:SAMPLED]
+    return np.unique(found % FEATURES)
 
 
 def _cost(degree: np.ndarray, n: int) -> np.ndarray:
@@ -117,10 +121,9 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document the terms of least hash: those of all documents are one sample of the terms."""
     for batch in batches:
         texts = [t.as_py() or b"" for t in batch.column(0)]
-        found = [sorted(_features(sorted(set(words_of(t)), key=zlib.crc32)[:SAMPLED]).tolist()) for t in texts]
+        found = [_features(set(words_of(t))).tolist() for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(map(len, texts), pa.int64())], ["features", "bytes"])
 
 
@@ -215,7 +218,7 @@ def build(docs: DataFrame, fitted: int = 64, text: str = "text", doc_id: str = "
         share[_leaf(f, weights, above)] += r.bytes
     # a leaf's rows are dealt to as many tasks as its share of the bytes asks for
     n = partitions(spark)
-    deals = np.maximum(1, np.ceil(2 * n * share / max(1.0, share.sum()))).astype(int)
+    deals = np.maximum(1, np.ceil(4 * n * share / max(1.0, share.sum()))).astype(int)
     tree = spark.sparkContext.broadcast((weights, above, deals))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
