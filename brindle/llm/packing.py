@@ -230,8 +230,9 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, files: tuple[st
     pieces = spool(tokenized_pieces(docs, capacity, end_id, files, text, doc_id), "pieces", few=True)
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(solve(histogram, capacity)))
-    blocks = max(1, sum(histogram.values()) // 5_000)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.lit(blocks)))
+    # blocks of a length: a rare one is a single block, so that there are few more blocks than lengths
+    blocks = F.array(*(F.lit(max(1, -(-histogram.get(n, 0) // 1_000))) for n in range(capacity + 1)))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.get(blocks, F.col("length").cast("int"))))
     order = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32", "deal")
     counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
