@@ -284,10 +284,15 @@ def repeated_passages(docs: DataFrame, size: int = 50, log2_cells: int = 26, tex
     found = joined.groupBy("doc_id", "hash", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), first.alias("first"))
     # the source that a task knew may itself be later than one that others had: then that one's source is the earliest
     known = runs.filter("settled").select(*(F.col(c).alias(f"_{c}") for c in runs.columns))
-    place = F.col("first.source_doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("first.source_hash") == F.col("_hash"))
-    inside = F.col("first.source_start").between(F.col("_start"), F.col("_stop") - size)
-    shift = F.col("first.source_start") - F.col("_start")
-    own, other = F.struct("first.source_doc_id", "first.source_start"), F.struct(F.col("_source_doc_id").alias("source_doc_id"), (F.col("_source_start") + shift).alias("source_start"))
-    traced = found.join(known, place & inside, "left").withColumn("source", F.when(F.col("_hash").isNull(), own).otherwise(other))
-    out = traced.groupBy("doc_id", "hash", "start", "stop").agg(F.min("source").alias("source"))
-    return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "source.source_doc_id", "source.source_start")
+    # a place is asked for once, however many documents have a passage from there
+    at = ["source_doc_id", "source_hash", "source_start"]
+    found = found.select("doc_id", "hash", "start", "stop", *(F.col(f"first.{c}").alias(c) for c in at))
+    asked = found.select(*at).distinct()
+    place = F.col("source_doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("source_hash") == F.col("_hash"))
+    inside = F.col("source_start").between(F.col("_start"), F.col("_stop") - size)
+    own = F.struct(F.col("source_doc_id").alias("id"), F.col("source_start").alias("start"))
+    other = F.struct(F.col("_source_doc_id").alias("id"), (F.col("_source_start") + F.col("source_start") - F.col("_start")).alias("start"))
+    traced = asked.join(known, place & inside, "left").withColumn("source", F.when(F.col("_hash").isNull(), own).otherwise(other))
+    told = traced.groupBy(*at).agg(F.min("source").alias("source")).withColumnsRenamed({c: f"told_{c}" for c in at})
+    same = F.col("source_doc_id").eqNullSafe(F.col("told_source_doc_id")) & (F.col("source_hash") == F.col("told_source_hash")) & (F.col("source_start") == F.col("told_source_start"))
+    return found.join(told, same).select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("source.id").alias("source_doc_id"), F.col("source.start").alias("source_start"))
