@@ -70,12 +70,13 @@ def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column,
 def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
     """An equi-join whose keys are spread over `salts` partitions each: for hot keys where AQE cannot split a side.
 
-    Every row of small is written salts times. Only joins that keep no unmatched row of small are allowed. Null keys match nothing, as in
-    any equi-join; columns are those of the join.
+    Every row of small is written salts times, and both sides are shuffled: a plan's size of the copies is that of small's files, so that a
+    broadcast chosen by it would bring all copies to the driver. Only joins that keep no unmatched row of small are allowed. Null keys match
+    nothing, as in any equi-join; columns are those of the join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how}: a copied row of the small side would come out once for each salt")
     salt = unused("_salt", large, small)
     dealt = large.withColumn(salt, dealt_salt(salts))
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return dealt.join(copies, [*on, salt], how).drop(salt)
+    return dealt.join(copies.hint("merge"), [*on, salt], how).drop(salt)

@@ -113,6 +113,18 @@ def test_salts_part_equal_rows_and_take_maps(spark):
     assert joined.columns == ["k", "m", "_salt", "y", "other"] and joined.count() == 1000
 
 
+def test_the_copies_of_a_salted_join_are_never_broadcast(spark, tmp_path):
+    # files so small that a plan by size would collect the copies on the driver
+    spark.range(2000).selectExpr("id % 50 as k", "id as y").write.parquet(f"{tmp_path}/small")
+    small = spark.read.parquet(f"{tmp_path}/small")
+    large = spark.range(5000).selectExpr("if(id % 2 = 0, 0, id % 60) as k", "id as x")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = salted_join(large, small, ["k"], 16, how)
+        assert got.count() == large.join(small, ["k"], how).count()
+        got.collect()
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_operator_touches_the_users_columns(spark):
     names = ["_rank", "_keep", "_group", "_at", "_peer", "_level", "_bucket", "_salt", "row", "cell"]
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0)], "g string, o int, x double").select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
