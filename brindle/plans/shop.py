@@ -10,7 +10,7 @@ from brindle.operators.joins import asof_join, salted_join
 from brindle.operators.quantiles import exact_percentiles
 from brindle.operators.recursion import reachable
 from brindle.operators.scan import running
-from brindle.operators.sketches import daily_sketches, merged_days
+from brindle.operators.sketches import compared, daily_sketches, merged_days, parts_of
 from brindle.plans.catalog import plan, statement
 from brindle.session import scratch, table
 
@@ -115,17 +115,13 @@ FROM p WHERE period + 1 IN (SELECT period FROM p)
 def sketch_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients of a period, of the next, of both and of the first alone, from sketches that were stored by the day.
 
-    Up to 2^16 clients a sketch holds them all, and the counts are exact; beyond, they are off by half a percent or so.
+    Clients are dealt to parts that a sketch holds in full, so that counts are exact however many there are.
     """
     path = scratch(spark, "daily-sketches")
     clicks = table(spark, sf_dir, "clicks").filter("ts is not null and client_id is not null")
-    daily_sketches(clicks, F.to_date("ts").alias("day"), "client_id", "value").write.parquet(path)
-    days = spark.read.parquet(path)
-    periods = merged_days(days, F.floor(F.datediff("day", F.lit("2024-01-01")) / 30).alias("period"))
-    first, second = periods.select("period", "members"), periods.select((F.col("period") - 1).alias("period"), F.col("members").alias("others"))
-    both = first.join(second, "period")
-    estimate = lambda f: F.theta_sketch_estimate(f("members", "others"))
-    return both.select("period", estimate(F.theta_union).alias("either"), estimate(F.theta_intersection).alias("both_of"), estimate(F.theta_difference).alias("only_first"))
+    daily_sketches(clicks, F.to_date("ts").alias("day"), "client_id", "value", parts_of(clicks, "client_id")).write.parquet(path)
+    periods = merged_days(spark.read.parquet(path), F.floor(F.datediff("day", F.lit("2024-01-01")) / 30).alias("period"))
+    return compared(periods, periods.withColumn("period", F.col("period") - 1), "period")
 
 
 @plan()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle import plans
 from brindle.operators.recursion import reachable
-from brindle.operators.sketches import daily_sketches, merged_days
+from brindle.operators.sketches import compared, daily_sketches, merged_days, parts_of
 
 
 def rows(df):
@@ -59,6 +59,29 @@ def test_merged_sketches_are_those_of_all_rows(spark):
     assert merged_days(days.limit(0), F.lit(1).alias("all")).count() == 0
 
 
+def test_periods_are_counted_exactly_beyond_a_sketch(spark):
+    # 60,000 and 90,000 members: more than a union holds by default, and more than one sketch does
+    df = spark.range(150_000).selectExpr("if(id < 60000, id, id - 20000) as m", "1.0 as v", "if(id < 60000, 0, 1) as p")
+    df = df.union(spark.createDataFrame([(0, 1.0, 7)], "m bigint, v double, p int"))
+    n = parts_of(df, "m")
+    assert n > 4
+    spans = merged_days(daily_sketches(df, F.col("p").alias("p"), "m", "v", n), F.col("p").alias("p"))
+    # period 7 has one part alone, and no next one
+    assert rows(compared(spans, spans.withColumn("p", F.col("p") - 1), "p")) == [(0, 130_000, 20_000, 40_000)]
+    assert rows(compared(spans, spans.withColumn("p", F.col("p") - 7), "p")) == [(0, 60_000, 1, 59_999)]
+    assert rows(compared(spans, spans.withColumn("p", F.col("p") + 6), "p")) == [(7, 90_001, 0, 1)]
+    assert parts_of(df.limit(0), "m") == 1
+
+
+def test_more_clients_than_a_union_holds_by_default(spark, tmp_path):
+    made = spark.range(12_000).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(int(id % 60)) as ts", "id div 2 as client_id", "1.0 as value")
+    made.write.parquet(f"{tmp_path}/clicks.parquet")
+    duckdb.sql(f"create or replace view clicks as select * from '{tmp_path}/clicks.parquet/*.parquet'")
+    names = "period, either, both_of, only_first"
+    want = duckdb.sql(f"select {names} from ({plans.ORACLE_SQL['sketch_periods']})").fetchall()
+    assert want and rows(plans.QUERIES["sketch_periods"](spark, str(tmp_path)).select(*names.split(", "))) == sorted(want, key=repr)
+
+
 def test_stored_quantiles_have_near_ranks(spark):
     sf = "/root/testdata/sf0.01"
     for r in plans.QUERIES["sketch_stored_quantiles"](spark, sf).collect():
