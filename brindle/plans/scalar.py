@@ -102,9 +102,9 @@ SELECT user_id, day, round(avg(value), 6) AS middle FROM
 WHERE r > cut AND r <= n - cut GROUP BY user_id, day
 """)
 def udf_pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grouped pandas function holds a group: here a user's day."""
+    """A function of groups, here users' days, of which a call takes as many as are in a batch: they are as many as a few rows each make."""
     events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "value")
-    return events.groupBy("user_id", "day").agg(F.round(udfs.trimmed_mean("value"), 6).alias("middle"))
+    return udfs.trimmed_means(events, ["user_id", "day"], "value").select("user_id", "day", F.round("mean", 6).alias("middle"))
 
 
 @plan("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS value FROM events")

@@ -6,7 +6,8 @@ from statistics import fmean, stdev
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions import mergeable
+from brindle import plans
+from brindle.functions import mergeable, udfs
 from brindle.functions.mergeable import Largest, Moments, user_aggregate
 from brindle.functions.tables import FillDays, filled_days
 
@@ -59,3 +60,23 @@ def test_days_are_filled(spark):
     assert filled_days(spark.createDataFrame([], "k bigint, ts timestamp_ntz"), "k", "ts").count() == 0
     with pytest.raises(Exception, match="key, day date, n bigint"):
         FillDays(spark.createDataFrame([(1, 2)], "k int, n int").asTable().partitionBy("k")).collect()
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_trimmed_means_of_many_groups_are_those_of_one_each(spark, batch):
+    data = [("hot", 0, float(i * 7 % 100)) for i in range(95)] + [(None, i % 3, float(i)) for i in range(30)] + [("none", 1, None), ("nan", 1, float("nan")), ("nan", 1, 4.0), ("hot", None, 5.0), ("hot", None, None)]
+    data += [(f"k{i}", 2**60 + i, 1.0 * i) for i in range(200)]
+    df = spark.createDataFrame(data, "mean string, j bigint, v double").repartition(5)
+    want = rows(df.groupBy("mean", "j").agg(udfs.trimmed_mean("v")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = udfs.trimmed_means(df, ["mean", "j"], "v")
+        assert got.columns == ["mean", "j", "mean"] and rows(got) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert udfs.trimmed_means(df.limit(0), ["j"], "v").count() == 0
+
+
+def test_a_call_takes_many_groups(spark):
+    plan = plans.QUERIES["udf_pandas_aggregate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowAggregatePython" not in plan and "AggregateInPandas" not in plan
