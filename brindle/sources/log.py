@@ -37,6 +37,9 @@ from pyspark.sql.datasource import (
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Partitions that a read plans, about: with more rows than make so many steps, partitions are larger. Each costs a task, and a file of whatever the rows go to.
+_MOST = 1000
+
 _COMPARE = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
 
 
@@ -155,15 +158,15 @@ class _Reading:
         self.filters: list[Filter] = []
 
     def _spans(self, commits: list[dict]) -> list[_Span]:
-        """Partitions of about `step` rows, of the segments that the filters do not leave out."""
+        """Partitions of about `step` rows, or more where there would be more than _MOST of them, of the segments that the filters do not leave out."""
+        segments = [s for c in commits for s in c["segments"] if all(self._may(f, s["bounds"]) for f in self.filters)]
+        step = max(self.step, -(-sum(sum(s["batches"]) for s in segments) // _MOST))
         out = []
-        for s in (s for c in commits for s in c["segments"]):
-            if not all(self._may(f, s["bounds"]) for f in self.filters):
-                continue
+        for s in segments:
             first, rows = 0, 0
             for i, n in enumerate(s["batches"]):
                 rows += n
-                if rows >= self.step or i == len(s["batches"]) - 1:
+                if rows >= step or i == len(s["batches"]) - 1:
                     out.append(_Span(s["name"], first, i + 1))
                     first, rows = i + 1, 0
         return out
@@ -232,7 +235,7 @@ class _StreamReader(_Reading, DataSourceStreamReader):
 
 
 class LogSource(DataSource):
-    """Options: path; step (rows of a read partition, about); batch (rows of a record batch, when written); stream (a name for the writing query);
+    """Options: path; step (rows of a read partition, about; more where a read would have over 1000 partitions); batch (rows of a record batch, when written); stream (a name for the writing query);
     filters (true: takes filters, as read_log() sets it; a frame loaded so is for one filtered query, as Spark keeps the filters of the
     first plan for a later one without any).
 

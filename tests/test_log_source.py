@@ -6,7 +6,7 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from brindle.sources.log import LogSource, Segment, _Log, read_log
+from brindle.sources.log import LogSource, Segment, _Log, _Reading, read_log
 from brindle.streaming.events import drained
 
 
@@ -43,6 +43,17 @@ def test_round_trip_and_overwrite(spark, log):
         spark.read.format("brindle_log").option("path", f"{log}-none").load()
 
 
+def test_partitions_grow_where_steps_would_be_too_many(tmp_path):
+    commits = lambda n: [{"segments": [{"name": f"{k}", "batches": [500] * n, "bounds": {}} for k in range(4)]}]
+    reading = _Reading({"path": f"{tmp_path}", "step": 700}, None)
+    assert len(reading._spans(commits(40))) == 80
+    spans = reading._spans(commits(10_000))
+    assert len(spans) <= 1004
+    for k in range(4):  # every batch once
+        own = [s for s in spans if s.name == f"{k}"]
+        assert [i for s in own for i in range(s.first, s.stop)] == list(range(10_000))
+
+
 def test_filters_leave_segments_and_rows_out(spark, log):
     for k in range(4):
         write(table(spark, 100, 100 * k).coalesce(1), log, batch=10)
