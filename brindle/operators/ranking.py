@@ -40,23 +40,46 @@ def groups_frame(df: DataFrame, by: list[str], order: str, aggregate: Column, be
 
 
 def sum_excluding(df: DataFrame, by: list[str], order: str, value: str, before: int, after: int, exclude: str, name: str) -> DataFrame:
-    """The sum of value over a ROWS frame without the row itself (`current row`), its peers (`ties`) or both (`group`).
+    """sums_excluding() of one kind."""
+    return sums_excluding(df, by, order, value, before, after, {name: exclude})
+
+
+def sums_excluding(df: DataFrame, by: list[str], order: str, value: str, before: int, after: int, names: dict[str, str]) -> DataFrame:
+    """Sums of value over a ROWS frame without the row itself (`current row`), its peers (`ties`) or both (`group`): names gives each one's kind.
 
     Sums over the frame's peers are taken from the frame's sum. Null where no value is left. For integers and decimals the result is
-    exact; doubles are subtracted, so that round-off stays. Rows without an order are peers, the first; a null key is a key.
+    exact; doubles are subtracted, so that round-off stays. Rows without an order are peers, the first; a null key is a key. All frames go by one
+    sort of the keys' rows: peers stand together in it, in the order that tells them apart.
     """
-    window = Window.partitionBy(*by).orderBy(order)
-    at, peer = unused("_at", df), unused("_peer", df)
-    rows = df.withColumn(at, F.row_number().over(window)).withColumn(peer, F.rank().over(window))
-    frame = Window.partitionBy(*by).orderBy(at).rowsBetween(-before, after)
-    # the same frame, of the row's peers only: they stand together
-    peers = Window.partitionBy(*by, peer).orderBy(at).rowsBetween(-before, after)
+    tie = unused("_tie", df)
+    total, n, peers, others = (unused(stem, df) for stem in ("_total", "_n", "_peers", "_others"))
+    rows = df.withColumn(tie, F.monotonically_increasing_id())
+    own = F.col(value)
+    frame = Window.partitionBy(*by).orderBy(order, tie).rowsBetween(-before, after)
+    # the same frame, of the row's peers only
+    alike = Window.partitionBy(*by, order).orderBy(tie).rowsBetween(-before, after)
+    rows = rows.withColumns({total: F.sum(own).over(frame), n: F.count(own).over(frame)})
+    if set(names.values()) - {"current row"}:
+        rows = rows.withColumns({peers: F.sum(own).over(alike), others: F.count(own).over(alike)})
     number = lambda c: F.coalesce(c, F.lit(0))
-    own, counted = F.col(value), F.when(F.col(value).isNotNull(), 1).otherwise(0)
-    total, n = F.sum(own).over(frame), F.count(own).over(frame)
-    less, fewer = {
-        "current row": (number(own), counted),
-        "group": (number(F.sum(own).over(peers)), F.count(own).over(peers)),
-        "ties": (number(F.sum(own).over(peers)) - number(own), F.count(own).over(peers) - counted),
-    }[exclude]
-    return rows.withColumn(name, F.when(n > fewer, total - less)).drop(at, peer)
+    counted = F.when(own.isNotNull(), 1).otherwise(0)
+    left = {
+        "current row": lambda: (number(own), counted),
+        "group": lambda: (number(F.col(peers)), F.col(others)),
+        "ties": lambda: (number(F.col(peers)) - number(own), F.col(others) - counted),
+    }
+    out = {}
+    for name, kind in names.items():
+        less, fewer = left[kind]()
+        out[name] = F.when(F.col(n) > fewer, F.col(total) - less)
+    return rows.withColumns(out).drop(tie, total, n, peers, others)
+
+
+#: Rows of a part that by_rows() deals, about.
+_PART = 500_000
+
+
+def by_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt by keys to as many parts as its rows ask for, so that what a task sorts stays the same however many they are."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // _PART))
+    return df.repartition(parts, *keys)

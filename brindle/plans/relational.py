@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators.joins import asof_join, range_join
 from brindle.operators.quantiles import exact_percentiles
-from brindle.operators.ranking import distinct_on, groups_frame, qualify, sum_excluding, top_k
+from brindle.operators.ranking import by_rows, distinct_on, groups_frame, qualify, sums_excluding, top_k
 from brindle.plans.catalog import plan, statement
 from brindle.session import table
 
@@ -213,8 +213,6 @@ SELECT l_orderkey, l_partkey, l_linenumber,
 FROM (SELECT * FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_suppkey FROM lineitem) QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)
 """)
 def window_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").distinct()
+    lines = by_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"), ["l_orderkey"]).distinct()
     lines = qualify(lines, F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber")) == 1)
-    for kind, name in (("current row", "others"), ("group", "strangers"), ("ties", "untied")):
-        lines = sum_excluding(lines, ["l_orderkey"], "l_linenumber", "l_suppkey", 2, 1, kind, name)
-    return lines.drop("l_suppkey")
+    return sums_excluding(lines, ["l_orderkey"], "l_linenumber", "l_suppkey", 2, 1, {"others": "current row", "strangers": "group", "untied": "ties"}).drop("l_suppkey")

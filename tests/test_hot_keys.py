@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.operators import sketches
+from brindle.operators import ranking, sketches
 from brindle.operators.aggregates import dealt_salt, two_step
 from brindle.operators.joins import asof_join, range_join, salted_join
 from brindle.operators.quantiles import exact_percentiles
-from brindle.operators.ranking import distinct_on, groups_frame, qualify, sum_excluding, top_k
+from brindle.operators.ranking import by_rows, distinct_on, groups_frame, qualify, sum_excluding, sums_excluding, top_k
 from brindle.operators.scan import in_ranges, running
 
 
@@ -125,6 +125,23 @@ def test_the_copies_of_a_salted_join_are_never_broadcast(spark, tmp_path):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_frames_that_exclude_share_a_sort(spark):
+    df, kinds = hot(spark).select("k", "t", "v", "part"), {"a": "current row", "b": "group", "c": "ties"}
+    got = sums_excluding(df, ["k"], "t", "v", 2, 1, kinds)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    own = df.join(df.groupBy("k", "t").count().filter("count = 1"), ["k", "t"], "left_semi")
+    both = sums_excluding(own, ["k"], "t", "v", 2, 1, kinds)
+    for name, kind in kinds.items():
+        assert rows(both.select("k", "t", name)) == rows(sum_excluding(own, ["k"], "t", "v", 2, 1, kind, "s").select("k", "t", "s"))
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_PART", 100)
+    dealt = by_rows(hot(spark), ["k", "t"])
+    assert dealt.rdd.getNumPartitions() == 40 and rows(dealt) == rows(hot(spark))
+    assert by_rows(hot(spark).limit(0), ["k"]).count() == 0
+
+
 def test_no_operator_touches_the_users_columns(spark):
     names = ["_rank", "_keep", "_group", "_at", "_peer", "_level", "_bucket", "_salt", "row", "cell"]
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0)], "g string, o int, x double").select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
