@@ -188,4 +188,5 @@ SELECT client_id, count(*) AS kinds, arg_min(kind, (-n, kind)) AS usual, max(n)
 """)
 def stream_map_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = _clicks(spark, sf_dir).filter("client_id is not null and kind is not null").select("client_id", "kind", "arrived_at")
-    return replay.latest(replay.replayed(clicks, _portion("arrived_at", 40), state.kinds_so_far, "update", rocks=True), ["client_id"])
+    clients = clicks.agg(F.approx_count_distinct("client_id")).first()[0]
+    return replay.latest(replay.replayed(clicks, _portion("arrived_at", 40), lambda s: state.kinds_of_parts(s, clients), "update", rocks=True), ["client_id"])

@@ -1,5 +1,6 @@
 """Streams that move: expiring state, timers, late rows, outer joins, maps that forget; on small tables portion by portion."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -59,6 +60,19 @@ def test_a_map_forgets(spark):
     assert rows(replay.latest(gone, ["client_id"])) == [(7, 1, "a", 1)]
 
 
+def test_a_part_of_clients_counts_as_each_one_would(spark):
+    big = 2**60
+    items = [(p, k, c) for p in range(2) for i in range(40) for k, c in [("ab"[(i + p) % 2], big + i % 7)]] + [(0, None, 3), (0, "a", None), (1, "b", None), (1, "b", None)]
+    df = spark.createDataFrame(items, "portion int, kind string, client_id bigint")
+    got = replay.latest(replay.replayed(df, F.col("portion"), lambda s: state.kinds_of_parts(s, 10), "update", rocks=True), ["client_id"])
+    want = []
+    for client in {c for _, _, c in items}:
+        n = Counter(k for _, k, c in items if c == client and k)
+        top = min(n, key=lambda k: (-n[k], k), default=None)
+        want.append((client, len(n), top, n.get(top, 0)))
+    assert (None, 2, "b", 2) in want and rows(got) == sorted(want, key=repr)
+
+
 def test_outer_joins_send_what_the_watermark_evicts(spark):
     df = clicks(spark, [(0, "a", 0, 1.0), (0, "a", 5, -1.0), (0, "b", 10, 1.0), (1, "c", 100, -1.0), (1, None, 100, 1.0), (2, "d", 300, 1.0), (2, "d", 300, -1.0)])
 
