@@ -1,5 +1,7 @@
 """Every plan against its SQL in another engine, on the two smallest sizes."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -74,3 +76,10 @@ def test_count_min_never_underestimates(spark):
     got = {r.user_id: r.n for r in plans.QUERIES["sketch_count_min"](spark, SIZES[1]).collect()}
     assert got.keys() == counts.keys()
     assert all(counts[k] <= n <= counts[k] + 2.72 / 4096 * sum(counts.values()) for k, n in got.items())
+
+
+def test_lateral_limit_numbers_orders_by_the_sort(spark):
+    """Not by the order in which a shuffle brings them, which holds on a local master and not on a cluster."""
+    optimized = plans.QUERIES["lateral_top_two"](spark, SIZES[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\w+, o_totalprice#\w+ DESC NULLS LAST, o_orderkey#\w+ ASC", optimized)
+    assert "Sort [" not in optimized
