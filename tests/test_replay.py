@@ -45,6 +45,15 @@ def test_timers_close_sessions_that_rows_out_of_order_joined(spark):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_rows_of_one_time_are_in_one_session(spark):
+    """A session may begin with several, in any order and in other portions."""
+    items = [(0, "a", 0, 1.0), (0, "a", 100, 2.0), (0, "a", 100, None), (1, "a", 100, 8.0), (1, "a", 131, 16.0), (1, "a", 131, 32.0), (2, "z", 400, 0.0)]
+    sent = replay.replayed(clicks(spark, items), F.col("portion"), lambda s: state.timed_sessions(state.with_time(s, "ts", "60 minutes"), "k", 30 * 60), "append", rocks=True)
+    got = sent.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "total")
+    at = lambda m: T0 + timedelta(minutes=m)
+    assert rows(got) == [(at(0), at(30), 1, 1.0), (at(100), at(130), 3, 10.0), (at(131), at(161), 2, 48.0)]
+
+
 def test_pauses_of_rows_out_of_order(spark):
     df = clicks(spark, [(0, "1", 0, 0.0), (0, "1", 100, 0.0), (1, "1", 40, 0.0), (2, "1", 130, 0.0), (3, "1", 131, 0.0), (3, None, 5, 0.0)])
     events = df.select("portion", F.col("k").cast("bigint").alias("user_id"), "ts")
