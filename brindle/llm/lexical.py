@@ -38,6 +38,8 @@ SHARD_BYTES = 4 << 20
 LEVELS = (3, 10)
 #: Items whose requests one task of a shard answers.
 ITEMS = 2048
+#: Rows of asked terms that are broadcast to the postings at most; beyond, the asked ones are most of the postings and Spark joins by size.
+ASKED = 1 << 19
 _INDEX = "leaf int, shard long, term binary, df long, top long, places array<int>, counts array<int>, ids array<long>, sizes array<long>"
 
 
@@ -291,7 +293,9 @@ def search(index: Index, items: DataFrame, k: int = 20, text: str = "text", item
     blocks = max(1, -(-names.count() // ITEMS))
     terms = names.select("item", "text").mapInArrow(_item_terms, "item long, term binary, times long")
     postings = index.table.filter("term is not null")
-    tops = postings.join(terms.select("term").distinct(), "term").groupBy("leaf", "term").agg(F.max("top").alias("top"), F.sum("df").alias("df"))
+    kinds = spool(terms.select("term").distinct(), "terms", few=True)
+    n_kinds = kinds.count()
+    tops = postings.join(_brought(kinds, n_kinds), "term").groupBy("leaf", "term").agg(F.max("top").alias("top"), F.sum("df").alias("df"))
     tops = spool(tops, "tops", few=True)
     weight = F.floor(1000 * F.log(F.lit(2.0 * index.n + 2) / (2 * F.col("df") + 1))) * F.col("times")
     weighed = tops.groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term").select("item", "term", weight.alias("weight")).filter("weight > 0")
@@ -301,6 +305,7 @@ def search(index: Index, items: DataFrame, k: int = 20, text: str = "text", item
     bounds = weighed.join(tops, "term").groupBy("item", "leaf").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"))
     bounds = spool(bounds.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "leaf"))), "bounds", few=True)
     own = index.table.filter("term is null")
+    part = F.expr("leaf div 64").alias("part")
 
     best = spark.createDataFrame([], "item long, doc_id long, score long")
     done, upto = 0, 1
@@ -310,9 +315,11 @@ def search(index: Index, items: DataFrame, k: int = 20, text: str = "text", item
         visits = spool(next_ones.filter("bound >= coalesce(least, 1)").select("item", "leaf").join(requests, "item"), "visits", few=True)
         if visits.isEmpty():
             break
-        wanted = visits.select("leaf", "block", F.explode("terms").alias("term")).distinct()
+        # a row for a term and 64 leaves, a bit for each: the terms of every leaf would grow with the leaves
+        wanted = visits.select("block", F.explode("terms").alias("term"), "leaf", part).groupBy("block", "term", "part").agg(F.bit_or(F.expr("shiftleft(1L, leaf % 64)")).alias("bits"))
         columns = ["shard", "block", "term", "places", "counts", "ids", "sizes"]
-        read = postings.join(wanted, ["leaf", "term"]).select(*columns).unionByName(own.join(visits.select("leaf", "block").distinct(), "leaf").select(*columns))
+        met = postings.withColumn("part", part).join(_brought(wanted, blocks * n_kinds << max(0, LEVELS[1] - 6)), ["term", "part"]).filter("getbit(bits, leaf % 64) = 1")
+        read = met.select(*columns).unionByName(own.join(_brought(visits.select("leaf", "block").distinct(), blocks << LEVELS[1]), "leaf").select(*columns))
         by_shard = visits.join(own.select("leaf", "shard"), "leaf").select(F.col("shard").alias("in_shard"), F.col("block").alias("in_block"), "item", "terms", "weights")
         hits = read.groupBy("shard", "block").cogroup(by_shard.groupBy("in_shard", "in_block")).applyInArrow(_scorer(k, index.n, index.length), "item long, doc_id long, score long")
         best = spool(_ranked(best.unionByName(hits), k).drop("rank"), "best", few=True)
@@ -320,6 +327,11 @@ def search(index: Index, items: DataFrame, k: int = 20, text: str = "text", item
     return _ranked(best, k).join(names, "item").select("item_id", "rank", "doc_id", "score")
 
 
+def _brought(rows: DataFrame, most: int) -> DataFrame:
+    """Rows that are joined to all postings, `most` at most: broadcast while that is bounded, so that only matching postings are shuffled."""
+    return F.broadcast(rows) if most <= ASKED else rows
+
+
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

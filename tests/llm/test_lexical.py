@@ -105,3 +105,27 @@ def test_bounds_hold_for_every_document(spark):
     for r in postings:
         parts = lexical._greatest(np.array(r.counts), sizes[r.shard][r.places], index.n, index.length)
         assert r.top == parts.max() and r.df == len(r.places) and r.places == sorted(set(r.places))
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", [1 << 19, 0])
+def test_postings_that_no_item_asks_for_are_not_shuffled(spark, monkeypatch, most):
+    """However large Spark takes the asked terms for; where they are too many to broadcast, the rows are the same."""
+    monkeypatch.setattr(lexical, "ASKED", most, raising=False)
+    docs = [(i, " ".join([f"own{i}x{j}" for j in range(100)] + [f"some{i % 10}"] * (i % 7 + 1))) for i in range(200)]
+    items = [(i, f"some{i} own{i}x1") for i in range(10)]
+    d, i = frames(spark, docs, items)
+    index = lexical.build(d, fitted=8)
+    before, threshold = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(lexical.search(index, i)) == brute(docs, items)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not most or shuffled(spark) - before < 20_000, "there are 20,000 postings of words that one document holds"
