@@ -177,9 +177,17 @@ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 20 DAY FROM a)
 def stream_timed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as they arrive, out of order, and their sessions as timers close them."""
     clicks = _clicks(spark, sf_dir).filter("client_id is not null").select("client_id", "ts", "value", "arrived_at")
-    sent = replay.replayed(clicks, _portion("arrived_at", 40), lambda s: state.timed_sessions(state.with_time(s, "ts", "20 days"), "client_id", 1800), "append", rocks=True)
+
+    def plan_of(s: DataFrame) -> DataFrame:
+        marked = s.withColumn("at", F.col("ts").cast("timestamp")).withColumn("ts", state.whole_millis("ts"))
+        return state.timed_sessions(state.with_time(marked, "ts", "20 days"), "client_id", 1800, "at")
+
+    sent = replay.replayed(clicks, _portion("arrived_at", 40), plan_of, "append", rocks=True)
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return sent.select("client_id", ntz("start"), ntz("stop"), "n", F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
+    closed = sent.select("client_id", ntz("start"), ntz("stop"), "n", F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
+    # the watermark's last millisecond may be past the time of the last click
+    last = clicks.agg(F.max("ts").cast("timestamp_ntz").alias("last"))
+    return closed.crossJoin(F.broadcast(last)).filter("stop <= last - interval 20 days").drop("last")
 
 
 @plan("""

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -23,8 +23,8 @@ class TimedSessions(StatefulProcessor):
     A list holds what the watermark has not passed, and the gap before.
     """
 
-    def __init__(self, gap_seconds: int, key_type: str):
-        self.gap, self.key_type = pd.Timedelta(seconds=gap_seconds), key_type
+    def __init__(self, gap_seconds: int, key_type: str, at: str = "ts"):
+        self.gap, self.key_type, self.at = pd.Timedelta(seconds=gap_seconds), key_type, at
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,7 +46,7 @@ class TimedSessions(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            self.waiting.appendList([(t.to_pydatetime(), None if pd.isna(v) else float(v)) for t, v in zip(part["ts"], part["value"])])
+            self.waiting.appendList([(t.to_pydatetime(), None if pd.isna(v) else float(v)) for t, v in zip(part[self.at], part["value"])])
         self._set_timer(self._sessions())
         return iter(())
 
@@ -72,15 +72,15 @@ class TimedSessions(StatefulProcessor):
         pass
 
 
-def timed_sessions(rows: DataFrame, key: str, gap_seconds: int) -> DataFrame:
+def timed_sessions(rows: DataFrame, key: str, gap_seconds: int, at: str = "ts") -> DataFrame:
     """(key, start, stop, n, total) of each session once the watermark has passed its end; rows a gap apart are one session.
 
-    rows: the key, ts with a watermark, value. A null key is a key, null values add nothing; rows without a time and rows behind the
+    rows: the key, ts with a watermark, value; at: the times of the sessions, where ts is rounded for the watermark. A null key is a key, null values add nothing; rows without a time and rows behind the
     watermark are dropped. Needs the RocksDB store. A key's rows between watermark and present meet in one worker.
     """
     kind = dict(rows.dtypes)[key]
-    grouped = rows.filter("ts is not null").select(key, "ts", "value").groupBy(key)
-    out = grouped.transformWithStateInPandas(TimedSessions(gap_seconds, kind), f"key {kind}, start timestamp, stop timestamp, n long, total double", "Append", "EventTime")
+    grouped = rows.filter("ts is not null").select(key, *dict.fromkeys(("ts", at)), "value").groupBy(key)
+    out = grouped.transformWithStateInPandas(TimedSessions(gap_seconds, kind, at), f"key {kind}, start timestamp, stop timestamp, n long, total double", "Append", "EventTime")
     return out.withColumnRenamed("key", key)
 
 
@@ -201,6 +201,11 @@ def kinds_so_far(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return rows.groupBy("client_id").transformWithStateInPandas(Kinds(ttl_ms), "client_id bigint, kinds long, usual string, n long", "Update", time_mode)
 
 
+def whole_millis(ts: str) -> Column:
+    """The time rounded up to a millisecond: watermarks count in these, rounded down, and would stand before the last row."""
+    return F.date_trunc("millisecond", F.col(ts).cast("timestamp") + F.expr("interval 999 microseconds"))
+
+
 def with_time(rows: DataFrame, ts: str, lateness: str) -> DataFrame:
     """Rows with a watermark on ts, as an instant, which watermarks ask for."""
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from brindle.plans import QUERIES
 from brindle.streaming import replay, state
 from brindle.streaming.events import deduplicated
 
@@ -54,6 +55,16 @@ def test_rows_of_one_time_are_in_one_session(spark):
     assert rows(got) == [(at(0), at(30), 1, 1.0), (at(100), at(130), 3, 10.0), (at(131), at(161), 2, 48.0)]
 
 
+def test_sessions_that_end_in_the_millisecond_of_the_watermark(spark, tmp_path):
+    """Those up to its very microsecond are closed, as the SQL has them."""
+    at = lambda us: datetime(2024, 1, 5, 10) + timedelta(microseconds=us)
+    items = [(1, at(300)), (2, at(500)), (3, at(0)), (4, at(501)), (5, at(-1)), (6, at(500) + timedelta(days=20, minutes=30)), (7, at(1001))]
+    df = spark.createDataFrame([(c, t, t, 1.5) for c, t in items], "client_id long, ts timestamp_ntz, arrived_at timestamp_ntz, value double")
+    df.write.parquet(f"{tmp_path}/clicks.parquet")
+    got = QUERIES["stream_timed_sessions"](spark, str(tmp_path))
+    assert rows(got) == [(c, t, t + timedelta(minutes=30), 1, 1.5) for c, t in items if c in (1, 2, 3, 5)]
+
+
 def test_pauses_of_rows_out_of_order(spark):
     df = clicks(spark, [(0, "1", 0, 0.0), (0, "1", 100, 0.0), (1, "1", 40, 0.0), (2, "1", 130, 0.0), (3, "1", 131, 0.0), (3, None, 5, 0.0)])
     events = df.select("portion", F.col("k").cast("bigint").alias("user_id"), "ts")
