@@ -11,9 +11,9 @@ representatives() finds texts of a shingle similarity, which are too far apart f
 same steps, without loss. A set's fingerprint is the bitmap of its shingles' hashes; cut into segments, the counts of set bits
 are its embedding. Sets at the similarity differ in so many shingles at most, a share of both sizes, which bounds the
 Manhattan distance of their counts. The grid's cells are shingles: in any one order of all shingles, two such sets share one of
-the first of both (the prefix filter). The order has those first that a sketch of fixed size counted once, which no other
-set has, and common ones last. The points of a cell are joined within the bound, by Manhattan distance alone; what such
-links reach is a group, and the sets of a group are compared whole.
+the first of both (the prefix filter). The order has those first that no other set has, which a shuffle of a fixed share of all
+shingles tells, and common ones last, by a sketch of samples. The points of a cell are joined within the bound, by Manhattan
+distance alone; what such links reach is a group, and the sets of a group are made again from their texts and compared whole.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ SEGMENTS = 32
 BROADCASTABLE = 100_000
 #: Verified links held before they are folded into a forest.
 FOLD = 1 << 20
-#: Samples of the sets, one of so many, in which the sketch counts shingles again: those met twice there are common.
-SAMPLES = (16, 256)
+#: The larger of the samples in which the sketch counts shingles is one text of so many, or of more where the sketch would fill up.
+SAMPLE = 16
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -291,25 +291,43 @@ def _salted(hashes: np.ndarray, sample: int) -> np.ndarray:
     return substring._mix(hashes ^ np.uint64(sample * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def _sketch_keys(texts: list[bytes | None], shingle: int) -> np.ndarray:
-    """The shingles of each text once, and once more, salted, for every sample that the set is in."""
+def _samples(docs: DataFrame, log2_cells: int) -> tuple[int, int]:
+    """One text of so many is in a sample, for two of them; neither has more shingles than a sixteenth of the cells, at some six bytes a word."""
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    rate = max(SAMPLE, -(-words * 16 >> log2_cells))
+    return rate, 16 * rate
+
+
+def _sketch_keys(texts: list[bytes | None], shingle: int, samples: tuple[int, int]) -> np.ndarray:
+    """The shingles of each text, salted, for every sample that it is in. What the sketch counts twice is common."""
     out = [np.empty(0, np.uint64)]
-    for own in (shingles(t, shingle) for t in texts):
-        name = xxh64_intdigest(own.tobytes())
-        out += [own, *(_salted(own, k) for k in SAMPLES if name % k == 0)]
+    for text in texts:
+        name = xxh64_intdigest(text or b"")
+        if name % samples[0] == 0:
+            own = shingles(text, shingle)
+            out += [_salted(own, k) for k in samples if name % k == 0]
     return np.concatenate(out)
 
 
-def _prefix(own: np.ndarray, similarity: Fraction, bits: np.ndarray, log2_cells: int) -> np.ndarray:
-    """Of the first shingles of a set in the common order, those that other sets may have."""
-    flagged = substring.flagged_cells(own, bits, log2_cells)
-    few = len(own) - math.ceil(similarity * len(own)) + 1
-    alone = len(own) - int(flagged.sum())
-    if alone >= few:
-        return own[:0]
-    own = own[flagged]
-    common = sum(substring.flagged_cells(_salted(own, k), bits, log2_cells).astype(int) for k in SAMPLES)
-    return own[np.lexsort((own, common))][: few - alone]
+def _few(size: int, similarity: Fraction) -> int:
+    """A set that lacks so many of its shingles in another is not similar to it."""
+    return size - math.ceil(similarity * size) + 1
+
+
+def _bound(similarity: Fraction) -> int:
+    """Shingles below, as signed longs, are the share of all whose company is counted: half as many again as two similar sets may differ in."""
+    return int(-(1 << 63) + min(Fraction(1), Fraction(3, 2) * (1 - similarity)) * ((1 << 64) - 1))
+
+
+def _first(own: np.ndarray, similarity: Fraction, bits: np.ndarray, log2_cells: int, samples: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the common order, rare shingles by value and then common ones: the first few of a set and all rare ones below the bound, as
+    rare and common ones; and how many are below."""
+    common = sum(substring.flagged_cells(_salted(own, k), bits, log2_cells).astype(int) for k in samples)
+    own = own.view(np.int64)
+    few, rare = _few(len(own), similarity), np.sort(own[common == 0])
+    below = int(np.searchsorted(rare, _bound(similarity)))
+    rest = own[common > 0][np.lexsort((own[common > 0], common[common > 0]))]
+    return rare[: max(few, below)], rest[: max(0, few - len(rare))], below
 
 
 def _embedding(own: np.ndarray) -> np.ndarray:
@@ -320,30 +338,100 @@ def _embedding(own: np.ndarray) -> np.ndarray:
 _EMBEDDED = [f"e{k}" for k in range(SEGMENTS // 8)]
 
 
-def _sets(docs: DataFrame, similarity: Fraction, shingle: int, bits, log2_cells: int) -> DataFrame:
-    """(doc_id, text_hash, node, prefix, size, e0.., shingles) of docs(doc_id, text_hash, text): node is the set's hash. What follows it is null
-    where no other set can be similar, and where the task has sent the same set before."""
+def _sets(docs: DataFrame, similarity: Fraction, shingle: int, bits, log2_cells: int, samples: tuple[int, int]) -> DataFrame:
+    """(doc_id, text_hash, node, size, below, e0.., rare, common) of docs(doc_id, text_hash, text): node is the set's hash. What follows it is null
+    for the empty set, and where the task has sent the same set before."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             texts = batch.column("text")
             for a, b in by_bytes(texts):
-                nodes, prefixes, sizes, counts, sets = [], [], [], [], []
+                nodes, sizes, belows, counts, rares, commons = [], [], [], [], [], []
                 for own in (shingles(t, shingle) for t in texts.slice(a, b - a).to_pylist()):
                     nodes.append(xxh64_intdigest(own.tobytes()))
-                    first = own[:0] if nodes[-1] in sent else _prefix(own, similarity, bits.value, log2_cells)
-                    if len(first):
+                    fresh = len(own) and nodes[-1] not in sent
+                    if fresh:
                         sent.add(nodes[-1])
-                    prefixes.append(first.view(np.int64) if len(first) else None)
-                    sizes.append(len(own) if len(first) else None)
-                    counts.append(_embedding(own).view(np.int64) if len(first) else None)
-                    sets.append(own.tobytes() if len(first) else None)
-                made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+                    rare, common, below = _first(own, similarity, bits.value, log2_cells, samples) if fresh else (None, None, None)
+                    sizes.append(len(own) if fresh else None)
+                    belows.append(below)
+                    counts.append(_embedding(own).view(np.int64) if fresh else None)
+                    rares.append(rare)
+                    commons.append(common)
+                made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(belows, pa.int32())]
                 made += [pa.array([None if c is None else int(c[k]) for c in counts], pa.int64()) for k in range(len(_EMBEDDED))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *made, pa.array(sets, pa.binary())], ["doc_id", "text_hash", "node", "prefix", "size", *_EMBEDDED, "shingles"])
+                made += [pa.array(x, pa.list_(pa.int64())) for x in (rares, commons)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), *made], ["doc_id", "text_hash", "node", "size", "below", *_EMBEDDED, "rare", "common"])
+
+    return docs.mapInArrow(work, f"doc_id long, text_hash long, node long, size int, below int, {', '.join(f'{c} long' for c in _EMBEDDED)}, rare array<long>, common array<long>")
+
+
+def _in_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (cell, node), each row once, and those alone that share their cell with another node."""
 
-    return docs.mapInArrow(work, f"doc_id long, text_hash long, node long, prefix array<long>, size int, {', '.join(f'{c} long' for c in _EMBEDDED)}, shingles binary")
+    def once(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fresh = np.r_[True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])][: len(cell)]
+        return cell[fresh], node[fresh]
+
+    def shared(cell: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        same = cell[1:] == cell[:-1]
+        keep = (np.r_[False, same] | np.r_[same, False])[: len(cell)]
+        return pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(node[keep])], ["cell", "node"])
+
+    cell, node = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            cell, node = once(np.r_[cell, batch.column("cell").to_numpy()], np.r_[node, batch.column("node").to_numpy()])
+            last = int(np.searchsorted(cell, cell[-1]))
+            yield shared(cell[:last], node[:last])
+            cell, node = cell[last:], node[last:]
+    yield shared(cell, node)
+
+
+def _cells_of_sets(sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """(node, size, e0.., cells) of the sets that others may be similar to: two that are have a cell in common.
+
+    Rare shingles meet by value. One below the bound that has no company there is in no other set, as every set has sent it: with as many
+    of them as two similar sets may differ in, a set goes, and with fewer they come first in the order, so that as many less of the others are needed.
+    Common ones, in which many sets may meet, are not asked.
+    """
+    sets = sets.filter("size is not null")
+    rare = sets.select(F.explode("rare").alias("cell"), "node")
+    met = rare.repartition(partitions(sets.sparkSession), "cell").sortWithinPartitions("cell", "node").mapInArrow(_in_company, "cell long, node long")
+    met = met.groupBy("node").agg(F.sort_array(F.collect_list("cell")).alias("met"))
+    # sets of equal nodes are equal
+    names = ["size", "below", *_EMBEDDED, "common"]
+    every = sets.groupBy("node").agg(*(F.first(c).alias(c) for c in names)).join(met, "node", "left").withColumn("met", F.coalesce("met", F.array().cast("array<long>")))
+    few = f"(size - ({similarity.numerator} * cast(size as long) + {similarity.denominator - 1}) div {similarity.denominator} + 1)"
+    wanted = F.expr(f"cast({few} - below + size(filter(met, c -> c < {_bound(similarity)})) as int)")
+    every = every.withColumn("wanted", wanted).filter("wanted > 0").withColumn("cells", F.slice(F.concat("met", "common"), F.lit(1), F.col("wanted")))
+    return every.filter("size(cells) > 0").select("node", "size", *_EMBEDDED, "cells")
+
+
+def _keys_twice(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), ">u8").astype(np.uint64).repeat(2)
+
+
+def _some(hashes: DataFrame, log2_cells: int) -> np.ndarray:
+    """A sketch of fixed size that flags all of hashes(h), and few others."""
+    return substring.repeated_cells(hashes.select(F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("text")), _keys_twice, log2_cells)
+
+
+def _sets_again(docs: DataFrame, shingle: int, bits, log2_cells: int) -> DataFrame:
+    """(node, shingles) of the texts of docs(doc_id, text_hash, text) whose hashes are flagged, each set once a task at most."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            texts = batch.column("text").filter(pa.array(substring.flagged_cells(batch.column("text_hash").to_numpy().view(np.uint64), bits.value, log2_cells)))
+            for a, b in by_bytes(texts):
+                made = {xxh64_intdigest(own.tobytes()): own.tobytes() for own in (shingles(t, shingle) for t in texts.slice(a, b - a).to_pylist())}
+                made = {node: own for node, own in made.items() if node not in sent}
+                sent.update(made)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(made), np.uint64).view(np.int64)), pa.array(list(made.values()), pa.binary())], ["node", "shingles"])
+
+    return docs.select("text_hash", "text").mapInArrow(work, "node long, shingles binary")
 
 
 def _peel(node: np.ndarray, alike: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]], forest: _Forest) -> None:
@@ -443,21 +531,21 @@ def _exact_forest(similarity: Fraction):
     return work
 
 
-def exact_links(sets: DataFrame, similarity: Fraction, block: int = 1024) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of sets (node, prefix, size, e0.., shingles) of the similarity.
+def exact_links(sets: DataFrame, points: DataFrame, docs: DataFrame, similarity: Fraction, shingle: int, log2_cells: int, block: int = 1024) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of sets (node, size, e0.., cells) of the similarity.
 
-    Cells and groups of more than `block` sets are cut into pairs of blocks. unspool() deletes the sets that the links are
-    made of, once these are written.
+    points(node, place) and docs(doc_id, text_hash, text) tell the sets' texts. Cells and groups of more than `block` sets are cut into
+    pairs of blocks. unspool() deletes the sets that the links are made of, once these are written.
     """
-    sets = sets.filter("prefix is not null")
-    every = sets.select(F.explode("prefix").alias("cell"), "node", "size", *_EMBEDDED)
-    # sets of equal nodes are equal
-    cells = every.groupBy("cell", "node").agg(*(F.first(c).alias(c) for c in ("size", *_EMBEDDED)))
-    near = _dealt(cells, "node", block, every).mapInArrow(_bounded_forest(similarity), "a long, b long")
+    spark = sets.sparkSession
+    cells = sets.select(F.explode("cells").alias("cell"), "node", "size", *_EMBEDDED)
+    near = _dealt(cells, "node", block).mapInArrow(_bounded_forest(similarity), "a long, b long")
     groups = components(near)
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "cell")
-    own = sets.select("node", "shingles").join(members, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "shingles")))
+    bits = spark.sparkContext.broadcast(_some(members.join(points, "node").select(F.col("place.text_hash").alias("h")), log2_cells))
+    own = _sets_again(docs, shingle, bits, log2_cells).join(members, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "shingles")))
     own = spool(own, "groups")
+    bits.unpersist()
     out = _dealt(own, "node", block).mapInArrow(_exact_forest(similarity), "a long, b long")
     out._spooled = own._spooled
     return out
@@ -483,20 +571,23 @@ def representatives(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """
     least = Fraction(similarity).limit_denominator(1000)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
-    bits = docs.sparkSession.sparkContext.broadcast(substring.repeated_cells(keyed, partial(_sketch_keys, shingle=shingle), log2_cells))
-    prints = spool(_sets(keyed, least, shingle, bits, log2_cells), "prints")
+    samples = _samples(keyed, log2_cells)
+    bits = docs.sparkSession.sparkContext.broadcast(substring.repeated_cells(keyed, partial(_sketch_keys, shingle=shingle, samples=samples), log2_cells))
+    prints = spool(_sets(keyed, least, shingle, bits, log2_cells, samples), "prints")
     bits.unpersist()
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     points = spool(prints.groupBy("node").agg(F.min(place).alias("place")), "points")
-    near = exact_links(prints, least)
+    again = prints.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    again = spool(again, "again")
+    sets = spool(_cells_of_sets(prints, least), "sets")
+    unspool(prints)
+    near = exact_links(sets, points, keyed, least, shingle, log2_cells)
     roots = components(near).withColumnRenamed("node", "node_")
     unspool(near)
+    unspool(sets)
     rooted = points.join(roots, F.col("node") == F.col("node_"), "left").select("place", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("_id"), F.col("place.text_hash").alias("_hash"))
-    again = prints.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     repeated = not again.isEmpty()
-    if not repeated:
-        unspool(prints)
 
     names = docs.columns
     renamed = [f"c{i}" for i in range(len(names))]

@@ -195,3 +195,28 @@ def test_cells_beyond_a_broadcast(spark, monkeypatch):
     points = [int(k) for k in {1 << a | 1 << b for a in range(12) for b in range(12)}]
     roots = components(simhash.links(spark.createDataFrame([(x,) for x in points], "fp long"), 2)).collect()
     assert len(roots) == len(points) - 1 and {r.root for r in roots} == {min(points)}
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_sets_that_lack_company_are_not_shuffled_whole(spark):
+    """However many shingles there are for a sketch's cells: long texts of a common line alone have no cells, near copies are found."""
+    rng = random.Random(9)
+    word = iter(f"v{k}" for k in range(10**6))
+    line = [next(word) for _ in range(24)]
+    texts = [[next(word) for _ in range(1200)] for _ in range(40)]
+    for text in texts:
+        at = rng.randrange(1200)
+        text[at:at] = line
+    near = list(texts[7])
+    near[600] = next(word)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([*texts, near])], "doc_id long, text string")
+    before = shuffled(spark)
+    assert {r.doc_id for r in simhash.representatives(docs, log2_cells=8).select("doc_id").collect()} == set(range(40))
+    assert shuffled(spark) - before < 2 * sum(len(" ".join(t)) for t in texts)
