@@ -177,10 +177,11 @@ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 20 DAY FROM a)
 def stream_timed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as they arrive, out of order, and their sessions as timers close them."""
     clicks = _clicks(spark, sf_dir).filter("client_id is not null").select("client_id", "ts", "value", "arrived_at")
+    clients = clicks.agg(F.approx_count_distinct("client_id")).first()[0]
 
     def plan_of(s: DataFrame) -> DataFrame:
         marked = s.withColumn("at", F.col("ts").cast("timestamp")).withColumn("ts", state.whole_millis("ts"))
-        return state.timed_sessions(state.with_time(marked, "ts", "20 days"), "client_id", 1800, "at")
+        return state.timed_sessions(state.with_time(marked, "ts", "20 days"), "client_id", 1800, "at", clients)
 
     sent = replay.replayed(clicks, _portion("arrived_at", 40), plan_of, "append", rocks=True)
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)

@@ -5,39 +5,63 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
-def _millis(ts: pd.Timestamp) -> int:
+def _millis(us: int) -> int:
     """Up, so that a timer is never before its time."""
-    return -(-int(pd.Timestamp(ts).value) // 1_000_000)
+    return -(-int(us) // 1000)
+
+
+def _joined(key: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, total: np.ndarray, gap: int) -> tuple[np.ndarray, ...]:
+    """Stretches of time (key, first, last, n, total), those of a key that are up to a gap apart made one; sorted. NaN is no total."""
+    if not len(key):
+        return key, first, last, n, total
+    code = pd.factorize(key)[0]
+    order = np.lexsort((first, code))
+    key, code, first, last, n, total = (x[order] for x in (key, code, first, last, n, total))
+    # the latest end so far of each key, by ranks, which can be set apart by key
+    ends, rank = np.unique(last, return_inverse=True)
+    latest = ends[np.maximum.accumulate(rank + code * len(ends)) - code * len(ends)]
+    starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (first[1:] > latest[:-1] + gap)])
+    some = np.logical_or.reduceat(~np.isnan(total), starts)
+    total = np.where(some, np.add.reduceat(np.nan_to_num(total), starts), np.nan)
+    return key[starts], first[starts], latest[np.r_[starts[1:], len(key)] - 1], np.add.reduceat(n, starts), total
 
 
 class TimedSessions(StatefulProcessor):
-    """Sessions of a key, sent when the watermark has passed their end.
+    """Sessions of all keys of a part, sent when the watermark has passed their end.
 
-    Rows wait in a list, in any order; there is a timer at the first end of the sessions that they make, which moves as rows move that end.
-    A list holds what the watermark has not passed, and the gap before.
+    The part's open sessions are one value, as calls and trips to the store are what state costs; rows join them in any order. There is a timer at the first end, which moves as rows move that end.
+    The value holds what the watermark has not passed, and the gap before.
     """
 
-    def __init__(self, gap_seconds: int, key_type: str, at: str = "ts"):
-        self.gap, self.key_type, self.at = pd.Timedelta(seconds=gap_seconds), key_type, at
+    def __init__(self, gap_seconds: int, at: str = "ts"):
+        self.gap, self.at = gap_seconds * 1_000_000, at
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, value double")
-
-    def _sessions(self) -> list[pd.DataFrame]:
-        rows = pd.DataFrame(list(self.waiting.get()), columns=["ts", "value"]).sort_values("ts", kind="stable")
-        fresh = (rows["ts"].diff() > self.gap).cumsum()
-        return [part for _, part in rows.groupby(fresh)]
-
-    def _set_timer(self, sessions: list[pd.DataFrame]) -> None:
-        """One timer, at the end that comes first: each call to the store is a round trip."""
-        want, have = min(_millis(s["ts"].iloc[-1] + self.gap) for s in sessions), list(self.handle.listTimers())
+        self.open = handle.getValueState("open", "sessions binary")
+
+    def _held(self) -> tuple[np.ndarray, ...]:
+        if not self.open.exists():
+            return np.empty(0, object), *(np.empty(0, np.int64) for _ in range(3)), np.empty(0)
+        with pa.ipc.open_stream(pa.py_buffer(bytes(self.open.get()[0]))) as stream:
+            return tuple(c.to_numpy() for c in stream.read_all().columns)
+
+    def _hold(self, sessions: tuple[np.ndarray, ...]) -> None:
+        """One timer, at the end that comes first."""
+        table = pa.table([pa.array(x) for x in sessions], ["key", "first", "last", "n", "total"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        self.open.update((sink.getvalue().to_pybytes(),))
+        want, have = _millis(sessions[2].min() + self.gap), list(self.handle.listTimers())
         for t in have:
             if t != want:
                 self.handle.deleteTimer(t)
@@ -45,43 +69,47 @@ class TimedSessions(StatefulProcessor):
             self.handle.registerTimer(want)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
         for part in rows:
-            self.waiting.appendList([(t.to_pydatetime(), None if pd.isna(v) else float(v)) for t, v in zip(part[self.at], part["value"])])
-        self._set_timer(self._sessions())
+            at = part[self.at].to_numpy("datetime64[us]").astype(np.int64)
+            fresh = part["key"].to_numpy(object), at, at, np.ones(len(at), np.int64), part["value"].to_numpy(float, na_value=np.nan)
+            held = _joined(*(np.concatenate(x) for x in zip(held, fresh)), self.gap)
+        self._hold(held)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over, kept = [], []
-        for s in self._sessions() if self.waiting.exists() else ():
-            (over if _millis(s["ts"].iloc[-1] + self.gap) <= timerValues.getCurrentWatermarkInMs() else kept).append(s)
-        if kept:
-            self.waiting.put([(t.to_pydatetime(), None if pd.isna(v) else float(v)) for s in kept for t, v in zip(s["ts"], s["value"])])
-            self._set_timer(kept)
+        held = self._held()
+        over = -(-(held[2] + self.gap) // 1000) <= timerValues.getCurrentWatermarkInMs()
+        if not over.all():
+            self._hold(tuple(x[~over] for x in held))
         else:
-            self.waiting.clear()
-        if over:
-            yield pd.DataFrame({
-                "key": [key[0]] * len(over),
-                "start": [s["ts"].iloc[0] for s in over],
-                "stop": [s["ts"].iloc[-1] + self.gap for s in over],
-                "n": [len(s) for s in over],
-                "total": [s["value"].sum(min_count=1) for s in over],
-            })
+            self.open.clear()
+        if over.any():
+            name, first, last, n, total = (x[over] for x in held)
+            yield pd.DataFrame({"key": name, "start": first.view("datetime64[us]"), "stop": (last + self.gap).view("datetime64[us]"), "n": n, "total": total})
 
     def close(self) -> None:
         pass
 
 
-def timed_sessions(rows: DataFrame, key: str, gap_seconds: int, at: str = "ts") -> DataFrame:
+#: Keys of a part that timed_sessions() and kinds_of_parts() deal, about.
+_KEYS = 200
+
+
+def timed_sessions(rows: DataFrame, key: str, gap_seconds: int, at: str = "ts", keys: int = 1) -> DataFrame:
     """(key, start, stop, n, total) of each session once the watermark has passed its end; rows a gap apart are one session.
 
     rows: the key, ts with a watermark, value; at: the times of the sessions, where ts is rounded for the watermark. A null key is a key, null values add nothing; rows without a time and rows behind the
-    watermark are dropped. Needs the RocksDB store. A key's rows between watermark and present meet in one worker.
+    watermark are dropped. For about so many keys, which are dealt to parts by their hash; a part is a key of the state, and meets in one worker. A query must go on with the number that it began with.
+    Keys need a text that stands for them. Needs the RocksDB store.
     """
     kind = dict(rows.dtypes)[key]
-    grouped = rows.filter("ts is not null").select(key, *dict.fromkeys(("ts", at)), "value").groupBy(key)
-    out = grouped.transformWithStateInPandas(TimedSessions(gap_seconds, kind, at), f"key {kind}, start timestamp, stop timestamp, n long, total double", "Append", "EventTime")
-    return out.withColumnRenamed("key", key)
+    part = F.pmod(F.xxhash64(key), F.lit(1 + keys // _KEYS)).alias("part")
+    # a null key has the empty text
+    text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("key")
+    grouped = rows.filter("ts is not null").select(part, text, *dict.fromkeys(("ts", at)), F.col("value").cast("double").alias("value")).groupBy("part")
+    out = grouped.transformWithStateInPandas(TimedSessions(gap_seconds, at), "key string, start timestamp, stop timestamp, n long, total double", "Append", "EventTime")
+    return out.select(F.when(F.col("key") != "", F.expr("substring(key, 2)")).cast(kind).alias(key), "start", "stop", "n", "total")
 
 
 class LongestGap(StatefulProcessor):
@@ -176,16 +204,12 @@ class KindsOfPart(StatefulProcessor):
         pass
 
 
-#: Clients of a part that kinds_of_parts() deals, about.
-_CLIENTS = 200
-
-
 def kinds_of_parts(rows: DataFrame, clients: int) -> DataFrame:
     """kinds_so_far() without a time to forget, for about so many clients: they are dealt to parts by their hash, and a part is a key of the state.
 
     A query must go on with the number that it began with.
     """
-    part = F.pmod(F.xxhash64("client_id"), F.lit(1 + clients // _CLIENTS)).alias("part")
+    part = F.pmod(F.xxhash64("client_id"), F.lit(1 + clients // _KEYS)).alias("part")
     dealt = rows.select(part, F.coalesce(F.col("client_id").cast("string"), F.lit("")).alias("client"), "kind").groupBy("part")
     return dealt.transformWithStateInPandas(KindsOfPart(), "client_id bigint, kinds long, usual string, n long", "Update", "None")
 

@@ -1,9 +1,11 @@
 """Streams that move: expiring state, timers, late rows, outer joins, maps that forget; on small tables portion by portion."""
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from brindle.plans import QUERIES
 from brindle.streaming import replay, state
@@ -65,6 +67,35 @@ def test_sessions_that_end_in_the_millisecond_of_the_watermark(spark, tmp_path):
     assert rows(got) == [(c, t, t + timedelta(minutes=30), 1, 1.5) for c, t in items if c in (1, 2, 3, 5)]
 
 
+def test_sessions_of_many_clients_are_few_rows_of_state(spark, tmp_path, monkeypatch):
+    """Clients share a state by the hundred, however many clicks wait; one has a fifth of them, and ties, nulls and late arrivals join as ever."""
+    rng, items = random.Random(4), []
+    for c in [*range(300), *[2**60] * 80]:
+        at = T0 + timedelta(days=rng.randrange(80), seconds=rng.randrange(86_400))
+        for _ in range(rng.randint(1, 6)):
+            items.append((c, at, at + timedelta(hours=rng.randrange(72)), rng.choice([None, 1.25, 2.5])))
+            at += timedelta(minutes=rng.choice([0, 10, 30, 31]), microseconds=rng.randrange(2))
+    items.append((1, T0 + timedelta(days=119), T0 + timedelta(days=119), 1.0))
+    spark.createDataFrame(items, "client_id long, ts timestamp_ntz, arrived_at timestamp_ntz, value double").write.parquet(f"{tmp_path}/clicks.parquet")
+    held, ends = [], StreamingQuery.awaitTermination
+
+    def ended(query):
+        ends(query)
+        held.extend(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)
+
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", ended)
+    got = QUERIES["stream_timed_sessions"](spark, str(tmp_path))
+    made = {}
+    for c, at, _, value in sorted(items, key=lambda i: i[:2]):
+        own = made.setdefault(c, [])
+        if not own or at > own[-1][-1][0] + timedelta(minutes=30):
+            own.append([])
+        own[-1].append((at, value))
+    want = [(c, s[0][0], s[-1][0] + timedelta(minutes=30), len(s), sum(v or 0.0 for _, v in s)) for c, own in made.items() for s in own]
+    assert rows(got) == sorted((w for w in want if w[2] <= T0 + timedelta(days=99)), key=repr) and len(want) > 300
+    assert 0 < max(held) < 20
+
+
 def test_pauses_of_rows_out_of_order(spark):
     df = clicks(spark, [(0, "1", 0, 0.0), (0, "1", 100, 0.0), (1, "1", 40, 0.0), (2, "1", 130, 0.0), (3, "1", 131, 0.0), (3, None, 5, 0.0)])
     events = df.select("portion", F.col("k").cast("bigint").alias("user_id"), "ts")
